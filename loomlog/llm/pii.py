@@ -41,6 +41,11 @@ ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 _FIRST_DAY = "1800-01-01"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _keyed(key: str, *parts: Column) -> Column:
     """60 bits of a keyed hash."""
     text = F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts])
@@ -69,8 +74,8 @@ def permute_digits(digits: Column, key: str, tweak: Column) -> Column:
     n = F.length(digits)
     u = F.floor(n / 2).cast("int")
     v = n - u
-    p = feistel(F.substr(digits, F.lit(1), u).cast("long"), F.substr(digits, u + 1, v).cast("long"), _power10(u), _power10(v), key, F.concat(tweak, n.cast("string")))
-    return F.concat(F.lpad(p["a"].cast("string"), u, F.lit("0")), F.lpad(p["b"].cast("string"), v, F.lit("0")))
+    pair = feistel(F.substr(digits, F.lit(1), u).cast("long"), F.substr(digits, u + 1, v).cast("long"), _power10(u), _power10(v), key, F.concat(tweak, n.cast("string")))
+    return _let(pair, lambda p: F.concat(F.lpad(p["a"].cast("string"), u, F.lit("0")), F.lpad(p["b"].cast("string"), v, F.lit("0"))))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -104,32 +109,38 @@ def _lay_out(shape: Column, digits: Column) -> Column:
 
 
 def card_pseudonym(s: Column, key: str) -> Column:
-    digits = _only_digits(s)
-    body = permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, F.lit("card"))
-    check = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
-    return F.when(F.pmod(luhn_sum(digits), F.lit(10)) == 0, _lay_out(s, F.concat(body, check.cast("string")))).otherwise(s)
+    def of(digits: Column) -> Column:
+        check = lambda body: F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
+        body = permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, F.lit("card"))
+        new = _let(body, lambda b: F.concat(b, check(b).cast("string")))
+        return F.when(F.pmod(luhn_sum(digits), F.lit(10)) == 0, _let(new, lambda d: _lay_out(s, d))).otherwise(s)
+
+    return _let(_only_digits(s), of)
 
 
 def phone_pseudonym(s: Column, key: str) -> Column:
-    digits = _only_digits(s)
-    country = F.substr(digits, F.lit(1), F.length(digits) - 10)
-    return _lay_out(s, F.concat(country, permute_digits(F.substr(digits, F.length(digits) - 9, F.lit(10)), key, F.concat(F.lit("phone"), country))))
+    def of(digits: Column) -> Column:
+        country = F.substr(digits, F.lit(1), F.length(digits) - 10)
+        new = F.concat(country, permute_digits(F.substr(digits, F.length(digits) - 9, F.lit(10)), key, F.concat(F.lit("phone"), country)))
+        return _let(new, lambda d: _lay_out(s, d))
+
+    return _let(_only_digits(s), of)
 
 
 def ssn_pseudonym(s: Column, key: str) -> Column:
     area, group, serial = F.substring(s, 1, 3).cast("long"), F.substring(s, 5, 2).cast("long"), F.substring(s, 8, 4).cast("long")
     place = F.when(area > 666, area - 2).otherwise(area - 1)
-    p = feistel(place, (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, F.lit("ssn"))
-    new_area = F.when(p["a"] >= 665, p["a"] + 2).otherwise(p["a"] + 1)
+    pair = feistel(place, (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, F.lit("ssn"))
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
-    return F.concat_ws("-", pad(new_area, 3), pad(F.floor(p["b"] / 9999) + 1, 2), pad(F.pmod(p["b"], F.lit(9999)) + 1, 4))
+    new_area = lambda a: F.when(a >= 665, a + 2).otherwise(a + 1)
+    return _let(pair, lambda p: F.concat_ws("-", pad(new_area(p["a"]), 3), pad(F.floor(p["b"] / 9999) + 1, 2), pad(F.pmod(p["b"], F.lit(9999)) + 1, 4)))
 
 
 def ip_pseudonym(s: Column, key: str) -> Column:
     octet = F.transform(F.split(s, r"\."), lambda x: x.cast("long"))
-    p = feistel(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], F.lit(65536), F.lit(65536), key, F.lit("ip"))
+    pair = feistel(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], F.lit(65536), F.lit(65536), key, F.lit("ip"))
     two = lambda c: [F.floor(c / 256).cast("string"), F.pmod(c, F.lit(256)).cast("string")]
-    return F.concat_ws(".", *two(p["a"]), *two(p["b"]))
+    return _let(pair, lambda p: F.concat_ws(".", *two(p["a"]), *two(p["b"])))
 
 
 def date_pseudonym(s: Column, fmt: str, key: str) -> Column:
@@ -147,11 +158,10 @@ def secret_pseudonym(s: Column, key: str) -> Column:
         x = F.substr(low, i * 16 + 1, F.lit(16))
         n = F.length(x)
         u = F.floor(n / 2).cast("int")
-        size = lambda k: F.shiftleft(F.lit(1).cast("long"), (k * 4).cast("int")) if not isinstance(k, int) else F.lit(1 << (4 * k))
         size_of = lambda k: F.pow(F.lit(16.0), k).cast("long")
         left = F.coalesce(F.conv(F.substr(x, F.lit(1), u), 16, 10).cast("long"), F.lit(0))
-        p = feistel(left, F.conv(F.substr(x, u + 1, n - u), 16, 10).cast("long"), size_of(u), size_of(n - u), key, F.concat(F.lit("hex"), i.cast("string")))
-        return F.concat(F.lpad(F.lower(F.hex(p["a"])), u, F.lit("0")), F.lpad(F.lower(F.hex(p["b"])), n - u, F.lit("0")))
+        pair = feistel(left, F.conv(F.substr(x, u + 1, n - u), 16, 10).cast("long"), size_of(u), size_of(n - u), key, F.concat(F.lit("hex"), i.cast("string")))
+        return _let(pair, lambda p: F.concat(F.lpad(F.lower(F.hex(p["a"])), u, F.lit("0")), F.lpad(F.lower(F.hex(p["b"])), n - u, F.lit("0"))))
 
     pieces = F.transform(F.sequence(F.lit(0), (F.ceil(F.length(s) / 16) - 1).cast("int")), piece)
     out = F.array_join(pieces, "")
@@ -164,7 +174,7 @@ def email_pseudonym(s: Column, key: str) -> Column:
 
 def pseudonym(s: Column, key: str) -> Column:
     """The pseudonym of a match of ``ANY``; what is not valid stays."""
-    full = lambda kind: s.rlike("^(?:" + KINDS[kind].replace("(?<!", "(?<!") + r")\z")
+    full = lambda kind: s.rlike("^(?:" + KINDS[kind] + r")\z")
     return (
         F.when(s.contains("@"), email_pseudonym(s, key))
         .when(full("ip"), ip_pseudonym(s, key))
@@ -184,15 +194,15 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     key: any secret string; the same key gives the same pseudonyms in every run.
     """
     t = F.col(text)
-    may = t.rlike("[0-9@]")
-    found = F.when(may, F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
-    between = F.when(may, F.split(t, ANY, -1))
-    changed = F.transform(F.col("_found"), lambda m: pseudonym(m, key))
-    return (
-        docs.withColumn("_found", found)
-        .withColumn("_new", F.when(F.size("_found") > 0, changed))
-        .withColumn("_between", F.when(F.size("_found") > 0, between))
-        .withColumn("n_pseudonyms", F.when(F.size("_found") > 0, F.size(F.filter(F.arrays_zip("_found", "_new"), lambda x: x["_found"] != x["_new"]))).otherwise(F.lit(0)).cast("long"))
-        .withColumn(text, F.when(F.size("_found") > 0, F.array_join(F.zip_with("_between", "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(t))
-        .drop("_found", "_new", "_between")
-    )
+    found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+    def rebuilt(found: Column, new: Column) -> Column:
+        parts = F.zip_with(F.split(t, ANY, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
+        return F.struct(F.array_join(parts, "").alias("text"), changed.cast("long").alias("n"))
+
+    def of(found: Column) -> Column:
+        unchanged = F.struct(t.alias("text"), F.lit(0).cast("long").alias("n"))
+        return F.when(F.size(found) > 0, _let(F.transform(found, lambda m: pseudonym(m, key)), lambda new: rebuilt(found, new))).otherwise(unchanged)
+
+    return docs.withColumn("_result", _let(found, of)).withColumn(text, F.col("_result.text")).withColumn("n_pseudonyms", F.coalesce("_result.n", F.lit(0).cast("long"))).drop("_result")
