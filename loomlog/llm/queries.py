@@ -48,3 +48,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlog.llm.bpe import bpe_encode
 
     return bpe_encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+def queries() -> dict:
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
