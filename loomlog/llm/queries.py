@@ -35,6 +35,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlog.llm.quality import held_out, score_quality, train_quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(docs, _table(spark, sf_dir, "labels"))
+    scored = score_quality(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlog.llm.pii import pseudonymise
 
