@@ -22,6 +22,29 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlog.llm.fingerprints import compare_edited, lexicon
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return compare_edited(docs, lexicon(docs))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlog.llm.cluster import shared_folder
+    from loomlog.llm.warc import assemble, read_warc, write_warc
+
+    path = shared_folder(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    captures = assemble(read_warc(spark, path))
+    return captures.select(
+        F.col("metadata.page_id").alias("page_id"),
+        F.coalesce("response.payload_bytes", "referred.payload_bytes").alias("payload_bytes"),
+        F.coalesce("response.payload_digest", "referred.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.col("referred.page_id").alias("refers_to"),
+    )
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlog.llm.sharding import kd_shards
 
