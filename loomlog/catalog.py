@@ -5,11 +5,274 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomlog.functions import text as T
+from loomlog.operators import clean, frequency, redact, responses, safety
+from loomlog.operators.assemble import assemble, extended_entries, is_extended, plain_entries
+from loomlog.operators.search import command_stats, search
+from loomlog.plans.commands import totals
+from loomlog.sources.history import events_as_entries, lines_of, parts_as_entries, tail_lines
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_as_entries(_read(spark, sf_dir, "events"))
+
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.clean(_events(spark, sf_dir))
+
+
+_ENTRIES = """e AS (SELECT CAST(user_id AS VARCHAR) AS source, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ord, event_type AS command, ts FROM events)"""
+_CLEAN = _ENTRIES + """, k AS (SELECT * FROM (SELECT *, lag(command) OVER (PARTITION BY source ORDER BY ord) AS b FROM e WHERE length(command) > 1 AND lower(command) NOT IN ('ls','cd','clear','exit','pwd','history')) WHERE b IS NULL OR b <> command)"""
+
+
+def _documents_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_of(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+_LINES = r"""l AS (SELECT CAST(doc_id AS VARCHAR) AS source, len(parts) AS n_lines, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS line_idx FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS parts FROM documents))"""
+
+# Logs made of orders: a time line, and a command over two lines.
+
+
+
+
+def _log_lines(orders: DataFrame, pieces) -> DataFrame:
+    texts = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", *pieces))).alias("rows"))
+    names = [f"p{i}" for i in range(len(pieces))]
+    text = F.array_join(F.transform("rows", lambda r: F.concat_ws("\n", *[r[n] for n in names])), "\n")
+    return tail_lines(lines_of(texts.select("o_custkey", text.alias("text")), "o_custkey", "text"), 10_000)
+
+
+def _plain_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    pieces = [F.concat(F.lit("#1"), day).alias("p0"), F.concat(F.lit("run "), F.col("o_orderpriority"), F.lit(" \\")).alias("p1"), F.concat(F.lit("  --status "), F.col("o_orderstatus"), F.lit("  ")).alias("p2")]
+    return _log_lines(_read(spark, sf_dir, "orders"), pieces)
+
+
+def _extended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    pieces = [F.concat(F.lit(": 1"), day, F.lit(":0;ship "), F.col("o_orderstatus")).alias("p0"), F.concat(F.lit("note "), F.col("o_orderpriority")).alias("p1")]
+    return _log_lines(_read(spark, sf_dir, "orders"), pieces)
+
+
+def _q_assemble_plain(spark, sf_dir):
+    out = plain_entries(_plain_log(spark, sf_dir))
+    return out.select("source", "ord", "command", F.unix_seconds("timestamp").alias("epoch"), "line_number")
+
+
+def _q_assemble_extended(spark, sf_dir):
+    out = extended_entries(_extended_log(spark, sf_dir))
+    return out.select("source", "ord", "command", F.unix_seconds("timestamp").alias("epoch"), "line_number")
+
+
+def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dangerous and harmless commands made of part names."""
+    p = _read(spark, sf_dir, "part")
+    n = F.split("p_name", " ")[0]
+    kinds = [
+        F.concat(F.lit("rm -rf /tmp/"), n),
+        F.concat(F.lit("rm -rf -i "), n),
+        F.concat(F.lit("sudo rm "), n),
+        F.concat(F.lit("cp $"), n, F.lit(" /tmp")),
+        F.concat(F.lit('mv "$'), n, F.lit('" x')),
+        F.concat(F.lit("Remove-Item "), n, F.lit(" -recurse -force")),
+        F.concat(F.lit("dd if="), n, F.lit(" of=x")),
+        F.concat(F.lit("chmod 777 "), n),
+        F.concat(F.lit("git add "), n),
+    ]
+    c = F.element_at(F.array(*kinds), (F.col("p_partkey") % len(kinds) + 1).cast("int"))
+    return p.select(F.lit("s").alias("source"), F.col("p_partkey").alias("ord"), c.alias("command"), F.lit(None).cast("timestamp").alias("timestamp"), F.col("p_partkey").cast("int").alias("line_number"))
+
+
+_N = "split_part(p_name, ' ', 1)"
+_COMMANDS = f"""c AS (SELECT p_partkey AS ord, CASE p_partkey % 9 WHEN 0 THEN 'rm -rf /tmp/' || {_N} WHEN 1 THEN 'rm -rf -i ' || {_N} WHEN 2 THEN 'sudo rm ' || {_N} WHEN 3 THEN 'cp $' || {_N} || ' /tmp' WHEN 4 THEN 'mv "$' || {_N} || '" x' WHEN 5 THEN 'Remove-Item ' || {_N} || ' -recurse -force' WHEN 6 THEN 'dd if=' || {_N} || ' of=x' WHEN 7 THEN 'chmod 777 ' || {_N} ELSE 'git add ' || {_N} END AS command FROM part)"""
+
+
+def _quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_HITS = (
+    _COMMANDS
+    + r""", h AS (
+SELECT ord, command, 0 AS rule FROM c WHERE regexp_matches(command, '\brm\b') AND (regexp_matches(command, '\brm\s+.*-\S*r\S*f') OR regexp_matches(command, '\brm\s+.*-\S*f\S*r')) AND NOT (regexp_matches(command, '\brm\s+.*-\S*i') OR regexp_matches(command, '\brm\b.*\s-i\b'))
+UNION ALL SELECT ord, command, 1 FROM c WHERE regexp_matches(command, '\bsudo\s+rm\b')
+UNION ALL SELECT ord, command, 2 FROM c WHERE regexp_matches(command, '\b(rm|mv|cp)\b') AND len(list_filter(regexp_split_to_array(command, '\s+'), lambda s: regexp_matches(s, '\$[A-Za-z_]\w*') AND NOT contains(s, '"') AND NOT contains(s, ''''))) > 0
+UNION ALL SELECT ord, command, 3 FROM c WHERE regexp_matches(command, '(?i)Remove-Item') AND regexp_matches(command, '(?i)-Recurse') AND regexp_matches(command, '(?i)-Force') AND NOT regexp_matches(command, '(?i)-WhatIf|-Confirm')
+UNION ALL SELECT ord, command, 4 FROM c WHERE regexp_matches(command, '\bdd\b') AND regexp_matches(command, '\b(if|of)=') AND NOT contains(command, 'status=progress')
+UNION ALL SELECT ord, command, 5 FROM c WHERE regexp_matches(command, '\bchmod\b') AND regexp_matches(command, '\b777\b'))"""
+)
+_RULES = "r AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quote(a)}, {_quote(b)}, {_quote(c)})" for i, (a, b, c) in enumerate(safety.RULES)) + ") AS t(rule, rule_name, risk, safer_alternative))"
+
+_SEARCHED = "almond steel"
+_TOKENS = r"""list_filter(regexp_split_to_array(lower(command), '[\s/\-_.=|;:&"''`<>(){}\[\]]+'), lambda t: t <> '')"""
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts_as_entries(_read(spark, sf_dir, "part"))
+
+
+def _q_scalars(spark, sf_dir):
+    p = _read(spark, sf_dir, "part")
+    n = F.col("p_name")
+    return p.select(
+        "p_partkey",
+        T.capitalize(n).alias("capital"),
+        T.truncate(n, 12).alias("short"),
+        T.escape_markdown(F.concat(n, F.lit("|`\n"), n)).alias("escaped"),
+        T.percent(F.col("p_size") / 1000.0).alias("percent"),
+        T.round3(F.col("p_retailprice") / 7.0).alias("rounded"),
+    )
+
+
+def _q_scores(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    s = e.groupBy("command").agg(F.count("*").alias("frequency"), F.max("timestamp").alias("last_used"))
+    top = s.agg(F.max("frequency").alias("most"), F.max("last_used").alias("newest"))
+    s = s.crossJoin(F.broadcast(top))
+    return s.select("command", "frequency", F.round(T.frequency_score(F.col("frequency"), F.col("most")), 9).alias("frequency_score"), F.round(T.recency_score(F.col("last_used"), F.col("newest")), 9).alias("recency_score"))
+
+
+_ANSWERS = [
+    (1, 'Here:\n```json\n[{"pattern":"git status","type":"alias","code":"alias gs=\'git status\'","name":"gs","explanation":"short","safety":"safe"}]\n```'),
+    (2, '{"suggestions":[{"pattern":"npm test","code":"x","type":"odd","safety":"maybe"},{"code":1},7]}'),
+    (3, "no answer at all"),
+    (4, '{"other":[]}'),
+    (5, "### Alias: `gs`\n```bash\nalias gs='git status'\n```\n"),
+]
+_ALERTS = [
+    (1, '[{"command":"rm -rf x","risk":"gone","safer_alternative":"rm -i","frequency":3}]'),
+    (2, '{"alerts":[{"pattern":"dd","saferAlternative":"dd status=progress"},{"risk":"nothing"}]}'),
+    (3, "none"),
+]
+
+
+def _q_parse_suggestions(spark, sf_dir):
+    raw = spark.createDataFrame(_ANSWERS, "id int, raw string")
+    return responses.parse_suggestions(raw).drop("raw", "position")
+
+
+def _q_parse_alerts(spark, sf_dir):
+    raw = spark.createDataFrame(_ALERTS, "id int, raw string")
+    return responses.parse_alerts(raw).drop("raw", "position")
+
+
+def _q_alert_suggestions(spark, sf_dir):
+    return responses.alerts_as_suggestions(safety.safety_alerts(_commands(spark, sf_dir)))
+
+
+def _reviewed(spark, sf_dir):
+    s = F.element_at(F.array(F.lit("apply"), F.lit("ignore"), F.lit("pending")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return _read(spark, sf_dir, "part").select("p_partkey", s.alias("status"), F.col("p_name").alias("code"), F.when(F.col("p_size") > 25, F.upper("p_name")).alias("edited_code"))
+
+
+def _q_scrub(spark, sf_dir):
+    rows = _documents_lines(spark, sf_dir).filter(F.col("raw").rlike("(?i)token = "))
+    return redact.scrub_column(rows.select("source", "line_idx", "raw"), "raw")
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "frequency_top": lambda s, d: frequency.count_commands(_cleaned(s, d)).filter("count >= 5").orderBy(F.desc("count"), F.desc_nulls_last("last_used"), "first").limit(20).select(F.col("key").alias("pattern"), F.col("count").alias("frequency"), "last_used"),
+    "entries": lambda s, d: _events(s, d).select("source", "ord", "command", "timestamp"),
+    "clean_entries": lambda s, d: _cleaned(s, d).select("source", "ord", "command"),
+    "document_lines": lambda s, d: _documents_lines(s, d).select("source", "n_lines", "line_idx", "raw"),
+    "tail_lines": lambda s, d: tail_lines(_documents_lines(s, d), 100).select("source", "line_number", "raw"),
+    "assemble_plain": _q_assemble_plain,
+    "assemble_extended": _q_assemble_extended,
+    "assemble_documents": lambda s, d: assemble(_documents_lines(s, d), max_lines=1_000_000).select("source", "ord", "command", "line_number"),
+    "format_sniff": lambda s, d: is_extended(_extended_log(s, d)),
+    "command_counts": lambda s, d: frequency.count_commands(_cleaned(s, d)).select("key", "count", "last_used"),
+    "sequence_counts": lambda s, d: frequency.count_sequences(_cleaned(s, d)).select("key", "count", "last_used", "window"),
+    "merged_counts": lambda s, d: frequency.merged_counts(_cleaned(s, d), 2, 3).select("key", "count", "kind"),
+    "totals": lambda s, d: totals(_cleaned(s, d)),
+    "near_pairs": lambda s, d: frequency.near_pairs(frequency.count_commands(_parts(s, d)).withColumn("rank", frequency.rank())).select("low", "high"),
+    "similar_groups": lambda s, d: frequency.group_similar(frequency.count_commands(_parts(s, d))).select("pattern", "frequency", "variations"),
+    "analyze_frequency": lambda s, d: frequency.analyze_frequency(_cleaned(s, d)).select("pattern", "frequency", "last_used", "variations"),
+    "safety_alerts": lambda s, d: safety.safety_alerts(_commands(s, d)),
+    "dangerous_commands": lambda s, d: safety.dangerous_commands(_commands(s, d)),
+    "tokens": lambda s, d: _parts(s, d).select("ord", F.array_join(T.tokenize(F.col("command")), " ").alias("tokens")),
+    "command_stats": lambda s, d: command_stats(_parts(s, d)).select("command", "frequency", "line_number"),
+    "search": lambda s, d: search(_parts(s, d), _SEARCHED, 10).select("command", "score", "frequency", "line_number"),
+    "search_typo": lambda s, d: search(_parts(s, d), "stell", 10).select("command", "score", "frequency", "line_number"),
+    "scores": _q_scores,
+    "scalars": _q_scalars,
+    "scrub": _q_scrub,
+    "parse_suggestions": _q_parse_suggestions,
+    "parse_alerts": _q_parse_alerts,
+    "alert_suggestions": _q_alert_suggestions,
+    "selected": lambda s, d: responses.selected(_reviewed(s, d)),
+    "review_counts": lambda s, d: responses.review_counts(_reviewed(s, d)),
+}
+
+
+def _search_sql(query: str) -> str:
+    tokens = T.tokenize_text(query)
+    q = "[" + ", ".join(_quote(t) for t in tokens) + "]"
+    n = float(len(tokens))
+    return rf"""WITH e AS (SELECT p_partkey AS ord, p_name || ' ' || p_type AS command FROM part),
+s AS (SELECT command, count(*) AS frequency, CAST(max(ord) AS INTEGER) AS line_number, min(ord) AS first, {_TOKENS} AS t FROM e GROUP BY command),
+m AS (SELECT greatest(max(frequency), 1) AS most FROM s),
+p AS (SELECT s.*, most, list_filter({q}, lambda x: NOT list_contains(t, x)) AS missing FROM s, m),
+x AS (SELECT *, len(list_filter({q}, lambda x: list_contains(t, x))) / {n} AS exact,
+ CASE WHEN len(missing) = 0 THEN 1.0 ELSE len(list_filter(missing, lambda x: len(list_filter(t, lambda y: abs(length(y) - length(x)) <= 2 AND levenshtein(y, x) <= 2)) > 0)) / {n} END AS fuzzy,
+ CASE WHEN contains(lower(command), {_quote(query.lower())}) THEN 1.0 ELSE len(list_filter({q}, lambda x: len(list_filter(t, lambda y: starts_with(y, x) OR starts_with(x, y))) > 0)) / {n} END AS sub,
+ CASE WHEN most <= 1 THEN 0.0 ELSE ln(1 + frequency) / ln(1 + most) END AS freq FROM p),
+y AS (SELECT *, CAST(0.5 AS DOUBLE) * exact + CAST(0.2 AS DOUBLE) * fuzzy + CAST(0.2 AS DOUBLE) * sub + CAST(0.05 AS DOUBLE) * freq + CAST(0.05 AS DOUBLE) * CAST(0 AS DOUBLE) AS score FROM x)
+SELECT command, floor(score * 1000 + CAST(0.5 AS DOUBLE)) / CAST(1000 AS DOUBLE) AS score, frequency, line_number FROM y WHERE score >= 0.05 ORDER BY 2 DESC, frequency DESC, first LIMIT 10"""
+
+
+def _sequences_sql(longest: int) -> str:
+    joined = lambda w: " || ' && ' || ".join(["command", *[f"lead(command, {k}) OVER x" for k in range(1, w)]])
+    parts = [f"SELECT {joined(w)} AS key, lead(ts, {w - 1}) OVER x AS used, {w} AS w, lead(command, {w - 1}) OVER x AS z FROM k WINDOW x AS (PARTITION BY source ORDER BY ord)" for w in range(2, longest + 1)]
+    return "(SELECT * FROM (" + " UNION ALL ".join(f"({p})" for p in parts) + ") WHERE z IS NOT NULL)"
+
+
+_SUGGESTION = "id, pattern, type, code, name, explanation, safety"
+
+_SQL: dict[str, str] = {
+    "frequency_top": f"WITH {_CLEAN} SELECT command AS pattern, count(*) AS frequency, max(ts) AS last_used FROM k GROUP BY command HAVING count(*) >= 5 ORDER BY 2 DESC, 3 DESC, min((source, ord)) LIMIT 20",
+    "entries": f"WITH {_ENTRIES} SELECT source, ord, command, ts AS timestamp FROM e",
+    "clean_entries": f"WITH {_CLEAN} SELECT source, ord, command FROM k",
+    "document_lines": f"WITH {_LINES} SELECT source, CAST(n_lines AS INTEGER) AS n_lines, CAST(line_idx AS INTEGER) AS line_idx, raw FROM l",
+    "tail_lines": f"WITH {_LINES} SELECT source, CAST(line_idx - greatest(n_lines - 100, 0) + 1 AS INTEGER) AS line_number, raw FROM l WHERE line_idx >= n_lines - 100",
+    "assemble_plain": r"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders)
+SELECT CAST(o_custkey AS VARCHAR) AS source, 3 * i - 1 AS ord, 'run ' || o_orderpriority || ' ' || chr(10) || '  --status ' || o_orderstatus AS command, CAST('1' || strftime(o_orderdate, '%Y%m%d') AS BIGINT) AS epoch, CAST(3 * i - 1 AS INTEGER) AS line_number FROM o""",
+    "assemble_extended": r"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders)
+SELECT CAST(o_custkey AS VARCHAR) AS source, 2 * i - 2 AS ord, 'ship ' || o_orderstatus AS command, CAST('1' || strftime(o_orderdate, '%Y%m%d') AS BIGINT) AS epoch, CAST(2 * i - 1 AS INTEGER) AS line_number FROM o
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), 2 * i - 1, 'note ' || o_orderpriority, NULL, CAST(2 * i AS INTEGER) FROM o""",
+    "assemble_documents": rf"WITH {_LINES} SELECT source, line_idx AS ord, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS command, CAST(line_idx + 1 AS INTEGER) AS line_number FROM l WHERE trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''",
+    "format_sniff": "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS source FROM orders",
+    "command_counts": f"WITH {_CLEAN} SELECT command AS key, count(*) AS count, max(ts) AS last_used FROM k GROUP BY command",
+    "sequence_counts": f"WITH {_CLEAN} SELECT key, count(*) AS count, max(used) AS last_used, CAST(min(w) AS INTEGER) AS \"window\" FROM {_sequences_sql(5)} GROUP BY key",
+    "merged_counts": f"WITH {_CLEAN} SELECT command AS key, count(*) AS count, 0 AS kind FROM k GROUP BY command UNION ALL SELECT key, count(*), 1 FROM {_sequences_sql(3)} WHERE key NOT IN (SELECT command FROM k) GROUP BY key",
+    "totals": f"WITH {_CLEAN} SELECT count(*) AS total_commands, count(DISTINCT command) AS unique_commands FROM k",
+    "near_pairs": "WITH c AS (SELECT p_name || ' ' || p_type AS key, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, f) AS i FROM c) SELECT a.key AS low, b.key AS high FROM r a, r b WHERE a.i < b.i AND abs(length(a.key) - length(b.key)) <= 3 AND levenshtein(a.key, b.key) <= 3",
+    "safety_alerts": f"WITH {_HITS}, {_RULES} SELECT command AS pattern, count(*) AS frequency, risk, safer_alternative, rule_name FROM h JOIN r USING (rule) GROUP BY ALL",
+    "dangerous_commands": f"WITH {_HITS} SELECT DISTINCT command AS pattern FROM h",
+    "tokens": f"WITH e AS (SELECT p_partkey AS ord, p_name || ' ' || p_type AS command FROM part) SELECT ord, array_to_string({_TOKENS}, ' ') AS tokens FROM e",
+    "command_stats": "SELECT p_name || ' ' || p_type AS command, count(*) AS frequency, CAST(max(p_partkey) AS INTEGER) AS line_number FROM part GROUP BY 1",
+    "search": _search_sql(_SEARCHED),
+    "search_typo": _search_sql("stell"),
+    "scores": "WITH s AS (SELECT event_type AS command, count(*) AS frequency, max(ts) AS u FROM events GROUP BY 1), m AS (SELECT max(frequency) AS most, max(u) AS newest FROM s) SELECT command, frequency, round(CASE WHEN most <= 1 THEN 0 ELSE ln(1 + frequency) / ln(1 + most) END, 9) AS frequency_score, round(CASE WHEN epoch_ms(newest) - epoch_ms(u) <= 0 THEN 1 ELSE greatest(0.0, 1 - (epoch_ms(newest) - epoch_ms(u)) / 2592000000.0) END, 9) AS recency_score FROM s, m",
+    "scalars": r"""SELECT p_partkey, upper(p_name[1]) || p_name[2:] AS capital, CASE WHEN length(p_name) <= 12 THEN p_name ELSE p_name[1:9] || '...' END AS short, p_name || '\|\` ' || p_name AS escaped, CAST(CAST(floor(p_size / CAST(1000 AS DOUBLE) * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS VARCHAR) || '%' AS percent, floor(p_retailprice / CAST(7 AS DOUBLE) * 1000 + CAST(0.5 AS DOUBLE)) / CAST(1000 AS DOUBLE) AS rounded FROM part""",
+    "scrub": rf"""WITH {_LINES} SELECT source, CAST(line_idx AS INTEGER) AS line_idx, regexp_replace(raw, '(?i)\b(?:password|passwd|token|api_?key|apikey|secret|credentials?)\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"'']+)', '[REDACTED]', 'g') AS raw, CAST(len(regexp_extract_all(raw, '(?i)\b(?:password|passwd|token|api_?key|apikey|secret|credentials?)\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"'']+)')) AS INTEGER) AS redacted_count FROM l WHERE regexp_matches(raw, '(?i)token = ')""",
+    "parse_suggestions": f"SELECT * FROM (VALUES (1, 'git status', 'alias', 'alias gs=''git status''', 'gs', 'short', 'safe'), (2, 'npm test', 'function', 'x', '', '', NULL), (5, 'gs', 'alias', 'alias gs=''git status''', 'gs', '', NULL)) AS t({_SUGGESTION})",
+    "parse_alerts": "SELECT * FROM (VALUES (1, 'rm -rf x', CAST(3 AS DOUBLE), 'gone', 'rm -i'), (2, 'dd', CAST(0 AS DOUBLE), '', 'dd status=progress')) AS t(id, pattern, frequency, risk, safer_alternative)",
+    "alert_suggestions": f"WITH {_HITS}, {_RULES} SELECT DISTINCT command AS pattern, 'function' AS type, safer_alternative AS code, 'safe-' || split_part(command, ' ', 1) AS name, 'Safety improvement: ' || risk AS explanation, 'warning' AS safety FROM h JOIN r USING (rule)",
+    "selected": "SELECT p_partkey, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS code FROM part WHERE p_partkey % 3 = 0",
+    "review_counts": "SELECT count(*) FILTER (WHERE p_partkey % 3 <> 2) AS reviewed, count(*) FILTER (WHERE p_partkey % 3 = 0) AS to_apply, count(*) FILTER (WHERE p_partkey % 3 = 1) AS ignored FROM part",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
