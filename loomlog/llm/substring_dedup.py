@@ -9,7 +9,7 @@ ways to the run of all windows that picked it; the hash of that run is its conte
 2. Where all contexts of an anchor agree, the whole extended match repeats: every document but the
    first loses all windows of that run.
 3. Where contexts differ, the repeat ends inside the run, and its windows are compared one by one
-   (128-bit hashes) through the least document that holds each.
+   (96-bit hashes) through the least document that holds each.
 4. Repeats inside one document are found in that document alone.
 
 Per document the covered windows are united, which yields the maximal repeats of at least
@@ -138,7 +138,7 @@ def _window_rows(length: int, k: int):
                 keep = _first_of(doc, one, two)
                 doc = doc[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(one[keep]), _signed(two[keep]), pa.array(ids[lo:hi][doc]), pa.array(sums[lo:hi][doc]), pa.array((starts[keep] - bounds[doc]).astype(np.int32))],
+                    [_signed(one[keep]), pa.array((two[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[lo:hi][doc]), pa.array(sums[lo:hi][doc]), pa.array((starts[keep] - bounds[doc]).astype(np.int32))],
                     names=["one", "two", "id", "sum", "at"],
                 )
 
@@ -220,11 +220,11 @@ def substring_dedup(docs: DataFrame, length: int = 20, k: int = 6, with_text: bo
         raise ValueError("k must lie between 1 and length")
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("sum"),
+        F.hash(F.coalesce("text", F.lit(""))).alias("sum"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     rows = texts.select("id", "sum", "text")
-    anchors = rows.mapInArrow(_anchor_rows(length, k), "anchor long, context long, id long, sum long, at int")
+    anchors = rows.mapInArrow(_anchor_rows(length, k), "anchor long, context long, id long, sum int, at int")
     groups = (
         anchors.groupBy("anchor")
         .agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"), F.min("id").alias("first_id"))
@@ -236,7 +236,7 @@ def substring_dedup(docs: DataFrame, length: int = 20, k: int = 6, with_text: bo
     windows = (
         rows.join(lists.filter("size(open) > 0").select("id", "sum", "open"), ["id", "sum"])
         .select("id", "sum", "text", "open")
-        .mapInArrow(_window_rows(length, k), "one long, two long, id long, sum long, at int")
+        .mapInArrow(_window_rows(length, k), "one long, two int, id long, sum int, at int")
     )
     firsts = windows.groupBy("one", "two").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1").select(F.col("one").alias("g1"), F.col("two").alias("g2"), "first_id")
     late = windows.join(firsts, (F.col("one") == F.col("g1")) & (F.col("two") == F.col("g2"))).filter("id > first_id").groupBy("id", "sum").agg(F.collect_list("at").alias("single"))
