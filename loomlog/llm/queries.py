@@ -30,12 +30,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomlog.llm.cluster import shared_folder
+    from loomlog.llm.cluster import checkpointed, shared_folder
     from loomlog.llm.warc import assemble, read_warc, write_warc
 
     path = shared_folder(spark, "warc")
     write_warc(_table(spark, sf_dir, "pages"), path)
-    captures = assemble(read_warc(spark, path))
+    captures = assemble(checkpointed(read_warc(spark, path)))
     return captures.select(
         F.col("metadata.page_id").alias("page_id"),
         F.coalesce("response.payload_bytes", "referred.payload_bytes").alias("payload_bytes"),
