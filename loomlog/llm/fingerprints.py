@@ -26,7 +26,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlog.llm.textops import doc_of, hash_words, mix, slices
+from loomlog.llm.textops import doc_of, hash_words, mix, slices, sort_within
 
 COUNTER_BITS = 18
 IDF_BAND = (2.3, 14.0)
@@ -37,7 +37,7 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Document and hash of each distinct term, in sorted order."""
     h, _, _, bounds = hash_words(data, offsets)
     doc = doc_of(bounds)
-    order = np.lexsort((h, doc))
+    order = sort_within(doc, h)
     doc, h = doc[order], h[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from loomlog.llm.cluster import checkpointed, stored
 from loomlog.llm.components import components
-from loomlog.llm.textops import hash_words, mix, prefix_sums, run_hash, slices
+from loomlog.llm.textops import hash_words, mix, prefix_sums, run_hash, slices, sort_within
 
 _NO_ID = (1 << 63) - 1
 SHINGLE, NUM, DEN = 5, 75, 100
@@ -51,7 +51,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     doc = np.repeat(np.arange(len(size)), count)
     start = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + bounds[:-1][doc]
     h = run_hash(acc, start, start + np.minimum(k, size)[doc])
-    order = np.lexsort((h, doc))
+    order = sort_within(doc, h)
     doc, h = doc[order], h[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
@@ -63,31 +63,29 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _summaries(k: int):
+def _survey(k: int, least: int):
+    """Per text its set's size and 128-bit sum; per batch the shingles that several texts hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "key", "n", "one", "two"]
         for batch in batches:
+            seen = []
             for lo, hi, data, offsets in slices(batch.column(1)):
                 h, cut = shingle_sets(data, offsets, k)
                 one = np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(11)), dtype=np.uint64)])
                 two = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
+                seen.append(h)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cut)), _long(one[cut[1:]] - one[cut[:-1]]), _long(two[cut[1:]] - two[cut[:-1]])],
-                    names=["id", "n", "one", "two"],
+                    [pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cut)), _long(one[cut[1:]] - one[cut[:-1]]), _long(two[cut[1:]] - two[cut[:-1]])],
+                    names=names,
                 )
-
-    return run
-
-
-def _frequent(k: int, least: int):
-    """Shingles that several documents of a batch hold, with how many."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [shingle_sets(data, offsets, k)[0] for _, _, data, offsets in slices(batch.column(1))]
-            if parts:
-                h, n = np.unique(np.concatenate(parts), return_counts=True)
-                keep = n >= least
-                yield pa.RecordBatch.from_arrays([_long(h[keep]), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
+            if seen:
+                h = np.sort(np.concatenate(seen))
+                begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+                n = np.diff(np.append(begin, len(h)))
+                h, n = h[begin[n >= least]], n[n >= least].astype(np.int64)
+                none = pa.array(np.zeros(len(h), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), _long(h), pa.array(n), none, none], names=names)
 
     return run
 
@@ -127,17 +125,21 @@ def _overlaps(k: int):
             first, second = batch.column(2), batch.column(3)
             for lo in range(0, len(first), 512):
                 sizes, keys = [], []
-                for column in (first, second):
-                    at, n = 0, []
-                    for _, _, data, offsets in slices(column.slice(lo, 512)):
+                ids = batch.column(0).slice(lo, 512).to_numpy()
+                new = np.concatenate([[True], ids[1:] != ids[:-1]])  # rows come in the order of a
+                for column, which in ((first, np.cumsum(new) - 1), (second, np.arange(len(ids)))):
+                    texts = column.slice(lo, 512)
+                    if column is first:
+                        texts = texts.filter(pa.array(new))
+                    sets = []
+                    for _, _, data, offsets in slices(texts):
                         h, cut = shingle_sets(data, offsets, k)
-                        m = np.diff(cut)
-                        keys.append((np.repeat(np.arange(len(m)) + at, m), h))
-                        n.append(m)
-                        at += len(m)
-                    sizes.append(np.concatenate(n))
+                        sets += [h[cut[i] : cut[i + 1]] for i in range(len(cut) - 1)]
+                    n = np.array([len(x) for x in sets], dtype=np.int64)[which]
+                    keys.append((np.repeat(np.arange(len(ids)), n), np.concatenate([sets[i] for i in which])))
+                    sizes.append(n)
                 row, h = (np.concatenate(x) for x in zip(*keys))
-                order = np.lexsort((h, row))
+                order = sort_within(row, h)
                 row, h = row[order], h[order]
                 twice = (row[1:] == row[:-1]) & (h[1:] == h[:-1])
                 common = np.bincount(row[1:][twice], minlength=len(sizes[0]))
@@ -158,31 +160,25 @@ class _Join:
         """Whether an intersection of ``rest`` suffices for sets of these sizes."""
         return (self.num + self.den) * rest.cast("long") >= self.num * (n_a.cast("long") + n_b)
 
-    def classes(self) -> DataFrame:
-        """id, n, class_id of every row."""
-        sets = self.docs.mapInArrow(_summaries(self.k), "id long, n long, one long, two long")
-        sets = checkpointed(sets)
+    def survey(self) -> tuple[DataFrame, DataFrame]:
+        """id, n, class_id of every row; token, n of shingles that occur often."""
+        seen = checkpointed(self.docs.mapInArrow(_survey(self.k, 4), "kind int, key long, n long, one long, two long"))
+        sets = seen.filter("kind = 0").select(F.col("key").alias("id"), "n", "one", "two")
         least = sets.filter("n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("class_id"))
-        return checkpointed(sets.join(least, ["n", "one", "two"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")))
+        classes = checkpointed(sets.join(least, ["n", "one", "two"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")))
+        often = seen.filter("kind = 1").groupBy(F.col("key").alias("token")).agg(F.sum("n").alias("n"))
+        return classes, often.filter(F.col("n") >= 2 * self.long).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT)
 
-    def lists(self, reps: DataFrame) -> DataFrame:
+    def lists(self, reps: DataFrame, often: DataFrame) -> DataFrame:
         """token, id, n, at, listed: rows of the index lists of at least two classes."""
-        top = (
-            self.docs.mapInArrow(_frequent(self.k, 4), "token long, n long")
-            .groupBy("token")
-            .agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= 2 * self.long)
-            .orderBy(F.desc("n"), "token")
-            .limit(MOST_FREQUENT)
-            .collect()
-        )
-        token = np.array([r["token"] for r in top], dtype=np.int64).view(np.uint64)
+        token = np.array([r["token"] for r in often.collect()], dtype=np.int64).view(np.uint64)
         order = np.argsort(token)
         places = np.arange(len(token), 0, -1, dtype=np.int64)
         frequent = self.spark.sparkContext.broadcast((token[order], places[order]))  # at most MOST_FREQUENT entries
         rows = self.docs.mapInArrow(_prefixes(self.k, self.num, self.den, frequent), "token long, id long, n int, at int")
         several = rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("token").alias("t"))
-        found = rows.join(several, F.col("token") == F.col("t")).drop("t").join(reps, "id", "left_semi")
+        # Stored before the semi-join: Catalyst would push that below the join and deal all rows once more.
+        found = stored(rows.join(several, F.col("token") == F.col("t")).drop("t"), "found").join(reps, "id", "left_semi")
         counts = found.groupBy("token").agg(F.count("*").alias("listed")).filter("listed > 1").select(F.col("token").alias("t"), F.col("listed").cast("int"))
         return stored(found.join(counts, F.col("token") == F.col("t")).select("token", "id", "n", "at", "listed"), "lists")
 
@@ -206,9 +202,9 @@ class _Join:
         return pairs.join(more_a, "a", "left").join(more_b, "b", "left").filter(may).select("a", "b")
 
     def leader_pairs(self, lists: DataFrame) -> DataFrame:
-        """Members of long lists with their list's leader."""
+        """Members of long lists with their list's leader: the one with the fewest rarer shingles."""
         rows = lists.filter(F.col("listed") > self.long)
-        leaders = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n", "at")).alias("l"))
+        leaders = rows.groupBy("token").agg(F.min(F.struct("at", F.xxhash64("id").alias("h"), "id", "n")).alias("l"))
         leaders = leaders.select(F.col("token").alias("t"), F.col("l.id").alias("a"), F.col("l.n").alias("n_a"), F.col("l.at").alias("at_a"))
         pairs = rows.join(leaders, F.col("token") == F.col("t")).withColumnsRenamed({"id": "b", "n": "n_b", "at": "at_b"})
         return pairs.filter((F.col("a") != F.col("b")) & self.fits()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -229,7 +225,13 @@ class _Join:
         probes = minor.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("label").alias("label_a"), F.explode(F.sequence(block(F.greatest("lo", F.lit(1))), block(F.col("hi")))).alias("block"))
         index = mixed.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"), block(F.col("n")).alias("block"))
         pairs = probes.join(index, ["token", "block"]).filter((F.col("label_a") != F.col("label_b")) & self.fits())
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        # All common shingles of two prefixes are listed, so their number bounds the intersection.
+        of = lists.groupBy("id").agg(F.collect_set("token").alias("tokens"), F.max("n").alias("n"))
+        both = pairs.join(of.select(F.col("id").alias("a"), F.col("tokens").alias("t_a"), F.col("n").alias("n_a")), "a").join(of.select(F.col("id").alias("b"), F.col("tokens").alias("t_b"), F.col("n").alias("n_b")), "b")
+        rest = lambda n: F.ceil(n * self.num / self.den) - 1
+        room = F.size(F.array_intersect("t_a", "t_b")) + F.least(rest(F.col("n_a")), rest(F.col("n_b"))) + 1
+        return both.filter(self.needs(room, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """a, b, n_a, n_b, common of the pairs that link, from their whole texts."""
@@ -261,9 +263,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: i
     if not 0 < num <= den:
         raise ValueError("the threshold num/den must lie above 0 and at most at 1")
     join = _Join(docs, k, num, den, long)
-    rows = join.classes()
+    rows, often = join.survey()
     reps = rows.filter("id = class_id AND n > 0").select("id").distinct()
-    lists = join.lists(reps)
+    lists = join.lists(reps, often)
     pairs = stored(join.short_pairs(lists).unionByName(join.leader_pairs(lists)).distinct(), "pairs")
     links = join.verified(pairs)
     # A doc_id that stands for several texts ties their classes together.

@@ -146,3 +146,12 @@ def run_hash(acc: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int =
 def doc_of(bounds: np.ndarray) -> np.ndarray:
     """For each word the index of its text."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+def sort_within(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Order of the rows by document, then hash (both unsigned or non-negative)."""
+    order = np.argsort(h)
+    key = doc[order]
+    if len(doc) and int(doc.max()) < 1 << 16:
+        key = key.astype(np.uint16)  # sorted by radix
+    return order[np.argsort(key, kind="stable")]
