@@ -109,7 +109,13 @@ def mix(docs: DataFrame, weight=cyclic_weight, max_epochs: float = 3.0, seed: in
 
 def mixed_documents(docs: DataFrame, weight=cyclic_weight, max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
-    hashed = docs.withColumn("_row_hash", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))))
-    taken = mix(docs, weight, max_epochs, seed, whole_only=True).filter("repeats > 0").groupBy(F.col("row_hash").alias("_h"), F.coalesce(F.col("source"), F.lit("")).alias("_s"), F.col("source").isNull().alias("_n")).agg(F.max("repeats").alias("_times"))
-    joined = hashed.join(taken, (F.col("_row_hash") == F.col("_h")) & (F.coalesce(F.col("source"), F.lit("")) == F.col("_s")) & (F.col("source").isNull() == F.col("_n")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    hashed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))).alias("row_hash"),
+        F.coalesce("source", F.lit("")).alias("name"),
+        F.col("source").isNull().alias("no_name"),
+    )
+    mine = mix(docs, weight, max_epochs, seed, whole_only=True).filter("repeats > 0")
+    taken = mine.groupBy("row_hash", F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("no_name")).agg(F.max("repeats").alias("times"))
+    joined = hashed.join(taken, ["row_hash", "name", "no_name"])
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
