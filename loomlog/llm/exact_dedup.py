@@ -68,21 +68,26 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = F.m
     )
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were; of repeated rows one stays."""
     norm = without_space(F.col("text"))
     cols = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "doc_id", F.md5(norm).alias("hash"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("length"), norm.alias("norm"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "doc_id", content_hash(norm).alias("hash"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("length"), norm.alias("norm"))
     groups = checkpointed(_group(rows, "hash").select("hash", "best", (F.col("least") == F.col("greatest")).alias("same")))
-    won = (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("length") == -F.col("best.length"))
-    one = rows.join(groups.filter("same"), "hash").filter(won)
-    out = one.drop("norm", "same", "best", "length")
+    # Rows are matched with their group's winner by hash, length and doc_id: copies differ in doc_id,
+    # so a large group is dealt over many tasks.
+    keys = lambda length, doc_id: [length.alias("k_length"), doc_id.isNull().alias("k_null"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("k_id")]
+    on = ["hash", "k_length", "k_null", "k_id"]
+
+    def winners(rows: DataFrame, groups: DataFrame, also: list[str]) -> DataFrame:
+        best = groups.select("hash", *also, *keys(-F.col("best.length"), F.col("best.doc_id")))
+        mine = rows.select("hash", "row", *also, *keys(F.col("length"), F.col("doc_id")))
+        # Of rows that repeat a doc_id and a text one stays.
+        return mine.join(best, [*on, *also]).groupBy(*on, *also).agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+
+    out = winners(rows, groups.filter("same"), [])
     clashes = groups.filter("NOT same").select("hash")
     if not clashes.isEmpty():
         apart = rows.join(clashes, "hash", "left_semi")
-        again = apart.join(_group(apart, "hash", "norm").select("hash", "norm", "best"), ["hash", "norm"]).filter(won)
-        out = out.unionByName(again.select("hash", "row", "doc_id"))
-    # A doc_id can repeat inside a group; the rest of the row decides then.
-    repeated = out.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    several = out.join(repeated, "hash", "left_semi").groupBy("hash", F.xxhash64("row.text").alias("t")).agg(F.min(F.to_json("row")).alias("least"), F.min_by("row", F.to_json("row")).alias("row"))
-    return out.join(repeated, "hash", "left_anti").select("row.*").unionByName(several.select("row.*"))
+        out = out.unionByName(winners(apart, _group(apart, "hash", "norm"), ["norm"]))
+    return out
