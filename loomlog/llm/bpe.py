@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 _END = chr(256)
 _TABLES: dict[str, BpeTables] = {}
-_CACHE = 1 << 18
+_CACHE = 1 << 17
 
 
 def _byte_letters() -> dict[str, int]:
@@ -122,7 +122,7 @@ class BpeTables:
     def compatible(self, a: int, b: int) -> bool:
         ok = self.pair_ok.get((a, b))
         if ok is None:
-            if len(self.pair_ok) >= 4 * _CACHE:
+            if len(self.pair_ok) >= 2 * _CACHE:
                 self.pair_ok.clear()
             ok = self.pair_ok[(a, b)] = self._side_by_side(a, b)
         return ok
