@@ -171,7 +171,7 @@ class _Join:
 
     def lists(self, reps: DataFrame, often: DataFrame) -> DataFrame:
         """token, id, n, at, listed: rows of the index lists of at least two classes."""
-        token = np.array([r["token"] for r in often.collect()], dtype=np.int64).view(np.uint64)
+        token = often.select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(token)
         places = np.arange(len(token), 0, -1, dtype=np.int64)
         frequent = self.spark.sparkContext.broadcast((token[order], places[order]))  # at most MOST_FREQUENT entries
@@ -237,10 +237,9 @@ class _Join:
         """a, b, n_a, n_b, common of the pairs that link, from their whole texts."""
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         bit = F.pmod(F.xxhash64("id"), F.lit(_FILTER_BITS))
-        words = ids.select(F.floor(bit / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+        words = ids.select(F.floor(bit / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
         mask = np.zeros(_FILTER_BITS // 64, dtype=np.int64)  # of fixed size; the join below is what decides
-        for r in words:
-            mask[r["w"]] = r["b"]
+        mask[words["w"].to_numpy()] = words["b"].to_numpy()
         shared = self.spark.sparkContext.broadcast(mask)
 
         def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

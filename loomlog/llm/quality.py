@@ -145,7 +145,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", pe
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
     rows = texts.mapInArrow(_features(bits), "doc_id bigint, label int, slots array<int>, values array<float>").toArrow().sort_by([("doc_id", "ascending")])
     examples = [
-        (np.asarray(s.values, dtype=np.int64), np.asarray(v.values, dtype=np.float64), y.as_py())
+        (s.values.to_numpy(), v.values.to_numpy(), y.as_py())
         for s, v, y in zip(rows["slots"], rows["values"], rows["label"])
     ]
     if not examples:
