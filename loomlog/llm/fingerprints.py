@@ -97,7 +97,7 @@ class Fingerprints:
                 for rate in (0, 1):
                     hit = np.flatnonzero((draw & ((1 << (level + 1 + rate)) - 1)) == 0)
                     total = np.zeros(n, dtype=np.uint64)
-                    np.add.at(total, doc[hit], mix(h[hit] ^ np.uint64(s * 2 + rate + 1)))
+                    np.add.at(total, doc[hit], mix(h[hit] ^ np.uint64(s + 1)))  # no level in it: texts of other levels share rates
                     any_ = np.bincount(doc[hit], minlength=n) > 0
                     self.signs[:, rate, s] = np.where(any_, (total >> np.uint64(48)) | np.uint64(1), 0)
 
