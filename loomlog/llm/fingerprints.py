@@ -6,10 +6,12 @@ chosen band.  The band and the counters do not depend on the size of the corpus,
 the executors is one bit per counter.
 
 A document keeps its distinct lexicon terms in sorted order.  With m of them it is hashed through
-``subsets`` random subsets of the lexicon at two rates, 2**-(L+1) and 2**-(L+2) with
-L = floor(log2 m), so a subset holds one of its terms or none whatever its length; the signature of a subset is a hash of
-the terms in it.  Likeness is the share of equal signatures among the subsets, at rates that both
-fingerprints have, in which either has a term.  Texts without a lexicon term use all their terms.
+``subsets`` random subsets of the lexicon at the rates 2**-(L+1) to 2**-(L+RATES) with
+L = floor(log2 m), so a subset holds one of its terms or none whatever its length; the signature of
+a subset is a hash of the terms in it.  Likeness is the share of equal signatures among the subsets,
+at rates that both fingerprints have, in which either has a term; it is 0 where the numbers of terms
+differ so much (about 2**RATES) that there is no such rate.  Texts without a lexicon term use all
+their terms.
 
 Null texts count as empty; empty fingerprints are alike (1) only to each other.
 """
@@ -31,6 +33,7 @@ from loomlog.llm.textops import doc_of, hash_words, mix, slices, sort_within
 COUNTER_BITS = 18
 IDF_BAND = (2.3, 14.0)
 SUBSETS = 48
+RATES = 4
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +80,7 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND, bits: int = C
 
 
 class Fingerprints:
-    """Fingerprints of some texts: level of each, and the signatures at its two rates (0: no term)."""
+    """Fingerprints of some texts: level of each, and the signatures at its rates (0: no term)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, bits: int, subsets: int = SUBSETS):
         doc, h = _terms(data, offsets)
@@ -87,14 +90,14 @@ class Fingerprints:
         keep |= ~has[doc]
         doc, h = doc[keep], h[keep]
         m = np.bincount(doc, minlength=n)
-        self.level = np.where(m > 0, np.minimum(np.frexp(np.maximum(m, 1))[1] - 1, 13), -1).astype(np.int64)
-        self.signs = np.zeros((n, 2, subsets), dtype=np.uint16)
+        self.level = np.where(m > 0, np.minimum(np.frexp(np.maximum(m, 1))[1] - 1, 16 - RATES), -1).astype(np.int64)
+        self.signs = np.zeros((n, RATES, subsets), dtype=np.uint16)
         level = self.level[doc]
         for r in range(0, subsets, 4):
             v = mix(h + np.uint64((0x632BE59BD9B4E019 * (r + 1)) % (1 << 64)))
             for s in range(r, min(r + 4, subsets)):
                 draw = ((v >> np.uint64(16 * (s - r))) & np.uint64(0xFFFF)).astype(np.int64)
-                for rate in (0, 1):
+                for rate in range(RATES):
                     hit = np.flatnonzero((draw & ((1 << (level + 1 + rate)) - 1)) == 0)
                     total = np.zeros(n, dtype=np.uint64)
                     np.add.at(total, doc[hit], mix(h[hit] ^ np.uint64(s + 1)))  # no level in it: texts of other levels share rates
@@ -108,7 +111,7 @@ class Fingerprints:
         a, b = int(self.level[i]), int(other.level[j])
         if a < 0 or b < 0:
             return float(a == b)
-        pairs = [(x, a + x - b) for x in (0, 1) if 0 <= a + x - b <= 1]
+        pairs = [(x, a + x - b) for x in range(RATES) if 0 <= a + x - b < RATES]
         if not pairs:
             return 0.0
         left = np.concatenate([self.signs[i, x] for x, _ in pairs])

@@ -253,6 +253,17 @@ def test_fingerprints(spark, edge, empty, docs):
     assert compare_edited(empty, lexicon(empty)).count() == 0
 
 
+@pytest.mark.parametrize("part, least", [(1, 1.0), (2, 0.3), (4, 0.1)])
+def test_fingerprints_of_texts_of_different_sizes(part, least):
+    from loomlog.llm.fingerprints import COUNTER_BITS, Fingerprints, _arrow
+
+    everything = np.ones(1 << COUNTER_BITS, dtype=bool)
+    long = [f"term{i}" for i in range(400)]
+    prints = Fingerprints(*_arrow([" ".join(long), " ".join(long[: 400 // part]), " ".join(f"other{i}" for i in range(400 // part))]), everything, COUNTER_BITS)
+    assert prints.likeness(0, prints, 1) == prints.likeness(1, prints, 0) >= least
+    assert prints.likeness(0, prints, 2) < 0.05
+
+
 def test_warc(spark, tmp_path):
     from loomlog.llm.warc import assemble, read_warc, write_warc
 
