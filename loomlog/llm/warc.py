@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 VERSION = "WARC/1.1"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_SALTS = 16
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, page_id long, block_bytes long, payload_bytes long, payload_digest string, stated_digest string, method string, status int"
 
 
@@ -68,7 +69,10 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 100, date: str =
     large = F.octet_length("html") >= least_bytes
     order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "seq")
     firsts = rows.filter(large).groupBy("digest").agg(F.count("*").alias("copies"), F.min(order).alias("first")).filter("copies > 1").select(F.col("digest").alias("of"), F.col("first.page_id").alias("first_id"), F.col("first.seq").alias("first_seq"))
-    r = rows.join(firsts, (F.col("digest") == F.col("of")) & large, "left")
+    # Small payloads refer to nothing and are spread; copies of one payload meet its first in _SALTS tasks.
+    spread = F.when(large, F.col("digest")).otherwise(F.col("seq").cast("string"))
+    firsts = firsts.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    r = rows.join(firsts, (spread == F.col("of")) & (F.pmod("seq", F.lit(_SALTS)) == F.col("of_salt")), "left")
     revisit = F.col("first_seq").isNotNull() & (F.col("first_seq") != F.col("seq"))
     page, seq = F.col("page_id"), F.col("seq")
     response_id = _record_id("response", page, seq)
@@ -185,4 +189,6 @@ def assemble(records: DataFrame) -> DataFrame:
     requests, notes = side("request"), side("metadata").withColumnRenamed("of", "of2")
     out = nested.join(requests, F.col("capture_id") == F.col("of"), "left").join(notes, F.col("capture_id") == F.col("of2"), "left").drop("of", "of2")
     first = out.filter(F.col("response.type") == "response").select(F.col("capture_id").alias("target"), F.struct(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest")).alias("referred"))
-    return out.join(first, F.col("response.refers_to") == F.col("target"), "left").drop("target")
+    # Captures that refer to nothing would all meet under null; their own ids, which match no target of theirs, spread them.
+    key = F.coalesce("response.refers_to", F.concat(F.lit("-"), F.col("capture_id")))
+    return out.join(first, key == F.col("target"), "left").drop("target")
