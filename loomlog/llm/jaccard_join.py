@@ -12,8 +12,8 @@ Documents link when ``den * intersection >= num * union`` of their sets of disti
 * Answers derived from similar sets.  In long lists all members are first compared with one leader.
   Members that land in one component share its answer; only pairs across components are compared
   afterwards, so a list of n near copies costs n comparisons, not n * n.
-* Pairs of short lists are counted; those whose count leaves too little room are dropped before
-  their texts are compared exactly.
+* Pairs of short lists are counted; those whose count leaves too little room behind their last
+  common shingle are dropped before their texts are compared exactly.
 
 The result holds every component exactly: a link is either verified or lies inside a component that
 verified links connect.  Sets are compared as sets of 64-bit hashes.
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,8 +126,10 @@ def _overlaps(k: int):
             first, second = batch.column(2), batch.column(3)
             for lo in range(0, len(first), 512):
                 sizes, keys = [], []
-                ids = batch.column(0).slice(lo, 512).to_numpy()
-                new = np.concatenate([[True], ids[1:] != ids[:-1]])  # rows come in the order of a
+                ids = batch.column(0).slice(lo, 512)
+                texts = first.slice(lo, 512)
+                # Rows come in the order of a, and mostly repeat its text.
+                new = np.concatenate([[True], pc.not_equal(texts[1:], texts[:-1]).to_numpy(zero_copy_only=False)])
                 for column, which in ((first, np.cumsum(new) - 1), (second, np.arange(len(ids)))):
                     texts = column.slice(lo, 512)
                     if column is first:
@@ -170,7 +173,7 @@ class _Join:
         return classes, often.filter(F.col("n") >= 2 * self.long).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT)
 
     def lists(self, reps: DataFrame, often: DataFrame) -> DataFrame:
-        """token, id, n, at, listed: rows of the index lists of at least two classes."""
+        """token, id, n, at, several, listed: rows of the index lists of at least two classes."""
         token = often.select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(token)
         places = np.arange(len(token), 0, -1, dtype=np.int64)
@@ -178,9 +181,9 @@ class _Join:
         rows = self.docs.mapInArrow(_prefixes(self.k, self.num, self.den, frequent), "token long, id long, n int, at int")
         several = rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("token").alias("t"))
         # Stored before the semi-join: Catalyst would push that below the join and deal all rows once more.
-        found = stored(rows.join(several, F.col("token") == F.col("t")).drop("t"), "found").join(reps, "id", "left_semi")
+        found = stored(rows.join(several, F.col("token") == F.col("t")).drop("t"), "found").join(reps, "id")
         counts = found.groupBy("token").agg(F.count("*").alias("listed")).filter("listed > 1").select(F.col("token").alias("t"), F.col("listed").cast("int"))
-        return stored(found.join(counts, F.col("token") == F.col("t")).select("token", "id", "n", "at", "listed"), "lists")
+        return stored(found.join(counts, F.col("token") == F.col("t")).select("token", "id", "n", "at", "several", "listed"), "lists")
 
     def fits(self) -> Column:
         """Whether a shared shingle could be the first common one of a linked pair a, b."""
@@ -190,16 +193,23 @@ class _Join:
     def short_pairs(self, lists: DataFrame) -> DataFrame:
         """Pairs that share a shingle of a short list and may still reach the threshold."""
         short = lists.filter(F.col("listed") <= self.long)
-        a = short.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-        b = short.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+        side = lambda x: short.select("token", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "at", "several")])
         alike = (F.col("a") < F.col("b")) & (self.den * F.col("n_a") >= self.num * F.col("n_b")) & (self.den * F.col("n_b") >= self.num * F.col("n_a"))
-        pairs = a.join(b, "token").filter(alike).groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.max(self.fits()).alias("fits"))
+        last = [F.max(c).alias(c) for c in ("n_a", "n_b", "at_a", "at_b")]
+        pairs = side("a").join(side("b"), "token").filter(alike).groupBy("a", "b").agg(F.count("*").alias("shared"), *last, F.max(F.col("several_a") | F.col("several_b")).alias("several"), F.max(self.fits()).alias("fits"))
         more = lists.filter(F.col("listed") > self.long).groupBy("id").agg(F.count("*").alias("more"))
         more_a, more_b = more.select(F.col("id").alias("a"), F.col("more").alias("more_a")), more.select(F.col("id").alias("b"), F.col("more").alias("more_b"))
-        rest = lambda n: F.ceil(n * self.num / self.den) - 1  # noqa: E731  what a set has besides its prefix
-        room = F.col("shared") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))) + F.least(rest(F.col("n_a")), rest(F.col("n_b"))) + 1
+        room = F.col("shared") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))) + self.behind()
         may = self.needs(room, F.col("n_a"), F.col("n_b")) & (F.col("fits") | (F.coalesce("more_a", F.lit(0)) > 0) & (F.coalesce("more_b", F.lit(0)) > 0))
-        return pairs.join(more_a, "a", "left").join(more_b, "b", "left").filter(may).select("a", "b")
+        return pairs.join(more_a, "a", "left").join(more_b, "b", "left").filter(F.col("several") | may).select("a", "b")
+
+    def behind(self) -> Column:
+        """How many shingles two sets can share behind their last common one at at_a, at_b.
+
+        Prefixes end at different places of the order, so what lies outside of the shorter one is no
+        such bound: only what precedes a shingle of both prefixes is sure to be in both.
+        """
+        return F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
 
     def leader_pairs(self, lists: DataFrame) -> DataFrame:
         """Members of long lists with their list's leader: the one with the fewest rarer shingles."""
@@ -225,13 +235,16 @@ class _Join:
         probes = minor.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("label").alias("label_a"), F.explode(F.sequence(block(F.greatest("lo", F.lit(1))), block(F.col("hi")))).alias("block"))
         index = mixed.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"), block(F.col("n")).alias("block"))
         pairs = probes.join(index, ["token", "block"]).filter((F.col("label_a") != F.col("label_b")) & self.fits())
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        swapped = F.col("a") > F.col("b")
+        pairs = pairs.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(
+            F.max(F.when(swapped, F.col("at_b")).otherwise(F.col("at_a"))).alias("at_a"), F.max(F.when(swapped, F.col("at_a")).otherwise(F.col("at_b"))).alias("at_b")
+        ).withColumnsRenamed({"low": "a", "high": "b"})
         # All common shingles of two prefixes are listed, so their number bounds the intersection.
-        of = lists.groupBy("id").agg(F.collect_set("token").alias("tokens"), F.max("n").alias("n"))
-        both = pairs.join(of.select(F.col("id").alias("a"), F.col("tokens").alias("t_a"), F.col("n").alias("n_a")), "a").join(of.select(F.col("id").alias("b"), F.col("tokens").alias("t_b"), F.col("n").alias("n_b")), "b")
-        rest = lambda n: F.ceil(n * self.num / self.den) - 1
-        room = F.size(F.array_intersect("t_a", "t_b")) + F.least(rest(F.col("n_a")), rest(F.col("n_b"))) + 1
-        return both.filter(self.needs(room, F.col("n_a"), F.col("n_b"))).select("a", "b")
+        of = lists.groupBy("id").agg(F.collect_set("token").alias("t"), F.max("n").alias("n"), F.max("several").alias("several"))
+        side = lambda x: of.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("t", "n", "several")])
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        room = F.size(F.array_intersect("t_a", "t_b")) + self.behind()
+        return both.filter(F.col("several_a") | F.col("several_b") | self.needs(room, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """a, b, n_a, n_b, common of the pairs that link, from their whole texts."""
@@ -263,7 +276,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: i
         raise ValueError("the threshold num/den must lie above 0 and at most at 1")
     join = _Join(docs, k, num, den, long)
     rows, often = join.survey()
-    reps = rows.filter("id = class_id AND n > 0").select("id").distinct()
+    # Bounds on pairs hold for single texts, so a doc_id with several of them is compared in any case.
+    reps = rows.filter("n > 0").groupBy("id").agg(F.max(F.col("id") == F.col("class_id")).alias("first"), (F.min("class_id") != F.max("class_id")).alias("several")).filter("first").select("id", "several")
     lists = join.lists(reps, often)
     pairs = stored(join.short_pairs(lists).unionByName(join.leader_pairs(lists)).distinct(), "pairs")
     links = join.verified(pairs)

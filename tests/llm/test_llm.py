@@ -135,7 +135,15 @@ def test_jaccard_join(spark, edge, empty, docs, long):
         for k in rng.choice(120, size=int(rng.integers(0, 7)), replace=False):
             w[k] = f"e{i}_{k}"
         near.append((100 + i, " ".join(w)))
-    for rows in (EDGE, [(r.doc_id, r.text) for r in docs.collect()], near):
+    cut = []  # texts and shorter parts of them, around the threshold
+    for i in range(80):
+        n = int(rng.integers(40, 400))
+        w = [f"c{i}_{k}" for k in range(n)]
+        cut.append((1000 + 2 * i, " ".join(w)))
+        keep = -(-(n - 4) * int(rng.integers(74, 82)) // 100) + 4
+        cut.append((1001 + 2 * i, " ".join(w[:keep])))
+    several = [(i % 20, t) for i, (_, t) in enumerate(cut)]  # doc_ids that stand for several texts
+    for rows in (EDGE, [(r.doc_id, r.text) for r in docs.collect()], near, cut, several):
         df = spark.createDataFrame(rows, "doc_id long, text string")
         got = {r.doc_id: r.component_id for r in jaccard_components(df, long=long).collect()}
         assert got == brute_components(rows)
