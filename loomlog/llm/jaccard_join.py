@@ -204,12 +204,14 @@ class _Join:
         return pairs.join(more_a, "a", "left").join(more_b, "b", "left").filter(F.col("several") | may).select("a", "b")
 
     def behind(self) -> Column:
-        """How many shingles two sets can share behind their last common one at at_a, at_b.
+        """How many shingles two sets can share beside those common to both prefixes.
 
-        Prefixes end at different places of the order, so what lies outside of the shorter one is no
-        such bound: only what precedes a shingle of both prefixes is sure to be in both.
+        All of them lie behind the last common one, at at_a and at_b; and they lie outside of the
+        prefix that ends first in the order, which may be that of either set.
         """
-        return F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
+        outside = lambda n: F.ceil(n * self.num / self.den) - 1
+        last = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
+        return F.least(last, outside(F.greatest("n_a", "n_b")))
 
     def leader_pairs(self, lists: DataFrame) -> DataFrame:
         """Members of long lists with their list's leader: the one with the fewest rarer shingles."""
