@@ -23,7 +23,7 @@ LOWER_ASCII[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _PIECE = 1 << 20
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
