@@ -173,10 +173,16 @@ def _reviewed(spark, sf_dir):
 
 
 def _q_scrub(spark, sf_dir):
+    """The lines of one kind that the SQL covers; scrub_lines has all lines."""
     rows = _documents_lines(spark, sf_dir).filter(F.col("raw").rlike("(?i)token = "))
     return redact.scrub_column(rows.select("source", "line_idx", "raw"), "raw")
 
 
+def _q_scrub_lines(spark, sf_dir):
+    """Every line of documents, all kinds; its lookbehinds have no SQL, tests/test_redact.py has each kind."""
+    return redact.scrub_column(_documents_lines(spark, sf_dir).select("source", "line_idx", "raw"), "raw")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "frequency_top": lambda s, d: frequency.count_commands(_cleaned(s, d)).filter("count >= 5").orderBy(F.desc("count"), F.desc_nulls_last("last_used"), "first").limit(20).select(F.col("key").alias("pattern"), F.col("count").alias("frequency"), "last_used"),
     "entries": lambda s, d: _events(s, d).select("source", "ord", "command", "timestamp"),
@@ -203,6 +209,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scores": _q_scores,
     "scalars": _q_scalars,
     "scrub": _q_scrub,
+    "scrub_lines": _q_scrub_lines,
     "parse_suggestions": _q_parse_suggestions,
     "parse_alerts": _q_parse_alerts,
     "alert_suggestions": _q_alert_suggestions,
