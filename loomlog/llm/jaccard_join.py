@@ -297,7 +297,24 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: i
 
 
 def near_dedup(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The rows of ``docs`` of which each component keeps its least doc_id; rows without a set stay."""
-    found = jaccard_components(docs, k, num, den)
-    gone = found.filter("n_shingles > 0 AND NOT (doc_id <=> component_id)").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """The rows of ``docs`` of which each component keeps one; rows without a set stay.
+
+    Decided row by row: a node is a pair of doc_id and text, known by its 64-bit hash, so rows with
+    null or repeated ids are compared by their own texts only.  The least doc_id of a component stays
+    (null last), of several texts that have it one, and of equal rows one.
+    """
+    node = F.least(F.xxhash64("doc_id", "text"), F.lit(_NO_ID - 1))
+    ids = docs.groupBy(node.alias("node")).agg(F.min("doc_id").alias("id"))
+    found = jaccard_components(docs.select(node.alias("doc_id"), "text"), k, num, den).filter("n_shingles > 0")
+    nodes = found.groupBy(F.col("doc_id").alias("node")).agg(F.min("component_id").alias("component"), F.count("*").alias("copies"))
+    nodes = checkpointed(nodes.join(ids, "node"))
+    # Joined by node and not by component: the members of a large component are dealt over many tasks.
+    first = nodes.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("f")).select(F.col("f.node").alias("node"))
+    gone = nodes.join(first, "node", "left_anti").select("node")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node.alias("node"))
+    kept = rows.join(gone, "node", "left_anti")
+    repeated = nodes.filter("copies > 1").select("node")
+    if repeated.isEmpty():
+        return kept.select("row.*")
+    once = kept.join(repeated, "node", "left_semi").groupBy("node").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.join(repeated, "node", "left_anti").select("row.*").unionByName(once.select("row.*"))
