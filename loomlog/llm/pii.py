@@ -11,7 +11,8 @@ ones, and the text around stays as it is.
 * IPv4 addresses: the two halves of the 32 bits.
 * calendar dates (yyyy-mm-dd and dd/mm/yyyy, 1800 to 2199): the day's number in the Gregorian
   400-year cycle of 189 * 773 days.
-* secrets of at least 32 hex digits: each run of up to 16 digits, keyed by its place.
+* secrets of at least 32 hex digits: each run of up to 16 digits, keyed by its place; digits
+  count by value, and where a letter is upper case all letters of the pseudonym are.
 * e-mail addresses have no numeric format: the local part becomes 16 hex digits of a keyed hash,
   under the reserved domain example.invalid.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 
 EMAIL = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"
-SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])"
 ISO_DATE = r"(?<![0-9-])(?:1[89]|2[01])[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])"
 DAY_DATE = r"(?<![0-9/])(?:0[1-9]|[12][0-9]|3[01])/(?:0[1-9]|1[0-2])/(?:1[89]|2[01])[0-9]{2}(?![0-9/])"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
@@ -194,7 +195,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     key: any secret string; the same key gives the same pseudonyms in every run.
     """
     t = F.col(text)
-    found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(t.rlike("[0-9@]|[a-fA-F]{32}"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
     def rebuilt(found: Column, new: Column) -> Column:
         parts = F.zip_with(F.split(t, ANY, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))

@@ -1,0 +1,13 @@
+"""Inputs beyond sizes at which an operator once did less."""
+
+import pytest
+
+
+@pytest.mark.parametrize("secret", ["0a" * 64 + "7", "9f" * 500, "aB" * 20])
+def test_secrets_of_any_length_and_letter_case(spark, secret):
+    from loomlog.llm.pii import pseudonymise
+
+    row = pseudonymise(spark.createDataFrame([(1, f"key {secret} end")], "doc_id long, text string"), "k").first()
+    new = row.text.split(" ")[1]
+    assert row.n_pseudonyms == 1 and new != secret and len(new) == len(secret) and row.text == f"key {new} end"
+    assert not set(new.lower()) - set("0123456789abcdef")
