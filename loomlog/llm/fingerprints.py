@@ -90,7 +90,7 @@ class Fingerprints:
         keep |= ~has[doc]
         doc, h = doc[keep], h[keep]
         m = np.bincount(doc, minlength=n)
-        self.level = np.where(m > 0, np.minimum(np.frexp(np.maximum(m, 1))[1] - 1, 16 - RATES), -1).astype(np.int64)
+        self.level = np.where(m > 0, np.frexp(np.maximum(m, 1))[1] - 1, -1).astype(np.int64)
         self.signs = np.zeros((n, RATES, subsets), dtype=np.uint16)
         level = self.level[doc]
         for r in range(0, subsets, 4):
@@ -98,7 +98,12 @@ class Fingerprints:
             for s in range(r, min(r + 4, subsets)):
                 draw = ((v >> np.uint64(16 * (s - r))) & np.uint64(0xFFFF)).astype(np.int64)
                 for rate in range(RATES):
-                    hit = np.flatnonzero((draw & ((1 << (level + 1 + rate)) - 1)) == 0)
+                    bits_ = level + 1 + rate
+                    hit = np.flatnonzero((draw & ((1 << np.minimum(bits_, 16)) - 1)) == 0)
+                    deep = np.maximum(bits_[hit] - 16, 0)  # beyond the 16 bits of the draw: bits of another hash
+                    if deep.any():
+                        more = mix(h[hit] + np.uint64((0xD1B54A32D192ED03 * (s + 1)) % (1 << 64))).astype(np.int64)
+                        hit = hit[(more & ((1 << deep) - 1)) == 0]
                     total = np.zeros(n, dtype=np.uint64)
                     np.add.at(total, doc[hit], mix(h[hit] ^ np.uint64(s + 1)))  # no level in it: texts of other levels share rates
                     any_ = np.bincount(doc[hit], minlength=n) > 0
