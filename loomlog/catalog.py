@@ -12,7 +12,7 @@ from loomlog.operators import clean, frequency, redact, responses, safety
 from loomlog.operators.assemble import assemble, extended_entries, is_extended, plain_entries
 from loomlog.operators.search import command_stats, search
 from loomlog.plans.commands import totals
-from loomlog.sources.history import events_as_entries, lines_of, parts_as_entries, tail_lines
+from loomlog.sources.history import ALL_LINES, events_as_entries, lines_of, parts_as_entries, tail_lines
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,7 @@ def _log_lines(orders: DataFrame, pieces) -> DataFrame:
     texts = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", *pieces))).alias("rows"))
     names = [f"p{i}" for i in range(len(pieces))]
     text = F.array_join(F.transform("rows", lambda r: F.concat_ws("\n", *[r[n] for n in names])), "\n")
-    return tail_lines(lines_of(texts.select("o_custkey", text.alias("text")), "o_custkey", "text"), 10_000)
+    return tail_lines(lines_of(texts.select("o_custkey", text.alias("text")), "o_custkey", "text"), ALL_LINES)
 
 
 def _plain_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +191,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tail_lines": lambda s, d: tail_lines(_documents_lines(s, d), 100).select("source", "line_number", "raw"),
     "assemble_plain": _q_assemble_plain,
     "assemble_extended": _q_assemble_extended,
-    "assemble_documents": lambda s, d: assemble(_documents_lines(s, d), max_lines=1_000_000).select("source", "ord", "command", "line_number"),
+    "assemble_documents": lambda s, d: assemble(_documents_lines(s, d), max_lines=ALL_LINES).select("source", "ord", "command", "line_number"),
     "format_sniff": lambda s, d: is_extended(_extended_log(s, d)),
     "command_counts": lambda s, d: frequency.count_commands(_cleaned(s, d)).select("key", "count", "last_used"),
     "sequence_counts": lambda s, d: frequency.count_sequences(_cleaned(s, d)).select("key", "count", "last_used", "window"),

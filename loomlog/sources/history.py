@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_LINES, LEAST_LINES = 5000, 100
+ALL_LINES = (1 << 31) - 1  # as many as an array of lines can hold
 SHELLS = ("bash", "zsh", "powershell")
 
 
