@@ -50,8 +50,8 @@ STAGES = [
     ("BPE encoding", bpe_stage),
 ]
 
-#: SQL can express neither the classifier nor the encoder; tests/llm holds the stages against
-#: brute-force versions.
+#: SQL can express neither the classifier nor the encoder; tests/llm holds the rows that near_dedup
+#: keeps against a brute-force version, and of the other stages' output the columns and counts.
 ORACLE_SQL = None
 
 
