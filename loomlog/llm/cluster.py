@@ -25,6 +25,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
+def small_batches(spark: SparkSession, limit: int = 1 << 21) -> None:
+    """Bound the Arrow batches that go to Python workers by bytes; by default only rows bound them.
+
+    A session that names a smaller limit keeps it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not now.isdigit() or int(now) > limit:
+        spark.conf.set(name, limit)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared folder, with its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -1,19 +1,26 @@
 """I-Match fingerprints over randomised lexicon subsets.
 
-Terms are a text's words.  Their document frequency is counted over all documents in a fixed number
-of hashed counters; a term belongs to the lexicon if its inverse document frequency lies in the
-chosen band.  The band and the counters do not depend on the size of the corpus, and what goes to
-the executors is one bit per counter.
-
-A document keeps its distinct lexicon terms in sorted order.  With m of them it is hashed through
-``subsets`` random subsets of the lexicon at the rates 2**-(L+1) to 2**-(L+RATES) with
-L = floor(log2 m), so a subset holds one of its terms or none whatever its length; the signature of
-a subset is a hash of the terms in it.  Likeness is the share of equal signatures among the subsets,
-at rates that both fingerprints have, in which either has a term; it is 0 where the numbers of terms
-differ so much (about 2**RATES) that there is no such rate.  Texts without a lexicon term use all
-their terms.
-
-Null texts count as empty; empty fingerprints are alike (1) only to each other.
+Terms are a text's words.  Their document frequencies are counted exactly over all documents; the
+lexicon holds the terms whose share of the documents lies between ``rare`` and ``common`` (a band of
+the inverse document frequency).  The rare end bounds it: with m distinct terms a document on
+average there are at most m / rare terms that frequent.  Should that still be more than
+``MAX_TERMS``, the rare end moves to where that many are left; so the broadcast lexicon is bounded.
+
+The distinct lexicon terms of a document are sorted and hashed, whole and in order, once for each of
+several random subsets of the lexicon: what survives in a subset gives its signature.
+
+* ``DENSE`` subsets drop an eighth of the lexicon each, as in the published method.  They agree for
+  texts that differ in a few lexicon terms.
+* A text of which half is replaced shares no such subset.  ``SUBSETS`` families of smaller ones, nested
+  at the rates 1/2, 1/4, 1/8 ... serve those: a text of m terms is hashed through the subsets at the
+  rates 2**-(L+1) to 2**-(L+RATES), L = floor(log2 m), where few of its terms survive.
+
+The rates do not depend on the document, so texts of different sizes are compared at those that both
+have.  Likeness is the share of equal signatures among the compared subsets in which either text has
+a term: 1 for equal texts, 0 if no subset agrees.  Texts without a lexicon term use all their terms.
+
+Null texts count as empty; empty fingerprints are alike (1) only to each other.  Other columns of the
+input are ignored, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,16 +31,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.textops import doc_of, hash_words, mix, slices, sort_within
+from loomlog.llm.cluster import checkpointed, small_batches
+from loomlog.llm.textops import doc_of, hash_words, mix, prefix_sums, run_hash, slices, sort_within
 
-COUNTER_BITS = 18
-IDF_BAND = (2.3, 14.0)
+RARE, COMMON = 1 / 8192, 1 / 10
+MAX_TERMS = 1 << 22
+DENSE = 8
 SUBSETS = 48
 RATES = 4
+_PENDING = 1 << 20
+_CHUNK = 1 << 18
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,147 +57,190 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc[new], h[new]
 
 
-def _counter(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms with their number of documents, summed up over about _PENDING rows at a time."""
+    held: list[np.ndarray] = []
 
+    def sums() -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
 
-def _count_terms(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = np.zeros(1 << bits, dtype=np.int64)
-            for _, _, data, offsets in slices(batch.column(0)):
-                doc, h = _terms(data, offsets)
-                c = _counter(h, bits)
-                # Terms of one document that share a counter count once.
-                key = np.unique((doc << bits) | c)
-                total += np.bincount(key & ((1 << bits) - 1), minlength=1 << bits)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["counter", "n"])
-
-    return run
+    for batch in batches:
+        for _, _, data, offsets in slices(batch.column(0)):
+            held.append(_terms(data, offsets)[1])
+            if sum(map(len, held)) > _PENDING:
+                yield sums()
+    if held:
+        yield sums()
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND, bits: int = COUNTER_BITS) -> np.ndarray:
-    """One flag per counter: whether the terms counted there lie in the band.  2**bits flags."""
+def lexicon(docs: DataFrame, rare: float = RARE, common: float = COMMON, max_terms: int = MAX_TERMS) -> np.ndarray:
+    """Sorted hashes of the terms in the band, at most max_terms."""
+    small_batches(docs.sparkSession)
     n_docs = docs.count()
-    counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count_terms(bits), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    idf = F.log(F.lit(float(max(n_docs, 1))) / F.col("n"))
-    inside = counts.filter(idf.between(*band)).select(F.floor(F.col("counter") / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("counter") % 32).alias("b"))
-    words = np.zeros((1 << bits) // 32, dtype=np.uint32)
-    for r in inside.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        words[r["w"]] = r["b"]
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+    counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    inside = checkpointed(counts.filter(F.col("n").between(rare * n_docs, common * n_docs)))
+    size = inside.count()
+    if size > max_terms:  # few documents' worth of terms: the rare end moves in
+        least = inside.approxQuantile("n", [1 - max_terms / size], 0.0)[0]
+        inside = inside.filter(F.col("n") > least)
+    return np.sort(inside.select("term").toArrow()["term"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 class Fingerprints:
-    """Fingerprints of some texts: level of each, and the signatures at its rates (0: no term)."""
+    """Fingerprints of some texts: dense signatures, level, and the signatures at its rates (0: no term)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, bits: int, subsets: int = SUBSETS):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, terms: np.ndarray, dense: int = DENSE, subsets: int = SUBSETS):
         doc, h = _terms(data, offsets)
         n = len(offsets) - 1
-        keep = inside[_counter(h, bits)]
+        keep = np.zeros(len(h), dtype=bool)
+        if len(terms):
+            keep = terms[np.minimum(np.searchsorted(terms, h), len(terms) - 1)] == h
         has = np.bincount(doc[keep], minlength=n) > 0
         keep |= ~has[doc]
-        doc, h = doc[keep], h[keep]
-        m = np.bincount(doc, minlength=n)
+        self.doc, self.h, self.n = doc[keep], h[keep], n
+        self.own = mix(self.h + np.uint64(0x2545F4914F6CDD1D))
+        m = np.bincount(self.doc, minlength=n)
         self.level = np.where(m > 0, np.frexp(np.maximum(m, 1))[1] - 1, -1).astype(np.int64)
+        self.dense = np.zeros((n, dense), dtype=np.uint16)
         self.signs = np.zeros((n, RATES, subsets), dtype=np.uint16)
-        level = self.level[doc]
-        for r in range(0, subsets, 4):
-            v = mix(h + np.uint64((0x632BE59BD9B4E019 * (r + 1)) % (1 << 64)))
-            for s in range(r, min(r + 4, subsets)):
-                draw = ((v >> np.uint64(16 * (s - r))) & np.uint64(0xFFFF)).astype(np.int64)
+        for s in range(dense):
+            draw = mix(self.h ^ np.uint64((0xD1B54A32D192ED03 * (s + 1)) % (1 << 64)))
+            self.dense[:, s] = self._signature(np.flatnonzero(draw >> np.uint64(61)), s)
+        least = (np.uint64(1) << (self.level + 1).astype(np.uint64)) - np.uint64(1)
+        least = least[self.doc]
+        for r in range(0, subsets, 2):
+            both = mix(self.h + np.uint64((0x632BE59BD9B4E019 * (r + 1)) % (1 << 64)))
+            for s in range(r, min(r + 2, subsets)):
+                draw = both >> np.uint64(32) if s > r else both & np.uint64(0xFFFFFFFF)
+                # A term lies in the subset at rate 2**-r if r low bits of its draw are 0.
+                hit = np.flatnonzero((draw & least) == 0)
                 for rate in range(RATES):
-                    bits_ = level + 1 + rate
-                    hit = np.flatnonzero((draw & ((1 << np.minimum(bits_, 16)) - 1)) == 0)
-                    deep = np.maximum(bits_[hit] - 16, 0)  # beyond the 16 bits of the draw: bits of another hash
-                    if deep.any():
-                        more = mix(h[hit] + np.uint64((0xD1B54A32D192ED03 * (s + 1)) % (1 << 64))).astype(np.int64)
-                        hit = hit[(more & ((1 << deep) - 1)) == 0]
-                    total = np.zeros(n, dtype=np.uint64)
-                    np.add.at(total, doc[hit], mix(h[hit] ^ np.uint64(s + 1)))  # no level in it: texts of other levels share rates
-                    any_ = np.bincount(doc[hit], minlength=n) > 0
-                    self.signs[:, rate, s] = np.where(any_, (total >> np.uint64(48)) | np.uint64(1), 0)
-
-    def text(self, i: int) -> str:
-        return f"{self.level[i]}:" + self.signs[i].astype(">u2").tobytes().hex() if self.level[i] >= 0 else "-"
-
-    def likeness(self, i: int, other: Fingerprints, j: int) -> float:
-        a, b = int(self.level[i]), int(other.level[j])
-        if a < 0 or b < 0:
-            return float(a == b)
-        pairs = [(x, a + x - b) for x in range(RATES) if 0 <= a + x - b < RATES]
-        if not pairs:
-            return 0.0
-        left = np.concatenate([self.signs[i, x] for x, _ in pairs])
-        right = np.concatenate([other.signs[j, y] for _, y in pairs])
-        used = (left > 0) | (right > 0)
-        if not used.any():
-            return float(np.array_equal(self.signs[i], other.signs[j]))
-        return float(np.mean(left[used] == right[used]))
-
-
-def _arrow(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [t.encode("utf-8") for t in texts]
-    return np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-
-
-def fingerprint(docs: DataFrame, flags: np.ndarray, bits: int = COUNTER_BITS) -> DataFrame:
+                    if rate:
+                        deeper = (np.uint64(1) << (self.level[self.doc[hit]] + 1 + rate).astype(np.uint64)) - np.uint64(1)
+                        hit = hit[(draw[hit] & deeper) == 0]
+                    self.signs[:, rate, s] = self._signature(hit, dense + s)
+
+    def _signature(self, hit: np.ndarray, salt: int) -> np.ndarray:
+        """Per text a 16-bit hash of the sequence of its terms at ``hit``; 0 without any."""
+        doc = self.doc[hit]
+        bounds = np.searchsorted(doc, np.arange(self.n + 1))
+        v = run_hash(prefix_sums(self.own[hit]), bounds[:-1], bounds[1:], salt)
+        return np.where(bounds[1:] > bounds[:-1], v % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.uint16)
+
+    def row(self, i: int) -> tuple[int, np.ndarray, np.ndarray]:
+        return int(self.level[i]), self.dense[i], self.signs[i]
+
+
+def as_text(row: tuple[int, np.ndarray, np.ndarray]) -> str:
+    level, dense, signs = row
+    return f"{level}:{dense.astype('>u2').tobytes().hex()}:{signs.astype('>u2').tobytes().hex()}" if level >= 0 else "-"
+
+
+def likeness(one: tuple[int, np.ndarray, np.ndarray], two: tuple[int, np.ndarray, np.ndarray]) -> float:
+    """Share of equal signatures among the subsets in which either has a term."""
+    (a, dense_a, signs_a), (b, dense_b, signs_b) = one, two
+    if a < 0 or b < 0:
+        return float(a == b)
+    rates = range(max(0, b - a), min(RATES, RATES + b - a))  # at rate x of the first stands rate x + a - b of the second
+    left = np.concatenate([dense_a, *(signs_a[x] for x in rates)])
+    right = np.concatenate([dense_b, *(signs_b[x + a - b] for x in rates)])
+    used = (left > 0) | (right > 0)
+    return float(np.mean(left[used] == right[used])) if used.any() else float(a == b and np.array_equal(signs_a, signs_b))
+
+
+def _rows_of(texts: list[str], terms: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    out = []
+    for lo, hi, data, offsets in slices(pa.array(texts, pa.large_string()), _CHUNK):
+        f = Fingerprints(data, offsets, terms)
+        out += [f.row(i) for i in range(hi - lo)]
+    return out
+
+
+def fingerprint(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     """doc_id and fingerprint of every text under a lexicon."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # at most MAX_TERMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(1)):
-                f = Fingerprints(data, offsets, inside, bits)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([f.text(i) for i in range(hi - lo)])], names=["doc_id", "fingerprint"])
+            for lo, hi, data, offsets in slices(batch.column(1), _CHUNK):
+                f = Fingerprints(data, offsets, shared.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([as_text(f.row(i)) for i in range(hi - lo)], pa.string())], names=["doc_id", "fingerprint"])
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id bigint, fingerprint string")
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the shuffle."""
-    c = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        packed = pa.array([c.compress((t.as_py() or "").encode("utf-8")) for t in batch.column(batch.num_columns - 1)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=["run", "sentinel", "place", "sum", "doc_id", "packed"])
+def _runs_of(place: np.ndarray, sums: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The run of each row; run k begins at the key cuts[k], of rows (place, sum) in order."""
+    run = np.searchsorted(cuts[:, 0], place, "right") - 1
+    first = np.searchsorted(cuts[:, 0], place, "left")
+    for a, b in {(int(a), int(b)) for a, b in zip(first, run) if b >= a}:  # cuts at this very place: the sums decide
+        here = (first == a) & (run == b)
+        run[here] = a - 1 + np.searchsorted(cuts[a : b + 1, 1], sums[here], "right")
+    return np.maximum(run, 0)
+
 
+def _deal(cuts: np.ndarray):
+    """Rows with their run, texts compressed; the row at which a run begins also ends the run before, as a sentinel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        heads = {(int(p), int(s)): k for k, (p, s) in enumerate(cuts)}
+        for batch in batches:
+            place, sums = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            packed = [pack.compress((t.as_py() or "").encode("utf-8")) for t in batch.column(3)]
+            own = _runs_of(place, sums, cuts)
+            also = [i for i, key in enumerate(zip(place.tolist(), sums.tolist())) if key in heads]
+            before = [(heads[(int(place[i]), int(sums[i]))] - 1) % len(cuts) for i in also]
+            which = pa.array([*range(len(own)), *also], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*own.tolist(), *before], pa.int32()),
+                    pa.array([0] * len(own) + [1] * len(also), pa.int32()),
+                    *[batch.column(c).take(which) for c in range(3)],
+                    pa.array([*packed, *[packed[i] for i in also]], pa.binary()),
+                ],
+                names=["run", "sentinel", "place", "sum", "doc_id", "packed"],
+            )
 
-def _compare(shared, bits: int, chunk: int = 1 << 21):
+    return run
+
+
+def _compare(shared):
     """Rows in order, each with the text of the next one; a sentinel ends a run and is not returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside = np.unpackbits(shared.value).astype(bool)
         unpack = zstandard.ZstdDecompressor()
+        terms = shared.value
         held: list[tuple[int | None, bool, str]] = []
-        size = 0
+        known: list[tuple[int, np.ndarray, np.ndarray]] = []  # fingerprints of the first rows of ``held``
 
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            done = held if last else held[:-1]
-            pairs = [(k, k + 1) for k in range(len(held) - 1) if not held[k][1]]
+        def flush() -> Iterator[pa.RecordBatch]:
+            known.extend(_rows_of([t for _, _, t in held[len(known) :]], terms))
+            pairs = [k for k in range(len(held) - 1) if not held[k][1]]
             if pairs:
-                own = Fingerprints(*_arrow([t for _, _, t in held]), inside, bits)
                 edited = []
-                for k, nxt in pairs:
-                    text, after = held[k][2], held[nxt][2]
-                    half = len(text) // 2
-                    edited.append(text[: len(text) - half] + after[:half])
-                other = Fingerprints(*_arrow(edited), inside, bits)
+                for k in pairs:
+                    half = len(held[k][2]) // 2
+                    edited.append(held[k][2][: len(held[k][2]) - half] + held[k + 1][2][:half])
+                other = _rows_of(edited, terms)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([held[k][0] for k, _ in pairs], pa.int64()),
-                        pa.array([len(held[k][2]) for k, _ in pairs], pa.int64()),
+                        pa.array([held[k][0] for k in pairs], pa.int64()),
+                        pa.array([len(held[k][2]) for k in pairs], pa.int64()),
                         pa.array([hashlib.sha256(e.encode("utf-8")).hexdigest() for e in edited]),
-                        pa.array([own.text(k) for k, _ in pairs]),
-                        pa.array([other.text(i) for i in range(len(pairs))]),
-                        pa.array([own.likeness(k, other, i) for i, (k, _) in enumerate(pairs)], pa.float64()),
-                        pa.array([own.likeness(k, own, nxt) for k, nxt in pairs], pa.float64()),
+                        pa.array([as_text(known[k]) for k in pairs]),
+                        pa.array([as_text(o) for o in other]),
+                        pa.array([likeness(known[k], o) for k, o in zip(pairs, other)], pa.float64()),
+                        pa.array([likeness(known[k], known[k + 1]) for k in pairs], pa.float64()),
                     ],
                     names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
-            del held[: len(done)]
+            del held[:-1], known[:-1]
 
+        size = 0
         for batch in batches:
             for sentinel, doc_id, packed in zip(batch.column(1), batch.column(4), batch.column(5)):
                 sentinel = bool(sentinel.as_py())
@@ -196,47 +249,44 @@ def _compare(shared, bits: int, chunk: int = 1 << 21):
                 text = unpack.decompress(packed.as_py()).decode("utf-8")
                 held.append((doc_id.as_py(), sentinel, text))
                 size += len(text)
-                if size > chunk:
-                    yield from flush(False)
+                if size > _CHUNK:
+                    yield from flush()
                     size = 0
-        yield from flush(True)
+        if held:
+            yield from flush()
 
     return run
 
 
-def compare_edited(docs: DataFrame, flags: np.ndarray, bits: int = COUNTER_BITS) -> DataFrame:
-    """Fingerprints of every text and of its edited text.
+def compare_edited(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they are.
 
     The edited text has its last floor(n/2) code points replaced by the first as many of the next
     document's, in descending order of doc_id (null last; rows that share a doc_id in the order of
-    their texts' hashes; after the last comes the first).  Documents are dealt into runs of
-    neighbouring ids; the first row of each run is also sent, as a sentinel, to the run before.
+    their texts' hashes; after the last comes the first).
+
+    Documents are dealt into as many runs of neighbours as there are shuffle partitions.  A run begins
+    at a row of a sample (16 keys a run reach the driver), so that this row can be sent to the run
+    before as well when the texts are dealt, in the one shuffle that there is.
     """
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col("doc_id").cast("double").alias("d")).filter("d IS NOT NULL")
-    cuts = sorted(set(ids.approxQuantile("d", [i / parts for i in range(1, parts)], 0.25 / parts)))
-    runs = len(cuts) + 1
+    small_batches(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
-        "doc_id",
-        F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.bitwise_not(F.col("doc_id").cast("long"))).alias("place"),
+        F.when(F.col("doc_id").isNull(), F.lit((1 << 63) - 1)).otherwise(F.bitwise_not(F.col("doc_id").cast("long"))).alias("place"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("sum"),
-        F.col("doc_id").cast("double").alias("d"),
+        F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    if cuts:
-        cutter = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="d", outputCol="bucket", handleInvalid="keep")
-        rows = cutter.transform(rows).withColumn("run", F.when(F.col("d").isNull(), F.lit(runs)).otherwise(F.lit(runs - 1) - F.col("bucket")).cast("int"))
-    else:
-        rows = rows.withColumn("run", F.when(F.col("d").isNull(), F.lit(1)).otherwise(F.lit(0)))
-    heads = rows.groupBy("run").agg(F.min(F.struct("place", "sum")).alias("head"))
-    around = Window.orderBy("run")  # one row per run
-    before = F.coalesce(F.lag("run").over(around), F.max("run").over(Window.partitionBy()))
-    heads = heads.withColumn("to", before).select("to", F.col("run").alias("of"), F.col("head.place").alias("p"), F.col("head.sum").alias("s"))
-    columns = ["run", "sentinel", "place", "sum", "doc_id", "text"]
-    sentinels = rows.join(F.broadcast(heads), (F.col("run") == F.col("of")) & (F.col("place") == F.col("p")) & (F.col("sum") == F.col("s"))).select(F.col("to").alias("run"), F.lit(1).alias("sentinel"), "place", "sum", F.col("doc_id").cast("long"), "text")
-    every = rows.select("run", F.lit(0).alias("sentinel"), "place", "sum", F.col("doc_id").cast("long"), "text").unionByName(sentinels.select(columns))
-    packed = every.mapInArrow(_pack, "run int, sentinel int, place long, sum long, doc_id long, packed binary")
-    dealt = packed.repartition(max(parts // 4, 1), "run").sortWithinPartitions("run", "sentinel", "place", "sum")
-    shared = spark.sparkContext.broadcast(np.packbits(flags))
-    return dealt.mapInArrow(_compare(shared, bits), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    every = max(1, docs.count() // (16 * parts))
+    key = F.struct("place", "sum")
+    sampled = F.pmod(F.xxhash64("place", "sum"), F.lit(every)) == 0
+    seen = rows.agg(F.min(key).alias("first"), F.collect_set(F.when(sampled, key)).alias("some")).first()
+    keys = sorted({tuple(k) for k in [*([seen["first"]] if seen["first"] else []), *seen["some"]]})
+    if not keys:
+        keys = [(0, 0)]
+    cuts = np.array(sorted({keys[0], *(keys[len(keys) * i // parts] for i in range(1, parts))}), dtype=np.int64).reshape(-1, 2)
+    dealt = rows.mapInArrow(_deal(cuts), "run int, sentinel int, place long, sum long, doc_id long, packed binary")
+    ordered = dealt.repartitionById(len(cuts), F.col("run")).sortWithinPartitions("run", "sentinel", "place", "sum")
+    shared = spark.sparkContext.broadcast(terms)  # at most MAX_TERMS
+    return ordered.mapInArrow(_compare(shared), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -26,7 +26,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlog.llm.fingerprints import compare_edited, lexicon
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return compare_edited(docs, lexicon(docs))
+    terms = lexicon(docs)
+    return compare_edited(docs, terms)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

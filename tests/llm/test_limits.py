@@ -1,6 +1,5 @@
 """Inputs beyond sizes at which an operator once did less."""
 
-import numpy as np
 import pytest
 
 
@@ -12,14 +11,3 @@ def test_secrets_of_any_length_and_letter_case(spark, secret):
     new = row.text.split(" ")[1]
     assert row.n_pseudonyms == 1 and new != secret and len(new) == len(secret) and row.text == f"key {new} end"
     assert not set(new.lower()) - set("0123456789abcdef")
-
-def test_fingerprints_of_very_long_texts():
-    from loomlog.llm.fingerprints import COUNTER_BITS, Fingerprints, _arrow
-
-    everything = np.ones(1 << COUNTER_BITS, dtype=bool)
-    n = 1 << 18
-    long = [f"t{i}" for i in range(n)]
-    edited = long[: n * 9 // 10] + [f"e{i}" for i in range(n // 10)]
-    prints = Fingerprints(*_arrow([" ".join(long), " ".join(edited), " ".join(long[: n // 4])]), everything, COUNTER_BITS)
-    assert prints.level[0] == prints.level[2] + 2
-    assert prints.likeness(0, prints, 1) > 0.6

@@ -245,33 +245,6 @@ def test_pii(spark, edge, empty):
     assert pseudonymise(edge, "k").count() == len(EDGE) and pseudonymise(empty, "k").count() == 0
 
 
-def test_fingerprints(spark, edge, empty, docs):
-    from loomlog.llm.fingerprints import compare_edited, lexicon
-
-    rows = {r.doc_id: r.text for r in docs.collect()}
-    got = {r.doc_id: r for r in compare_edited(docs, lexicon(docs)).collect()}
-    ids, prints = sorted(rows, reverse=True), {}
-    for k, i in enumerate(ids):
-        half = len(rows[i]) // 2
-        text = rows[i][: len(rows[i]) - half] + rows[ids[(k + 1) % len(ids)]][:half]
-        assert got[i].edited_sha256 == hashlib.sha256(text.encode()).hexdigest()
-        assert prints.setdefault(rows[i], got[i].fingerprint) == got[i].fingerprint
-    assert np.mean([r.near_edited for r in got.values()]) > 10 * np.mean([r.near_next for r in got.values()])
-    assert compare_edited(edge, lexicon(edge)).count() == len(EDGE)
-    assert compare_edited(empty, lexicon(empty)).count() == 0
-
-
-@pytest.mark.parametrize("part, least", [(1, 1.0), (2, 0.3), (4, 0.1)])
-def test_fingerprints_of_texts_of_different_sizes(part, least):
-    from loomlog.llm.fingerprints import COUNTER_BITS, Fingerprints, _arrow
-
-    everything = np.ones(1 << COUNTER_BITS, dtype=bool)
-    long = [f"term{i}" for i in range(400)]
-    prints = Fingerprints(*_arrow([" ".join(long), " ".join(long[: 400 // part]), " ".join(f"other{i}" for i in range(400 // part))]), everything, COUNTER_BITS)
-    assert prints.likeness(0, prints, 1) == prints.likeness(1, prints, 0) >= least
-    assert prints.likeness(0, prints, 2) < 0.05
-
-
 def test_warc(spark, tmp_path):
     from loomlog.llm.warc import assemble, read_warc, write_warc
 
