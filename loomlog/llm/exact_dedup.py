@@ -1,13 +1,18 @@
 """Exact dedup over a normalised text.
 
-Rows are grouped by the 128-bit MD5 of the text without white space.  Inside each group the bytes
-are compared: the least and the greatest text of a group are equal exactly if all are.  A group
-whose texts differ is a collision and is grouped again by the texts themselves, so that the result
-is exact whatever the hash does.  Spark aggregates copies before the shuffle, so a group that holds
-a third of all rows sends one row per map task, and the join back is one that Spark can split.
-
-Null texts count as empty; null doc_ids come after all others; rows that repeat a doc_id count as
-separate copies.
+Rows are grouped by the 128-bit MD5 of the text without white space.  One pass over the texts stores
+a short row for each document (id, length, hashes, a sequence number); groups are counted and their
+winners found from those.  Then bytes are compared inside each group of more than one row: the least
+and the greatest text of a group are equal exactly if all are.  Only rows that may belong to such a
+group (a bounded bitmap of their ids) send their texts to that comparison, and Spark merges equal
+texts before the shuffle, so a group that holds a third of all rows sends one row per map task.  A
+group whose texts differ is a collision and is grouped again by the texts themselves, so that the
+result is exact whatever the hash does.
+
+The row with the most code points stays, then the smallest doc_id (null after all others), then the
+first in the order of the stored rows: of rows that repeat a doc_id and a text exactly one stays.
+Null texts count as empty, and all texts without words form one group.  An empty table gives an empty
+result.  Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.llm.bitset import BitSet
 from loomlog.llm.cluster import checkpointed
 
 _DELETED = " \t\n\v\f\r"
@@ -30,64 +36,78 @@ def without_space(text: Column) -> Column:
     return out
 
 
-def _group(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("group_size"),
-        F.min(F.struct((-F.col("length")).alias("length"), F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("best"),
-        F.min("norm").alias("least"),
-        F.max("norm").alias("greatest"),
-    )
+def _length(text: Column) -> Column:
+    return F.char_length(F.coalesce(text, F.lit(""))).cast("long")
 
 
-def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, length.
+def _winners(rows: DataFrame, *keys: str) -> DataFrame:
+    order = F.struct((-F.col("length")).alias("length"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "seq")
+    return rows.groupBy(*keys).agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
 
-    The row with the most code points stays, then the smallest doc_id.  If several rows share both,
-    ``kept`` is true for each of them, because nothing tells them apart.
-    """
+
+def _judged(docs: DataFrame, content_hash: Callable[[Column], Column]) -> DataFrame:
+    """Per input row: doc_id, length, hash, text_sha256, keep_id, group_size, kept."""
     norm = without_space(F.col("text"))
-    rows = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("length"), norm.alias("norm"))
-    hashed = rows.withColumn("hash", content_hash(F.col("norm")))
-    groups = checkpointed(_group(hashed, "hash").select("hash", "group_size", "best", (F.col("least") == F.col("greatest")).alias("same")))
-    small = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("length"), content_hash(norm).alias("hash"), F.sha2(norm, 256).alias("text_sha256"))
-    out = small.join(groups.filter("same").drop("same"), "hash")
-    clashes = groups.filter("NOT same").select("hash")
-    if not clashes.isEmpty():  # different texts under one hash: their bytes decide
-        apart = hashed.join(clashes, "hash", "left_semi")
-        regrouped = _group(apart, "hash", "norm").select("hash", "norm", "group_size", "best")
-        again = apart.join(regrouped, ["hash", "norm"])
-        out = out.unionByName(again.select("hash", "doc_id", "length", F.sha2("norm", 256).alias("text_sha256"), "group_size", "best"))
-    best = F.col("best.doc_id")
-    return out.select(
-        "doc_id",
-        best.alias("keep_id"),
-        "group_size",
-        (F.col("doc_id").eqNullSafe(best) & (F.col("length") == -F.col("best.length"))).alias("kept"),
-        "text_sha256",
-        "length",
+    # Stored once: the sequence numbers below are those of the stored rows.
+    rows = checkpointed(
+        docs.select(F.col("doc_id").alias("doc_id"), _length(F.col("text")).alias("length"), norm.alias("norm"))
+        .select("doc_id", "length", content_hash(F.col("norm")).alias("hash"), F.sha2("norm", 256).alias("text_sha256"))
+        .withColumn("seq", F.monotonically_increasing_id())
     )
+    groups = checkpointed(_winners(rows, "hash"))
+    several = groups.filter("group_size > 1").select(F.col("hash").alias("of"))
+    copies = rows.join(several, F.col("hash") == F.col("of"), "left_semi").select(F.xxhash64("doc_id").alias("id_hash"))
+    texts = docs.select("doc_id", "text")
+    maybe = BitSet(copies, "id_hash").part(texts, F.xxhash64("doc_id"), True).select("doc_id", norm.alias("norm")).select("doc_id", "norm", content_hash(F.col("norm")).alias("hash"))
+    clashes = checkpointed(maybe.groupBy("hash").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest")).filter("least <> greatest").select(F.col("hash").alias("of")))
+    plain, out = rows, []
+    if not clashes.isEmpty():  # different texts under one hash: the texts decide, and with them their digests' places
+        plain = rows.join(clashes, F.col("hash") == F.col("of"), "left_anti")
+        apart = rows.join(clashes, F.col("hash") == F.col("of"), "left_semi")
+        out.append(apart.join(_winners(apart, "hash", "text_sha256"), ["hash", "text_sha256"]))
+    out.append(plain.join(groups, "hash"))
+    both = out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    best = F.col("best")
+    return both.select("doc_id", "length", "hash", "text_sha256", best["doc_id"].alias("keep_id"), "group_size", (F.col("seq") == best["seq"]).alias("kept"))
+
+
+def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, length."""
+    return _judged(docs, content_hash).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "length")
 
 
 def exact_dedup(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were; of repeated rows one stays."""
-    norm = without_space(F.col("text"))
-    cols = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "doc_id", content_hash(norm).alias("hash"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("length"), norm.alias("norm"))
-    groups = checkpointed(_group(rows, "hash").select("hash", "best", (F.col("least") == F.col("greatest")).alias("same")))
-    # Rows are matched with their group's winner by hash, length and doc_id: copies differ in doc_id,
-    # so a large group is dealt over many tasks.
-    keys = lambda length, doc_id: [length.alias("k_length"), doc_id.isNull().alias("k_null"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("k_id")]
-    on = ["hash", "k_length", "k_null", "k_id"]
-
-    def winners(rows: DataFrame, groups: DataFrame, also: list[str]) -> DataFrame:
-        best = groups.select("hash", *also, *keys(-F.col("best.length"), F.col("best.doc_id")))
-        mine = rows.select("hash", "row", *also, *keys(F.col("length"), F.col("doc_id")))
-        # Of rows that repeat a doc_id and a text one stays.
-        return mine.join(best, [*on, *also]).groupBy(*on, *also).agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
-
-    out = winners(rows, groups.filter("same"), [])
-    clashes = groups.filter("NOT same").select("hash")
-    if not clashes.isEmpty():
-        apart = rows.join(clashes, "hash", "left_semi")
-        out = out.unionByName(winners(apart, _group(apart, "hash", "norm"), ["norm"]))
-    return out
+    """The rows of ``docs`` that stay, all columns as they were.
+
+    Rows whose doc_id surely has no dropped row pass without a shuffle; the others are matched by
+    doc_id, length and digest, so that a large group is dealt over many tasks.
+    """
+    judged = checkpointed(_judged(docs, content_hash).select("doc_id", "length", "text_sha256", "kept"))
+    dropped = judged.filter("NOT kept")
+    if dropped.isEmpty():
+        return docs
+    known = BitSet(dropped.select(F.xxhash64("doc_id").alias("id_hash")), "id_hash")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    wrapped = docs.select(row.alias("row"))
+    key = F.xxhash64("row.doc_id")
+    passed = known.part(wrapped, key, False).select("row.*")
+    suspects = known.part(wrapped, key, True).select(
+        "row",
+        F.col("row.doc_id").isNull().alias("k_null"),
+        F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")).alias("k_id"),
+        _length(F.col("row.text")).alias("k_length"),
+        F.sha2(without_space(F.col("row.text")), 256).alias("k_sha"),
+    )
+    on = ["k_null", "k_id", "k_length", "k_sha"]
+    # Rows with one key repeat an id and a text; at most one of them stays.
+    fate = (
+        known.part(judged, F.xxhash64("doc_id"), True)
+        .select(F.col("doc_id").isNull().alias("k_null"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k_id"), F.col("length").alias("k_length"), F.col("text_sha256").alias("k_sha"), "kept")
+        .groupBy(*on)
+        .agg(F.count("*").alias("rows"), F.max("kept").alias("one"))
+        .filter("one")
+    )
+    alive = suspects.join(fate, on)
+    single = alive.filter("rows = 1").select("row.*")
+    repeated = alive.filter("rows > 1").groupBy(*on).agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return passed.unionByName(single).unionByName(repeated)

@@ -80,21 +80,27 @@ def test_substring_dedup(edge, empty, docs):
 
 
 @pytest.mark.parametrize("weak", [False, True])
-def test_exact_dedup(edge, empty, weak):
+@pytest.mark.parametrize("winner_repeats", [False, True])
+def test_exact_dedup(spark, edge, empty, weak, winner_repeats):
     from loomlog.llm.exact_dedup import exact_dedup, exact_groups
 
     hash_ = (lambda c: (F.length(c) % 3).cast("string")) if weak else F.md5
+    rows = EDGE + [(0, " ".join(BASE) + "  ")] * 3 + [(20, "k e p t")] * 2 if winner_repeats else EDGE
+    df = edge if rows is EDGE else spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], "doc_id long, text string, hash int, `row` string, kept string")
     groups = defaultdict(list)
-    for i, t in EDGE:
-        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((i, len(t or "")))
+    for k, (i, t) in enumerate(rows):
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((i, len(t or ""), k))
     want = []
     for norm, members in groups.items():
         keep = min(members, key=lambda m: (-m[1], m[0] is None, m[0] or 0))
-        want += [(str(i), str(keep[0]), len(members), (i, n) == keep, hashlib.sha256(norm.encode()).hexdigest()) for i, n in members]
-    got = [(str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in exact_groups(edge, hash_).collect()]
+        want += [(str(i), str(keep[0]), len(members), k == keep[2], hashlib.sha256(norm.encode()).hexdigest()) for i, _, k in members]
+    got = [(str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in exact_groups(df, hash_).collect()]
     assert sorted(got) == sorted(want)
-    kept = exact_dedup(edge, hash_)
-    assert kept.columns == edge.columns and kept.count() == len(groups)
+    kept = exact_dedup(df, hash_)
+    assert kept.columns == df.columns
+    stays = {norm: min(m, key=lambda m: (-m[1], m[0] is None, m[0] or 0))[:2] for norm, m in groups.items()}
+    left = [(re.sub(r"[\x20\x09-\x0D]", "", r.text or ""), (r.doc_id, len(r.text or ""))) for r in kept.collect()]
+    assert sorted(left, key=repr) == sorted(stays.items(), key=repr)
     assert exact_groups(empty).count() == exact_dedup(empty).count() == 0
 
 
