@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -36,6 +37,22 @@ def small_batches(spark: SparkSession, limit: int = 1 << 21) -> None:
         spark.conf.set(name, limit)
 
 
+def make_room(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with its columns of these names (in any letter case) renamed, so that none is overwritten.
+
+    ``x`` becomes ``x_input``, with more of that suffix until the name is free.
+    """
+    wanted, taken = {n.lower() for n in names}, {c.lower() for c in df.columns}
+    out = []
+    for c in df.columns:
+        new = c
+        while new.lower() in wanted or (new != c and new.lower() in taken):
+            new += "_input"
+        taken.add(new.lower())
+        out.append(F.col(f"`{c}`").alias(new))
+    return df.select(*out)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared folder, with its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -6,11 +6,15 @@ shows whatever its words are.  A document's vector holds log(1 + count) of each
 length one for words and for shapes apart; a score is a sparse dot product.
 
 Training takes a bounded sample of labelled rows: of each label the ``per_class`` rows with the
-least hash of doc_id.  Scores are shifted to the share of labels in all labelled rows that may be
-learnt from.  Everything else (features, scoring) covers all rows and whole texts.
+least hash of doc_id, and of those as many as have ``most_features`` features together.  Scores are
+shifted to the share of labels in all labelled rows that may be learnt from.  Everything else
+(features, scoring) covers all rows and whole texts, and a score depends on its text alone.
 
 Null texts count as empty and get the score of the bias alone; rows without a label take no part in
-training; a table without labels gives scores of 0.5.
+training; a doc_id with several labels counts as good if any of them is; rows that repeat a doc_id
+are scored each by its own text, and those that are labelled count as examples of their own.  A table
+without labels gives scores of 0.5, an empty table an empty result.  Input columns that are called
+score or predicted are kept as score_input and predicted_input.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.llm.cluster import checkpointed, make_room, small_batches
 from loomlog.llm.textops import doc_of, hash_words, mix, slices
 
 BITS = 18
@@ -43,8 +48,8 @@ for _c in range(33, 127):
         _CLASS[_c] = 3
 
 
-def _shapes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """A small number for the shape of each word."""
+def _shapes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """A small number for the shape of each word; the word before counts only in the same text."""
     kind = _CLASS[data]
     first, last = kind[begin], kind[end - 1]
     n = end - begin
@@ -52,7 +57,7 @@ def _shapes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.nda
     upper = np.concatenate([[0], np.cumsum(kind == 1)])
     shout = (upper[end] - upper[begin]) * 2 > n
     same = np.zeros(len(n), dtype=np.int64)
-    same[1:] = hashes[1:] == hashes[:-1]
+    same[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
     mark = np.where(last == 3, data[end - 1].astype(np.int64), 0)
     double = (last == 3) & (before_last == 3)
     size = np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), 5)
@@ -66,7 +71,7 @@ def _vectors(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     n_docs, half = len(bounds) - 1, np.uint64(1 << (bits - 1))
     inside = doc[1:] == doc[:-1]
     docs, slots = [], []
-    for group, values in enumerate((h, mix(_shapes(data, begin, end, h).astype(np.uint64) + np.uint64(77)))):
+    for group, values in enumerate((h, mix(_shapes(data, begin, end, h, doc).astype(np.uint64) + np.uint64(77)))):
         pair = mix(values[:-1] * np.uint64(0x9E3779B97F4A7C15) + values[1:])[inside]
         base = np.uint64(group) * half
         docs.append(np.concatenate([doc, doc[1:][inside]]))
@@ -132,22 +137,26 @@ def _features(bits: int):
     return run
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3000, bits: int = BITS, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.5, seed: int = 5) -> QualityModel:
+def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3000, most_features: int = 1 << 23, bits: int = BITS, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.5, seed: int = 5) -> QualityModel:
     """Fit on the labelled rows of ``docs`` that are not held out.
 
-    per_class bounds the sample: at most that many documents of each label reach the driver, as
-    sparse vectors.
+    per_class and most_features bound the sample: at most that many documents of each label, and that
+    many features of 8 bytes of each label, reach the driver.
     """
+    small_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     shares = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    picks = [usable.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    sample = picks[0].unionByName(picks[1])
+    first = lambda rows, k: rows.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    sample = first(usable, 0).unionByName(first(usable, 1))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
-    rows = texts.mapInArrow(_features(bits), "doc_id bigint, label int, slots array<int>, values array<float>").toArrow().sort_by([("doc_id", "ascending")])
-    examples = [
-        (s.values.to_numpy(), v.values.to_numpy(), y.as_py())
-        for s, v, y in zip(rows["slots"], rows["values"], rows["label"])
-    ]
+    vectors = checkpointed(texts.mapInArrow(_features(bits), "doc_id bigint, label int, slots array<int>, values array<float>"))
+    examples = []
+    for k in (0, 1):
+        # Rows that repeat a doc_id are limited once more; the text's features settle their order.
+        mine = vectors.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("slots")).limit(per_class)
+        sizes = np.array([r[0] for r in mine.select(F.size("slots")).collect()], dtype=np.int64)
+        rows = mine.limit(int(np.searchsorted(np.cumsum(sizes), most_features, "right"))).toArrow()
+        examples += [(s.values.to_numpy(), v.values.to_numpy(), y.as_py()) for s, v, y in zip(rows["slots"], rows["values"], rows["label"])]
     if not examples:
         return QualityModel(np.zeros(1 << bits, np.float32), 0.0, bits)
     weights, bias = ftrl(examples, bits, epochs, alpha, beta, l1, l2, seed)
@@ -160,6 +169,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", pe
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """``docs`` (all columns) with score and predicted."""
+    small_batches(docs.sparkSession)
+    docs = make_room(docs, "score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.bits))  # 2**bits floats
     names = docs.columns
 
