@@ -157,35 +157,6 @@ def test_jaccard_join(spark, edge, empty, docs, long):
     assert jaccard_components(empty).count() == near_dedup(empty).count() == 0
 
 
-def test_mixing(edge, empty, docs):
-    from loomlog.llm.mixing import mix, mixed_documents
-
-    rows = mix(docs).collect()
-    size, target, taken = defaultdict(int), {}, defaultdict(int)
-    source = {r.doc_id: r.source for r in docs.collect()}
-    for r in rows:
-        s = source[r.doc_id]
-        size[s] += r.size
-        taken[s] += r.taken
-        target[s] = r.target
-        assert r.taken <= 3 * r.size
-    weight = {s: 1 + i % 3 for i, s in enumerate(sorted(size))}
-    fixed = {}
-    while True:
-        free = [s for s in size if s not in fixed]
-        level = (sum(size.values()) - sum(fixed.values())) / max(1, sum(weight[s] for s in free))
-        over = [s for s in free if weight[s] * level > 3 * size[s]]
-        if not over:
-            break
-        fixed |= {s: 3 * size[s] for s in over}
-    for s in size:
-        assert math.isclose(target[s], fixed.get(s, weight[s] * level), rel_tol=1e-9)
-        assert abs(taken[s] - target[s]) <= 1
-    assert sorted(map(str, mix(docs).collect())) == sorted(map(str, rows))
-    assert mix(edge).count() == len(EDGE) and mixed_documents(edge).columns == edge.columns
-    assert mix(empty).count() == mixed_documents(empty).count() == 0
-
-
 def test_sharding(edge, empty, docs):
     from loomlog.llm.sharding import kd_shards
 
