@@ -1,44 +1,37 @@
 """K-d tree sharding, in DataFrame operations only.
 
 The table is split again and again at a weighted median along the dimension in which the node's
-rows are spread widest, until the wanted number of leaves holds the target bytes each; a node that
-has to make m shards splits in the ratio floor(m/2) to ceil(m/2).
-
-Each metadata dimension is put on a grid of 2**20 cells over the whole table.  A row's key in a
-dimension is its cell, then 22 bits of a hash of the text, then 21 bits of a hash of the row.  The
-median of that key is found with histograms of 4,096 bins, each a grouped sum over all rows; the
-driver receives one bin per node.  The search ends as soon as a bin weighs less than the tolerance,
-so equal texts stay together unless a group of them is heavier than that.
-
-Null sizes do not occur (null text: 0 bytes); null metadata lie below all values.  Rows that repeat
-a doc_id are separate rows.
+rows are spread widest, until every leaf holds the target bytes: the whole divided by the number of
+shards.  A node that has to make m shards splits in the ratio floor(m/2) to ceil(m/2).
+
+Each dimension is put on a grid of 2**20 cells over the whole table.  A row's key in a dimension is
+its cell and then 43 bits of a hash of its text, so rows with equal texts have equal keys (where the
+dimensions depend on the text alone, as the default ones do) and no cut parts them.  Only a group of
+equal texts that outweighs ``heavy`` of a shard has the lower half of those bits from a hash of the
+row instead, so that it can be cut where balance needs it; there are at most shards / heavy such groups.
+
+The median of a key is found with histograms of 4,096 bins for all nodes of a level at once, each a
+grouped sum over the rows whose bin is still open; the driver receives one bin a node.  The tree is
+three arrays (dimension, cut, next node), by which each row finds its leaf in as many steps as the tree has
+levels.
+
+Null texts have no bytes; null metadata lie below all values.  Rows that repeat a doc_id are separate
+rows.  An empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.llm.cluster import checkpointed
 
-_CELL, _TEXT, _ROW = 20, 22, 21
-_KEY = _CELL + _TEXT + _ROW
+_CELL, _HIGH, _LOW = 20, 22, 21
+_KEY = _CELL + _HIGH + _LOW
 _STEP = 12
 _FIXED = 8
 
 
-@dataclass
-class _Node:
-    shards: int
-    first: int
-    dim: int = -1
-    at: int = 0
-    left: _Node | None = None
-    right: _Node | None = None
-
-
 def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
@@ -49,83 +42,96 @@ def string_place(value: Column) -> Column:
     return F.conv(head, 16, 10).cast("double")
 
 
-def _leaf(tree: _Node, value) -> Column:
-    """The value of the leaf in which a row lies, as nested conditions."""
-    if tree.left is None:
-        return value(tree)
-    return F.when(F.col("key")[tree.dim] < F.lit(tree.at), _leaf(tree.left, value)).otherwise(_leaf(tree.right, value))
-
-
-def _open_leaves(tree: _Node) -> list[_Node]:
-    if tree.left is None:
-        return [tree] if tree.shards > 1 else []
-    return _open_leaves(tree.left) + _open_leaves(tree.right)
-
-
-def _pick(values: dict[int, int], node: Column) -> Column:
-    """values[node] as a column; the dictionary has one entry per open node at most."""
-    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), node)
-
-
-def _medians(rows: DataFrame, nodes: dict[int, _Node], tolerance: float) -> None:
-    """Find where each node is to be split, by histograms that get finer until a bin is light."""
-    searching = {k: {"low": 0, "width": _KEY, "below": 0, "goal": None} for k in nodes}
-    dims = {k: n.dim for k, n in nodes.items()}
-    while searching:
-        active = rows.filter(F.col("node").isin(list(searching)))
-        key = F.element_at("key", _pick({k: dims[k] + 1 for k in searching}, F.col("node")))
-        low = _pick({k: s["low"] for k, s in searching.items()}, F.col("node"))
-        width = _pick({k: s["width"] for k, s in searching.items()}, F.col("node"))
-        shift = {k: max(s["width"] - _STEP, 0) for k, s in searching.items()}
-        inside = active.withColumn("k", key).withColumn("low", low).filter((F.col("k") >= F.col("low")) & (F.col("k") - F.col("low") < F.pow(F.lit(2.0), width)))
-        moved = F.lit(None).cast("long")
-        for k, n in shift.items():
-            moved = F.when(F.col("node") == k, F.shiftright(F.col("k") - F.col("low"), n)).otherwise(moved)
-        bins = inside.groupBy("node", moved.alias("bin")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-        w = Window.partitionBy("node").orderBy("bin")
-        total = F.sum("bytes").over(Window.partitionBy("node"))
-        bins = bins.withColumn("upto", F.sum("bytes").over(w)).withColumn("total", total)
-        below = _pick({k: s["below"] for k, s in searching.items()}, F.col("node"))
-        known = {k: s["goal"] for k, s in searching.items() if s["goal"] is not None}
-        share = F.lit(0.0)
-        for k in searching:
-            share = F.when(F.col("node") == k, F.lit((nodes[k].shards // 2) / nodes[k].shards)).otherwise(share)
-        goal = F.col("total") * share
-        for k, g in known.items():
-            goal = F.when(F.col("node") == k, F.lit(g)).otherwise(goal)
-        hit = bins.withColumn("goal", goal).filter((below + F.col("upto") >= F.col("goal")))
-        found = hit.groupBy("node").agg(F.min(F.struct("bin", "bytes", "rows", "upto", "goal")).alias("b")).select("node", "b.*").collect()
-        for r in found:
-            s = searching[r["node"]]
-            n = shift[r["node"]]
-            start, before = s["low"] + (r["bin"] << n), s["below"] + r["upto"] - r["bytes"]
-            s["goal"] = r["goal"]
-            if n == 0 or r["rows"] <= 1 or r["bytes"] <= tolerance:
-                nearer_below = r["goal"] - before <= before + r["bytes"] - r["goal"]
-                nodes[r["node"]].at = start if nearer_below else start + (1 << n)
-                del searching[r["node"]]
+def default_dims() -> dict[str, Column]:
+    """Length of the text, characters per byte and spaces per byte; equal texts have equal ones."""
+    size = F.greatest(F.octet_length("text"), F.lit(1))
+    spaces = F.char_length("text") - F.char_length(F.replace("text", F.lit(" "), F.lit("")))
+    return {"length": F.log2(text_bytes(F.col("text")).cast("double") + 1), "density": F.char_length("text") / size, "spaces": spaces / size}
+
+
+class _Tree:
+    """Nodes numbered as they come; node 0 is the root."""
+
+    def __init__(self, shards: int):
+        self.shards, self.first = [shards], [0]
+        self.dim, self.cut, self.left = [0], [0], [-1]
+
+    def leaves(self) -> list[int]:
+        return [k for k, left in enumerate(self.left) if left < 0 and self.shards[k] > 1]
+
+    def split(self, k: int, dim: int, cut: int) -> None:
+        half = self.shards[k] // 2
+        self.dim[k], self.cut[k], self.left[k] = dim, cut, len(self.left)
+        for shards, first in ((half, self.first[k]), (self.shards[k] - half, self.first[k] + half)):
+            self.shards.append(shards)
+            self.first.append(first)
+            self.dim.append(0)
+            self.cut.append(0)
+            self.left.append(-1)
+
+    def node_of(self, levels: int) -> Column:
+        """The node at which a row with the array ``key`` arrives after that many steps."""
+        dim, cut, left = (F.lit(x) for x in (self.dim, self.cut, self.left))
+        at = lambda table, node: F.get(table, node)
+        right = lambda node: (F.get("key", at(dim, node)) >= at(cut, node)).cast("int")
+        step = lambda node, _: F.when(at(left, node) < 0, node).otherwise(at(left, node) + right(node))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), F.lit(0), step)
+
+
+def _longs(values: list[int]) -> Column:
+    return F.lit(values).cast("array<bigint>")
+
+
+def _medians(rows: DataFrame, tree: _Tree, dims: dict[int, int], tolerance: float) -> dict[int, int]:
+    """Where each node is to be cut, by histograms that get finer until a bin is light."""
+    cuts: dict[int, int] = {}
+    low, width, below, goal = (dict.fromkeys(dims, v) for v in (0, _KEY, 0, None))
+    while todo := [k for k in dims if k not in cuts]:
+        slot = {k: i for i, k in enumerate(todo)}
+        slots = F.lit([slot.get(k, -1) for k in range(len(tree.left))])
+        shift = [max(width[k] - _STEP, 0) for k in todo]
+        of = lambda values: F.get(_longs(values), F.col("slot"))
+        inside = (
+            rows.withColumn("slot", F.get(slots, F.col("node")))
+            .filter("slot >= 0")
+            .withColumn("k", F.get("key", of([dims[k] for k in todo]).cast("int")) - of([low[k] for k in todo]))
+            .filter((F.col("k") >= 0) & (F.col("k") <= of([(1 << width[k]) - 1 for k in todo])))
+        )
+        bin_ = F.call_function("shiftright", F.col("k"), of(shift).cast("int"))
+        bins = inside.groupBy("slot", bin_.alias("bin")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min("k").alias("least"), F.max("k").alias("most"))
+        bins = bins.withColumn("upto", F.sum("bytes").over(Window.partitionBy("slot").orderBy("bin"))).withColumn("total", F.sum("bytes").over(Window.partitionBy("slot")))
+        share = F.get(F.lit([tree.shards[k] // 2 / tree.shards[k] for k in todo]), F.col("slot"))
+        known = F.get(F.lit([float(-1 if goal[k] is None else goal[k]) for k in todo]), F.col("slot"))
+        bins = bins.withColumn("goal", F.when(known >= 0, known).otherwise(F.col("total") * share))
+        hit = bins.filter(of([below[k] for k in todo]) + F.col("upto") >= F.col("goal"))
+        found = {r["slot"]: r["b"] for r in hit.groupBy("slot").agg(F.min(F.struct("bin", "bytes", "rows", "upto", "goal", "least", "most")).alias("b")).collect()}
+        for i, k in enumerate(todo):
+            if i not in found:  # an empty node: nothing to cut
+                cuts[k] = 0
+                continue
+            b = found[i]
+            start, before, goal[k] = low[k] + (b["bin"] << shift[i]), below[k] + b["upto"] - b["bytes"], b["goal"]
+            if b["least"] == b["most"] or b["bytes"] <= tolerance or shift[i] == 0:
+                nearer_below = goal[k] - before <= before + b["bytes"] - goal[k]
+                cuts[k] = low[k] + (b["least"] if nearer_below else b["most"] + 1)
             else:
-                s |= {"low": start, "width": n, "below": before}
-        for k in set(searching) - {r["node"] for r in found}:  # an empty node: nothing to split
-            del searching[k]
+                low[k], width[k], below[k] = start, shift[i], before
+    return cuts
 
 
-def kd_shards(docs: DataFrame, shards: int = 24, dims: dict[str, Column] | None = None, rows_per_run: int = 100_000) -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int = 24, dims: dict[str, Column] | None = None, rows_per_run: int = 100_000, heavy: float = 0.25) -> DataFrame:
     """Per document: doc_id, size, text_crc32, shard, slot.
 
     size is the text's bytes plus 8; slots are gapless from 0 in each shard, in the order of the
-    rows' hashes.  dims: numeric metadata expressions; by default size, length in characters per
-    byte and language.
+    rows' hashes.  dims: numeric metadata expressions; those that differ between rows of equal text
+    can part them.
     """
-    size = text_bytes(F.col("text")) + F.lit(_FIXED)
-    if dims is None:
-        dims = {"size": F.log2(size.cast("double")), "density": F.char_length("text") / F.greatest(F.octet_length("text"), F.lit(1)), "lang": string_place(F.col("lang"))}
-    names = list(dims)
+    names = list(dims := default_dims() if dims is None else dims)
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     base = checkpointed(
         docs.select(
             "doc_id",
-            size.alias("size"),
+            (text_bytes(F.col("text")) + F.lit(_FIXED)).alias("size"),
             F.crc32(F.coalesce("text", F.lit(""))).cast("long").alias("text_crc32"),
             text_hash.alias("text_hash"),
             F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))).alias("row_hash"),
@@ -133,31 +139,28 @@ def kd_shards(docs: DataFrame, shards: int = 24, dims: dict[str, Column] | None
         )
     )
     stats = base.agg(F.sum("size").alias("total"), F.count("*").alias("n"), *[f(f"dim_{k}").alias(f"{t}_{k}") for k in names for f, t in ((F.min, "lo"), (F.max, "hi"))]).first()
-    total, count = stats["total"] or 0, stats["n"]
+    target, count = (stats["total"] or 0) / shards, stats["n"]
+    groups = base.groupBy("text_hash").agg(F.sum("size").alias("weight")).filter(F.col("weight") > heavy * target)
     cells = (1 << _CELL) - 1
 
     def key(k: str) -> Column:
         lo, hi = stats[f"lo_{k}"], stats[f"hi_{k}"]
         cell = F.lit(0).cast("long") if lo is None or hi <= lo else F.coalesce(F.floor((F.col(f"dim_{k}") - F.lit(lo)) / F.lit(hi - lo) * F.lit(cells - 1)) + 1, F.lit(0)).cast("long")
-        text, row = F.shiftrightunsigned("text_hash", 64 - _TEXT), F.shiftrightunsigned("row_hash", 64 - _ROW)
-        return F.shiftleft(cell, _TEXT + _ROW) + F.shiftleft(text, _ROW) + row
-
-    keyed = base.select("doc_id", "size", "text_crc32", "row_hash", F.array(*[key(k) for k in names]).alias("key"))
-    tree, tolerance = _Node(shards, 0), total / max(shards, 1) * 0.002
-    while count and (leaves := _open_leaves(tree)):
-        nodes = {leaf.first: leaf for leaf in leaves}
-        rows = keyed.select("size", "key", _leaf(tree, lambda n: F.lit(n.first if n.shards > 1 else -1)).alias("node")).filter("node >= 0")
-        span = [(F.max(F.shiftright(F.col("key")[i], _TEXT + _ROW)) - F.min(F.shiftright(F.col("key")[i], _TEXT + _ROW))).alias(f"s{i}") for i in range(len(names))]
-        for r in rows.groupBy("node").agg(*span).collect():
-            spans = [r[f"s{i}"] for i in range(len(names))]
-            nodes[r["node"]].dim = spans.index(max(spans))
-        for leaf in leaves:
-            leaf.dim = max(leaf.dim, 0)
-        _medians(rows, nodes, tolerance)
-        for leaf in leaves:
-            half = leaf.shards // 2
-            leaf.left, leaf.right = _Node(half, leaf.first), _Node(leaf.shards - half, leaf.first + half)
-    placed = keyed.select("doc_id", "size", "text_crc32", "row_hash", _leaf(tree, lambda n: F.lit(n.first)).alias("shard"))
+        low = F.when(F.col("weight").isNull(), F.shiftrightunsigned(F.shiftleft("text_hash", _HIGH), 64 - _LOW)).otherwise(F.shiftrightunsigned("row_hash", 64 - _LOW))
+        return F.shiftleft(cell, _HIGH + _LOW) + F.shiftleft(F.shiftrightunsigned("text_hash", 64 - _HIGH), _LOW) + low
+
+    weighed = base.join(F.broadcast(groups), "text_hash", "left")  # at most shards / heavy groups
+    keyed = checkpointed(weighed.select("doc_id", "size", "text_crc32", "row_hash", F.array(*[key(k) for k in names]).alias("key")))
+    tree, levels = _Tree(shards), 0
+    while count and (open_ := tree.leaves()):
+        rows = keyed.select("size", "key", tree.node_of(levels).alias("node"))
+        cell = lambda i: F.shiftright(F.col("key")[i], _HIGH + _LOW)
+        spans = rows.groupBy("node").agg(*[(F.max(cell(i)) - F.min(cell(i))).alias(f"s{i}") for i in range(len(names))]).collect()
+        dims_of = dict.fromkeys(open_, 0) | {r["node"]: max(range(len(names)), key=lambda i: r[f"s{i}"]) for r in spans if tree.shards[r["node"]] > 1}
+        for k, cut in _medians(rows, tree, dims_of, 0.002 * target).items():
+            tree.split(k, dims_of[k], cut)
+        levels += 1
+    placed = keyed.withColumn("shard", F.get(F.lit(tree.first), tree.node_of(levels))).select("doc_id", "size", "text_crc32", "row_hash", "shard")
     runs = max(1, -(-count // (shards * rows_per_run)))
     placed = placed.withColumn("run", F.pmod("row_hash", F.lit(runs)).cast("int"))
     sums = placed.groupBy("shard", "run").agg(F.count("*").alias("n"))

@@ -157,22 +157,6 @@ def test_jaccard_join(spark, edge, empty, docs, long):
     assert jaccard_components(empty).count() == near_dedup(empty).count() == 0
 
 
-def test_sharding(edge, empty, docs):
-    from loomlog.llm.sharding import kd_shards
-
-    for df, n in ((docs, 200), (edge, len(EDGE))):
-        rows = kd_shards(df, 4).collect()
-        slots = defaultdict(list)
-        for r in rows:
-            slots[r.shard].append(r.slot)
-        assert len(rows) == n and all(sorted(v) == list(range(len(v))) for v in slots.values())
-    sums = defaultdict(int)
-    for r in kd_shards(docs, 4).collect():
-        sums[r.shard] += r["size"]
-    assert max(sums.values()) < 1.3 * sum(sums.values()) / 4
-    assert kd_shards(empty, 4).count() == 0
-
-
 def test_bpe_equals_library(spark, edge, empty, docs):
     import public_tokenizers
     from loomlog.llm.bpe import bpe_decode, bpe_encode
