@@ -2,33 +2,50 @@ r"""WARC archives: writing captures, reading records, and assembling transaction
 
 Writing gives each page a request, a response (or revisit) and a metadata record, which name the
 response's id as concurrent-to.  Of equal payloads of at least ``least_bytes`` bytes the one with
-the smallest page_id is stored; the others become revisits that refer to it.  The archives are
-gzip files written by Spark's text writer, so any folder that Spark can write to will do.
+the smallest page_id is stored; the others become revisits that refer to it.  The pages are stored
+with a number for each row first, so that a row has one id whatever is computed again.  Only rows
+whose payload may occur twice (a bounded bitmap of digests) are shuffled.  The archives are gzip files of
+at most ``per_archive`` captures, written by Spark's text writer, so any folder that Spark can write
+to will do; they have one gzip member a file.
 
-Reading parses whole records by their Content-Length and computes the payload's digest from the
-bytes read.  Assembly joins the records of a capture through concurrent-to, in either direction,
-and gives one nested row per response or revisit; a revisit gets its payload's length through the
-record that it refers to.
+Reading streams each gzip archive line by line through Spark's reader, so an archive of any size
+needs the memory of its largest record; plain archives are read whole, up to 2 GB each.  Records are cut
+by their Content-Length, and the payload's digest is computed from the bytes read.  ``damage`` says
+what is wrong with a record, null if nothing: it ends before its Content-Length ("truncated"), its
+payload does not have the stated digest ("digest differs"; sha256 and sha1 are compared), or no
+record begins where one should ("no record", after which the rest of the archive is skipped).
+
+Assembly joins the records of a capture through concurrent-to, in either direction and over all of
+a record's concurrent-to fields, and gives one nested row per response or revisit; a revisit gets its
+payload's length through the record that it refers to.  Targets of very many revisits are joined apart, by a
+broadcast of at most ``_HOT`` rows, so no revisit's task grows with them.
 
 Null payloads count as empty; a null page_id comes after all others and stays null; rows that
-repeat a page_id are separate captures, the later of which revisit the first.
+repeat a page_id are separate captures, the later of which revisit the first.  Other columns of pages are
+ignored, whatever their names.  An empty table gives an archive without records and an empty result.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlog.llm.bitset import BitSet
+from loomlog.llm.cluster import small_batches, stored
+
 VERSION = "WARC/1.1"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_SALTS = 16
-RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, page_id long, block_bytes long, payload_bytes long, payload_digest string, stated_digest string, method string, status int"
+_HOT = 10_000
+_LEAST_HOT = 2_000
+RECORD = "record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, date string, page_id long, block_bytes long, payload_bytes long, payload_digest string, stated_digest string, method string, status int, damage string"
 
 
 def _record_id(kind: str, page_id: Column, seq: Column) -> Column:
@@ -56,23 +73,37 @@ def _record(kind: Column, record_id: Column, date: str, lines: list[Column], con
     )
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 100, date: str = "1970-01-01T00:00:00Z") -> None:
+def _hot(counts: DataFrame) -> DataFrame:
+    """Of (of, n) the keys that so many rows share that there can be at most _HOT of them."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return counts.filter(F.col("n") > max(_LEAST_HOT, total / _HOT)).select("of")
+
+
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 100, date: str = "1970-01-01T00:00:00Z", per_archive: int = 50_000) -> None:
     """Write the pages (page_id, url, html) to gzip archives below ``path``."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(
-        F.monotonically_increasing_id().alias("seq"),
-        F.col("page_id").cast("long").alias("page_id"),
-        F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20]", "%20").alias("url"),
-        html.alias("html"),
-        F.sha2(html, 256).alias("digest"),
+    rows = stored(
+        pages.select(
+            F.monotonically_increasing_id().alias("seq"),
+            F.col("page_id").cast("long").alias("page_id"),
+            F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20]", "%20").alias("url"),
+            html.alias("html"),
+            F.sha2(html, 256).alias("digest"),
+        ),
+        "pages",
     )
-    large = F.octet_length("html") >= least_bytes
+    large = rows.filter(F.octet_length("html") >= least_bytes)
     order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "seq")
-    firsts = rows.filter(large).groupBy("digest").agg(F.count("*").alias("copies"), F.min(order).alias("first")).filter("copies > 1").select(F.col("digest").alias("of"), F.col("first.page_id").alias("first_id"), F.col("first.seq").alias("first_seq"))
-    # Small payloads refer to nothing and are spread; copies of one payload meet its first in _SALTS tasks.
-    spread = F.when(large, F.col("digest")).otherwise(F.col("seq").cast("string"))
-    firsts = firsts.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    r = rows.join(firsts, (spread == F.col("of")) & (F.pmod("seq", F.lit(_SALTS)) == F.col("of_salt")), "left")
+    firsts = large.groupBy("digest").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
+    firsts = stored(firsts.select(F.col("digest").alias("of"), "n", F.col("first.page_id").alias("first_id"), F.col("first.seq").alias("first_seq")), "firsts")
+    known = BitSet(firsts.select(F.xxhash64("of").alias("key")), "key")
+    hot = _hot(firsts.select("of", "n"))
+    hot_firsts, cold_firsts = firsts.join(F.broadcast(hot), "of", "left_semi"), firsts.join(F.broadcast(hot), "of", "left_anti")
+    unique = known.part(rows, F.xxhash64("digest"), False).withColumns({"first_id": F.lit(None).cast("long"), "first_seq": F.lit(None).cast("long")})
+    copies = known.part(rows, F.xxhash64("digest"), True)
+    of_hot = copies.join(F.broadcast(hot_firsts.drop("n")), F.col("digest") == F.col("of"))
+    of_cold = copies.join(F.broadcast(hot), F.col("digest") == F.col("of"), "left_anti").join(cold_firsts.drop("n"), F.col("digest") == F.col("of"), "left")
+    r = unique.unionByName(of_hot.drop("of")).unionByName(of_cold.drop("of"))
     revisit = F.col("first_seq").isNotNull() & (F.col("first_seq") != F.col("seq"))
     page, seq = F.col("page_id"), F.col("seq")
     response_id = _record_id("response", page, seq)
@@ -87,20 +118,21 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 100, date: str =
     metadata = _record(F.lit("metadata"), _record_id("metadata", page, seq), date, [uri, to], "application/warc-fields", note)
     # The writer puts one line feed after each value: it is the last byte of the third record.
     three = F.concat(request, response, metadata)
-    r.select(F.substr(three, F.lit(1), F.char_length(three) - 1).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    r.select(F.substr(three, F.lit(1), F.char_length(three) - 1).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", per_archive).text(path)
 
 
-def _headers(raw: bytes) -> dict[str, str]:
-    out: dict[str, str] = {}
+def _headers(raw: bytes) -> dict[str, list[str]]:
+    """Values of each header field, in order; names in lower case."""
+    out: dict[str, list[str]] = {}
     for line in raw.split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if colon:
-            out[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+            out.setdefault(name.strip().lower().decode("utf-8", "replace"), []).append(value.strip().decode("utf-8", "replace"))
     return out
 
 
-def records_of(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of an archive."""
+def records_of(stream) -> Iterator[tuple[dict[str, list[str]], bytes, str | None]]:
+    """Header fields, block and damage of each record of an archive (anything with readline and read)."""
     while True:
         line = stream.readline()
         while line in (b"\r\n", b"\n"):
@@ -108,87 +140,183 @@ def records_of(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], byte
         if not line:
             return
         if not line.startswith(b"WARC/"):
-            raise ValueError(f"not the beginning of a WARC record: {line[:40]!r}")
+            yield {}, b"", "no record"
+            return
         raw = bytearray()
         while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
             raw += line
         fields = _headers(bytes(raw))
-        yield fields, stream.read(int(fields.get("content-length", "0")))
-
-
-def _parse(with_payload: bool):
-    def row(fields: dict[str, str], block: bytes) -> dict:
-        kind = fields.get("warc-type", "")
-        out = {
-            "record_id": fields.get("warc-record-id"),
-            "type": kind,
-            "concurrent_to": fields.get("warc-concurrent-to"),
-            "refers_to": fields.get("warc-refers-to"),
-            "target_uri": fields.get("warc-target-uri"),
-            "date": fields.get("warc-date"),
-            "block_bytes": len(block),
-            "stated_digest": (fields.get("warc-payload-digest") or "").removeprefix("sha256:") or None,
-        }
-        if kind in ("response", "revisit"):
-            head, _, payload = block.partition(b"\r\n\r\n")
-            words = head.split(b"\r\n", 1)[0].split(b" ")
-            out["status"] = int(words[1]) if len(words) > 1 and words[1].isdigit() else None
-            if kind == "response":
-                out |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
-                if with_payload:
-                    out["payload"] = payload
-        elif kind == "request":
-            out["method"] = block.split(b" ", 1)[0].decode("latin-1")
-        elif kind == "metadata":
-            page = _headers(block).get("page-id")
-            out["page_id"] = int(page) if page is not None else None
+        stated = fields.get("content-length", [""])[0]
+        size = int(stated) if stated.isdecimal() else 0
+        block = stream.read(size)
+        yield fields, block, "truncated" if not line or not stated.isdecimal() or len(block) < size else None
+
+
+class _Lines:
+    """The rows of one archive that Spark's reader cut at line feeds, as a stream."""
+
+    def __init__(self, lines: Iterable[bytes]):
+        self.lines, self.rest = iter(lines), b""
+
+    def readline(self) -> bytes:
+        out, self.rest = self.rest, b""
+        if not out:
+            line = next(self.lines, None)
+            out = b"" if line is None else line + b"\n"
+        elif (at := out.find(b"\n")) + 1 < len(out):
+            out, self.rest = out[: at + 1], out[at + 1 :]
         return out
 
+    def read(self, size: int) -> bytes:
+        parts, got = [self.rest[:size]], min(size, len(self.rest))
+        self.rest = self.rest[size:]
+        while got < size and (line := next(self.lines, None)) is not None:
+            line += b"\n"
+            parts.append(line[: size - got])
+            self.rest = line[size - got :]
+            got += len(parts[-1])
+        return b"".join(parts)
+
+
+class _Whole(io.BufferedReader):
+    """A whole archive; one that breaks off ends where it does."""
+
+    def read(self, size: int = -1) -> bytes:
+        try:
+            return super().read(size)
+        except (EOFError, zlib.error, gzip.BadGzipFile):
+            return b""
+
+    def readline(self, size: int = -1) -> bytes:
+        try:
+            return super().readline(size)
+        except (EOFError, zlib.error, gzip.BadGzipFile):
+            return b""
+
+
+def _same_digest(stated: str, payload: bytes) -> bool | None:
+    """Whether the payload has the stated digest; None for algorithms that are not compared."""
+    name, _, value = stated.partition(":")
+    if name.lower() == "sha256":
+        return value.lower() == hashlib.sha256(payload).hexdigest()
+    if name.lower() == "sha1":
+        digest = hashlib.sha1(payload).digest()
+        return value.lower() == digest.hex() or value.upper() == base64.b32encode(digest).decode()
+    return None
+
+
+def _row(fields: dict[str, list[str]], block: bytes, damage: str | None, with_payload: bool) -> dict:
+    one = lambda name: fields.get(name, [None])[0]
+    kind, stated = one("warc-type") or "", one("warc-payload-digest")
+    out = {
+        "record_id": one("warc-record-id"),
+        "type": kind,
+        "concurrent_to": fields.get("warc-concurrent-to", []),
+        "refers_to": one("warc-refers-to"),
+        "target_uri": one("warc-target-uri"),
+        "date": one("warc-date"),
+        "block_bytes": len(block),
+        "stated_digest": stated and stated.removeprefix("sha256:"),
+        "damage": damage,
+    }
+    if kind in ("response", "revisit"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        words = head.split(b"\r\n", 1)[0].split(b" ")
+        out["status"] = int(words[1]) if len(words) > 1 and words[1].isdigit() else None
+        if kind == "response":
+            out |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
+            if damage is None and stated and _same_digest(stated, payload) is False:
+                out["damage"] = "digest differs"
+            if with_payload:
+                out["payload"] = payload
+    elif kind == "request":
+        out["method"] = block.split(b" ", 1)[0].decode("latin-1")
+    elif kind == "metadata":
+        page = _headers(block).get("page-id", [""])[0]
+        out["page_id"] = int(page) if page.lstrip("-").isdecimal() else None
+    return out
+
+
+def _parse(with_payload: bool, by_line: bool):
+    types = {"concurrent_to": pa.list_(pa.string()), "page_id": pa.int64(), "block_bytes": pa.int64(), "payload_bytes": pa.int64(), "status": pa.int32(), "payload": pa.binary()}
+    names = [x.split()[0] for x in RECORD.split(", ")] + ["payload"] * with_payload
+    schema = pa.schema([(n, types.get(n, pa.string())) for n in names])
+
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator:
+        """A stream for each archive; rows of one archive follow one another."""
+        if not by_line:
+            for batch in batches:
+                for content in batch.column(1):
+                    raw = pa.BufferReader(content.as_buffer())
+                    yield _Whole(gzip.GzipFile(fileobj=raw) if content.as_buffer()[:2].to_pybytes() == b"\x1f\x8b" else raw)
+            return
+        rows = ((f, line) for batch in batches for f, line in zip(batch.column(0), batch.column(1)))
+        ahead = next(rows, None)
+
+        def lines(file) -> Iterator[bytes]:
+            nonlocal ahead
+            while ahead is not None and ahead[0] == file:
+                line, ahead = ahead[1].as_py(), next(rows, None)
+                yield line
+
+        while ahead is not None:
+            mine = lines(ahead[0])
+            yield _Lines(mine)
+            for _ in mine:  # what a damaged archive has left
+                pass
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"page_id": pa.int64(), "block_bytes": pa.int64(), "payload_bytes": pa.int64(), "status": pa.int32(), "payload": pa.binary()}
-        names = [x.split()[0] for x in RECORD.split(", ")] + ["payload"] * with_payload
-        schema = pa.schema([(n, types.get(n, pa.string())) for n in names])
-        for batch in batches:
-            for content in batch.column(0):
-                raw = content.as_buffer()
-                stream = io.BufferedReader(pa.BufferReader(raw)) if raw[:2].to_pybytes() != b"\x1f\x8b" else gzip.GzipFile(fileobj=pa.BufferReader(raw))
-                rows, size = [], 0
-                for fields, block in records_of(stream):
-                    rows.append(row(fields, block))
-                    size += len(block) if with_payload else 200
-                    if size > 1 << 22:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows, size = [], 0
-                if rows:
+        rows, size = [], 0
+        for stream in archives(batches):
+            for record in records_of(stream):
+                rows.append(_row(*record, with_payload))
+                size += len(record[1]) if with_payload else 200
+                if size > 1 << 21:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """One row per record of the archives (*.warc, *.warc.gz, or what write_warc wrote) at ``path``."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_parse(with_payload), RECORD + ", payload binary" * with_payload)
+    """One row per record of the archives (*.gz and *.warc) at ``path``.
+
+    A gzip archive that breaks off gives the records up to there.
+    """
+    small_batches(spark)
+    schema = RECORD + ", payload binary" * with_payload
+    packed = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.gz").option("ignoreCorruptFiles", "true").text(path)
+    streamed = packed.select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("line")).mapInArrow(_parse(with_payload, True), schema)
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(path).select("path", "content")
+    return streamed.unionByName(plain.mapInArrow(_parse(with_payload, False), schema))
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: response, request, metadata (structs), and what it refers to."""
-    is_response = F.col("type").isin("response", "revisit")
-    responses = records.filter(is_response)
+    """One nested row per capture: response, request, metadata (structs), and what it refers to.
+
+    Of several requests or metadata records of a capture the one with the least id is shown, and
+    n_request and n_metadata count them.
+    """
+    responses = records.filter(F.col("type").isin("response", "revisit"))
     nested = responses.select(F.col("record_id").alias("capture_id"), F.struct(*responses.columns).alias("response"))
+    named = responses.select(F.col("record_id").alias("of"), F.explode("concurrent_to").alias("named"))
 
     def side(kind: str) -> DataFrame:
         rows = records.filter(F.col("type") == kind)
-        to_response = rows.filter("concurrent_to IS NOT NULL").select(F.col("concurrent_to").alias("of"), "*")
-        named = responses.filter("concurrent_to IS NOT NULL").select(F.col("record_id").alias("of"), F.col("concurrent_to").alias("named"))
+        to_response = rows.select(F.explode("concurrent_to").alias("of"), "*")
         from_response = rows.join(named, F.col("record_id") == F.col("named")).select("of", *rows.columns)
-        both = to_response.unionByName(from_response)
-        pick = F.struct("record_id", *[c for c in ("target_uri", "method", "page_id", "date") if c in rows.columns])
-        return both.groupBy("of").agg(F.min(pick).alias(kind), F.count_distinct("record_id").alias(f"n_{kind}"))
+        pick = F.struct("record_id", "target_uri", "method", "page_id", "date", "damage")
+        return to_response.unionByName(from_response).groupBy("of").agg(F.min(pick).alias(kind), F.count_distinct("record_id").alias(f"n_{kind}"))
 
     requests, notes = side("request"), side("metadata").withColumnRenamed("of", "of2")
     out = nested.join(requests, F.col("capture_id") == F.col("of"), "left").join(notes, F.col("capture_id") == F.col("of2"), "left").drop("of", "of2")
-    first = out.filter(F.col("response.type") == "response").select(F.col("capture_id").alias("target"), F.struct(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest")).alias("referred"))
-    # Captures that refer to nothing would all meet under null; their own ids, which match no target of theirs, spread them.
-    key = F.coalesce("response.refers_to", F.concat(F.lit("-"), F.col("capture_id")))
-    return out.join(first, key == F.col("target"), "left").drop("target")
+    known = F.struct(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"))
+    targets = out.filter(F.col("response.type") == "response").select(F.col("capture_id").alias("target"), known.alias("found"))
+    hot = _hot(responses.filter("refers_to IS NOT NULL").groupBy(F.col("refers_to").alias("of")).agg(F.count("*").alias("n")))
+    hot_targets = targets.join(F.broadcast(hot), F.col("target") == F.col("of"), "left_semi").select(F.col("target").alias("hot"), F.col("found").alias("hot_found"))
+    out = out.join(F.broadcast(hot_targets), F.col("response.refers_to") == F.col("hot"), "left")
+    # Captures whose target is found already, or that have none, would all meet under null; their own ids spread them.
+    key = F.coalesce(F.when(F.col("hot").isNull(), F.col("response.refers_to")), F.concat(F.lit("-"), F.col("capture_id")))
+    return out.join(targets, key == F.col("target"), "left").withColumn("referred", F.coalesce("hot_found", "found")).drop("hot", "hot_found", "target", "found")

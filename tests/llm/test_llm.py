@@ -206,21 +206,6 @@ def test_pii(spark, edge, empty):
     assert pseudonymise(edge, "k").count() == len(EDGE) and pseudonymise(empty, "k").count() == 0
 
 
-def test_warc(spark, tmp_path):
-    from loomlog.llm.warc import assemble, read_warc, write_warc
-
-    html = "<p>" + "x" * 200 + "\r\n\r\nWARC/1.1\r\n é</p>"
-    rows = [(3, "http://a b", html), (1, "u", html), (2, None, None), (4, "u", "short"), (5, "u", "short"), (None, "u", html), (1, "u", html)]
-    path = str(tmp_path / "w")
-    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
-    got = sorted(
-        (str(r.metadata.page_id), r.response.type, r.response.payload_bytes if r.response.type == "response" else r.referred.payload_bytes, r.referred.page_id if r.referred else None)
-        for r in assemble(read_warc(spark, path)).collect()
-    )
-    n = len(html.encode())
-    assert got == sorted([("1", "response", n, None), ("1", "revisit", n, 1), ("3", "revisit", n, 1), ("None", "revisit", n, 1), ("2", "response", 0, None), ("4", "response", 5, None), ("5", "response", 5, None)], key=lambda x: (x[0], x[1], x[2]))
-
-
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
