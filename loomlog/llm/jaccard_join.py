@@ -6,6 +6,9 @@ Documents link when ``den * intersection >= num * union`` of their sets of disti
 * Index lists.  Shingles are ordered: those that occur in many documents last (a bounded list of
   the most frequent ones is counted beforehand), all others by hash.  Any order is exact; this one
   keeps lists short.  Linked sets share a shingle among the first n - ceil(t n) + 1 of each.
+* The frequent shingles are found by summaries of bounded size (Misra and Gries) of all sets: with N
+  shingles altogether, each one outside of the list occurs at most 2 N / MOST_FREQUENT times.  So the
+  lists are formed in one shuffle by shingle, in which only the frequent ones are dealt further by document.
 * Skipping by position.  A shingle at position i of a set of n leaves n - i; as the first common
   one it admits only partners up to a size that follows from i.  Lists are cut into blocks of
   sizes, and a row meets only blocks inside its interval.
@@ -19,7 +22,10 @@ The result holds every component exactly: a link is either verified or lies insi
 verified links connect.  Sets are compared as sets of 64-bit hashes.
 
 Null doc_ids come last and form one node; rows that share a doc_id form one node, which links
-through each of its texts.  Null and empty texts have no set and link with nothing.
+through each of its texts.  (If null, the least and the greatest 64-bit id all occur, null and the
+greatest one form one node.)  Null and empty texts have no set and link with nothing.  An empty table
+gives an empty result; other columns are ignored by ``jaccard_components`` and kept by ``near_dedup``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +35,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlog.llm.cluster import checkpointed, stored
+from loomlog.llm.bitset import BitSet
+from loomlog.llm.cluster import checkpointed, small_batches, stored
 from loomlog.llm.components import components
 from loomlog.llm.textops import hash_words, mix, prefix_sums, run_hash, slices, sort_within
 
@@ -40,7 +47,8 @@ _NO_ID = (1 << 63) - 1
 SHINGLE, NUM, DEN = 5, 75, 100
 MOST_FREQUENT = 1 << 16
 LONG = 32
-_FILTER_BITS = 1 << 23
+_SHARE = 2048
+_PENDING = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,29 +72,50 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _survey(k: int, least: int):
-    """Per text its set's size and 128-bit sum; per batch the shingles that several texts hold."""
+class _Summary:
+    """Counts of the most frequent of many hashes: with N seen, each is too low by N / size at most."""
+
+    def __init__(self, size: int):
+        self.size, self.pending, self.waiting = size, [], 0
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, h: np.ndarray) -> None:
+        self.pending.append(h)
+        self.waiting += len(h)
+        if self.waiting > _PENDING:
+            self.settle()
+
+    def settle(self) -> None:
+        keys, counts = np.unique(np.concatenate([*self.pending, np.zeros(0, np.uint64)]), return_counts=True)
+        self.pending, self.waiting = [], 0
+        keys, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([self.counts, counts]), len(keys)).astype(np.int64)
+        if len(keys) > self.size:
+            counts -= np.partition(counts, len(counts) - self.size - 1)[len(counts) - self.size - 1]
+            keys, counts = keys[counts > 0], counts[counts > 0]
+        self.keys, self.counts = keys, counts
+
+
+def _survey(k: int, most: int):
+    """Per text its set's size and 128-bit sum; per task a summary of its frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "key", "n", "one", "two"]
+        summary = _Summary(most)
         for batch in batches:
-            seen = []
             for lo, hi, data, offsets in slices(batch.column(1)):
                 h, cut = shingle_sets(data, offsets, k)
                 one = np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(11)), dtype=np.uint64)])
                 two = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-                seen.append(h)
+                summary.add(h)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cut)), _long(one[cut[1:]] - one[cut[:-1]]), _long(two[cut[1:]] - two[cut[:-1]])],
                     names=names,
                 )
-            if seen:
-                h = np.sort(np.concatenate(seen))
-                begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-                n = np.diff(np.append(begin, len(h)))
-                h, n = h[begin[n >= least]], n[n >= least].astype(np.int64)
-                none = pa.array(np.zeros(len(h), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), _long(h), pa.array(n), none, none], names=names)
+        summary.settle()
+        h, n = summary.keys[summary.counts > 1], summary.counts[summary.counts > 1]
+        none = pa.array(np.zeros(len(h), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), _long(h), pa.array(n), none, none], names=names)
 
     return run
 
@@ -111,8 +140,8 @@ def _prefixes(k: int, num: int, den: int, frequent):
                 take = position < (n - -(-n * num // den) + 1)[doc]
                 doc = doc[take]
                 yield pa.RecordBatch.from_arrays(
-                    [_long(h[order][take]), pa.array(ids[lo:hi][doc]), pa.array(n[doc].astype(np.int32)), pa.array(position[take].astype(np.int32))],
-                    names=["token", "id", "n", "at"],
+                    [_long(h[order][take]), pa.array(place[order][take] > 0), pa.array(ids[lo:hi][doc]), pa.array(n[doc].astype(np.int32)), pa.array(position[take].astype(np.int32))],
+                    names=["token", "often", "id", "n", "at"],
                 )
 
     return run
@@ -157,51 +186,88 @@ def _overlaps(k: int):
 class _Join:
     def __init__(self, docs: DataFrame, k: int, num: int, den: int, long: int):
         self.spark, self.k, self.num, self.den, self.long = docs.sparkSession, k, num, den, long
-        self.docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+        small_batches(self.spark)
+        doc_id = F.col("doc_id").cast("long")
+        ends = docs.agg(F.min(doc_id), F.max(doc_id), F.count_if(doc_id.isNull())).first()
+        # The stand-in for null is the greatest number; if that is an id, all ids move down by one.
+        self.shift = int(ends[2] > 0 and ends[1] == _NO_ID and ends[0] > -_NO_ID - 1)
+        self.docs = docs.select(F.coalesce(doc_id - self.shift, F.lit(_NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def shown(self, column: str) -> Column:
+        """A node as the doc_id that it stands for."""
+        return F.when(F.col(column) != _NO_ID, F.col(column) + self.shift) if self.shift else F.when(F.col(column) != _NO_ID, F.col(column))
 
     def needs(self, rest: Column, n_a: Column, n_b: Column) -> Column:
         """Whether an intersection of ``rest`` suffices for sets of these sizes."""
         return (self.num + self.den) * rest.cast("long") >= self.num * (n_a.cast("long") + n_b)
 
     def survey(self) -> tuple[DataFrame, DataFrame]:
-        """id, n, class_id of every row; token, n of shingles that occur often."""
-        seen = checkpointed(self.docs.mapInArrow(_survey(self.k, 4), "kind int, key long, n long, one long, two long"))
+        """id, n, class_id of every row; token, n of the most frequent shingles."""
+        seen = checkpointed(self.docs.mapInArrow(_survey(self.k, MOST_FREQUENT), "kind int, key long, n long, one long, two long"))
         sets = seen.filter("kind = 0").select(F.col("key").alias("id"), "n", "one", "two")
         least = sets.filter("n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("class_id"))
         classes = checkpointed(sets.join(least, ["n", "one", "two"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")))
         often = seen.filter("kind = 1").groupBy(F.col("key").alias("token")).agg(F.sum("n").alias("n"))
         return classes, often.filter(F.col("n") >= 2 * self.long).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT)
 
-    def lists(self, reps: DataFrame, often: DataFrame) -> DataFrame:
-        """token, id, n, at, several, listed: rows of the index lists of at least two classes."""
+    def lists(self, copies: DataFrame, often: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Index lists of at least two rows, but for those of ``copies``, which other ids stand for.
+
+        Short lists: token, members (id, n, at).  Long ones: token, listed, id, n, at.
+        """
         token = often.select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(token)
         places = np.arange(len(token), 0, -1, dtype=np.int64)
         frequent = self.spark.sparkContext.broadcast((token[order], places[order]))  # at most MOST_FREQUENT entries
-        rows = self.docs.mapInArrow(_prefixes(self.k, self.num, self.den, frequent), "token long, id long, n int, at int")
-        several = rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("token").alias("t"))
-        # Stored before the semi-join: Catalyst would push that below the join and deal all rows once more.
-        found = stored(rows.join(several, F.col("token") == F.col("t")).drop("t"), "found").join(reps, "id")
-        counts = found.groupBy("token").agg(F.count("*").alias("listed")).filter("listed > 1").select(F.col("token").alias("t"), F.col("listed").cast("int"))
-        return stored(found.join(counts, F.col("token") == F.col("t")).select("token", "id", "n", "at", "several", "listed"), "lists")
+        known = BitSet(copies, "id")
+        firsts = known.part(self.docs, F.col("id"), False).unionByName(known.part(self.docs, F.col("id"), True).join(copies, "id", "left_anti"))
+        rows = firsts.mapInArrow(_prefixes(self.k, self.num, self.den, frequent), "token long, often boolean, id long, n int, at int")
+        # The rows of a frequent shingle are dealt further by id; the others meet in one task, and so few that it can be.
+        share = F.when(F.col("often"), F.pmod(F.xxhash64("id"), F.lit(1 << 16)).cast("int")).otherwise(0)
+        counted = rows.withColumn("share", share).withColumn("c", F.count("*").over(Window.partitionBy("token", "share"))).filter("often OR c > 1")
+        part = F.when(F.col("often"), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / _SHARE)))  # no row holds more than about _SHARE members
+        grouped = counted.withColumn("part", part).groupBy("token", "share", "part", "often").agg(F.max("c").alias("c"), F.collect_list(F.struct("id", "n", "at")).alias("members"))
+        found = stored(grouped.select("token", "often", "c", "members"), "lists")
+        of_often = found.filter("often").groupBy(F.col("token").alias("t")).agg(F.sum(F.size("members")).alias("total"))
+        listed = F.coalesce("total", "c")
+        found = found.join(F.broadcast(of_often), F.col("often") & (F.col("token") == F.col("t")), "left").select("token", "often", listed.alias("listed"), "members")
+        long = found.filter((F.col("listed") > self.long) | F.col("often") & (F.col("listed") > 1)).select("token", "listed", F.inline("members"))
+        return found.filter(~F.col("often") & (F.col("listed") <= self.long)).select("token", "members"), long
+
+    def by_list(self, rows: DataFrame, table: DataFrame) -> DataFrame:
+        """Rows of long lists with the table's row (t, size) for their list; a list is dealt over tasks by its length."""
+        shares = lambda c: F.ceil(F.col(c) / _SHARE).cast("int")
+        rows = rows.withColumn("share", F.pmod(F.xxhash64("id"), shares("listed")).cast("int"))
+        table = table.withColumn("of_share", F.explode(F.sequence(F.lit(0), shares("size") - 1)))
+        return rows.join(table, (F.col("token") == F.col("t")) & (F.col("share") == F.col("of_share"))).drop("share", "of_share", "t", "size")
 
     def fits(self) -> Column:
         """Whether a shared shingle could be the first common one of a linked pair a, b."""
         a, b = F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")
         return self.needs(a, F.col("n_a"), F.col("n_b")) & self.needs(b, F.col("n_a"), F.col("n_b"))
 
-    def short_pairs(self, lists: DataFrame) -> DataFrame:
+    def short_pairs(self, short: DataFrame, long: DataFrame, several: DataFrame | None) -> DataFrame:
         """Pairs that share a shingle of a short list and may still reach the threshold."""
-        short = lists.filter(F.col("listed") <= self.long)
-        side = lambda x: short.select("token", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "at", "several")])
+        side = lambda x: [F.col(f"{x}_.{c}").alias(n) for c, n in (("id", x), ("n", f"n_{x}"), ("at", f"at_{x}"))]
         alike = (F.col("a") < F.col("b")) & (self.den * F.col("n_a") >= self.num * F.col("n_b")) & (self.den * F.col("n_b") >= self.num * F.col("n_a"))
+        met = short.select(F.explode("members").alias("a_"), "members").select("a_", F.explode("members").alias("b_")).select(*side("a"), *side("b")).filter(alike)
         last = [F.max(c).alias(c) for c in ("n_a", "n_b", "at_a", "at_b")]
-        pairs = side("a").join(side("b"), "token").filter(alike).groupBy("a", "b").agg(F.count("*").alias("shared"), *last, F.max(F.col("several_a") | F.col("several_b")).alias("several"), F.max(self.fits()).alias("fits"))
-        more = lists.filter(F.col("listed") > self.long).groupBy("id").agg(F.count("*").alias("more"))
+        pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), *last, F.max(self.fits()).alias("fits"))
+        more = long.groupBy("id").agg(F.count("*").alias("more"))
         more_a, more_b = more.select(F.col("id").alias("a"), F.col("more").alias("more_a")), more.select(F.col("id").alias("b"), F.col("more").alias("more_b"))
         room = F.col("shared") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))) + self.behind()
         may = self.needs(room, F.col("n_a"), F.col("n_b")) & (F.col("fits") | (F.coalesce("more_a", F.lit(0)) > 0) & (F.coalesce("more_b", F.lit(0)) > 0))
-        return pairs.join(more_a, "a", "left").join(more_b, "b", "left").filter(F.col("several") | may).select("a", "b")
+        pairs = pairs.join(more_a, "a", "left").join(more_b, "b", "left")
+        return self.or_several(pairs, may, several).select("a", "b")
+
+    @staticmethod
+    def or_several(pairs: DataFrame, may: Column, several: DataFrame | None) -> DataFrame:
+        """Pairs that may link: bounds hold for single texts, so ids with several texts stay in any case."""
+        if several is None:
+            return pairs.filter(may)
+        for x in ("a", "b"):
+            pairs = pairs.join(several.select(F.col("id").alias(x), F.lit(True).alias(f"several_{x}")), x, "left")
+        return pairs.filter(F.coalesce("several_a", "several_b", F.lit(False)) | may)
 
     def behind(self) -> Column:
         """How many shingles two sets can share beside those common to both prefixes.
@@ -213,23 +279,21 @@ class _Join:
         last = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
         return F.least(last, outside(F.greatest("n_a", "n_b")))
 
-    def leader_pairs(self, lists: DataFrame) -> DataFrame:
+    def leader_pairs(self, long: DataFrame) -> DataFrame:
         """Members of long lists with their list's leader: the one with the fewest rarer shingles."""
-        rows = lists.filter(F.col("listed") > self.long)
-        leaders = rows.groupBy("token").agg(F.min(F.struct("at", F.xxhash64("id").alias("h"), "id", "n")).alias("l"))
-        leaders = leaders.select(F.col("token").alias("t"), F.col("l.id").alias("a"), F.col("l.n").alias("n_a"), F.col("l.at").alias("at_a"))
-        pairs = rows.join(leaders, F.col("token") == F.col("t")).withColumnsRenamed({"id": "b", "n": "n_b", "at": "at_b"})
+        leaders = long.groupBy("token").agg(F.min(F.struct("at", F.xxhash64("id").alias("h"), "id", "n")).alias("l"), F.max("listed").alias("size"))
+        leaders = leaders.select(F.col("token").alias("t"), "size", F.col("l.id").alias("a"), F.col("l.n").alias("n_a"), F.col("l.at").alias("at_a"))
+        pairs = self.by_list(long, leaders).withColumnsRenamed({"id": "b", "n": "n_b", "at": "at_b"})
         return pairs.filter((F.col("a") != F.col("b")) & self.fits()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def open_pairs(self, lists: DataFrame, known: DataFrame) -> DataFrame:
+    def open_pairs(self, short: DataFrame, long: DataFrame, known: DataFrame, several: DataFrame | None) -> DataFrame:
         """Pairs of long lists that lie in different components so far."""
         block = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(self.den / self.num)) * 2).cast("int")
-        rows = lists.filter(F.col("listed") > self.long).join(known, F.col("id") == F.col("node"), "left")
-        rows = rows.select("token", "id", "n", "at", F.coalesce("component", "id").alias("label"))
-        rows = checkpointed(rows)
-        sizes = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
-        major = sizes.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select(F.col("token").alias("t"), F.col("m.label").alias("major"))
-        mixed = rows.join(major, F.col("token") == F.col("t"))
+        rows = long.join(known, F.col("id") == F.col("node"), "left")
+        rows = checkpointed(rows.select("token", "listed", "id", "n", "at", F.coalesce("component", "id").alias("label")))
+        sizes = rows.groupBy("token", "label").agg(F.count("*").alias("c"), F.max("listed").alias("size"))
+        major = sizes.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels"), F.max("size").alias("size")).filter("labels > 1").select(F.col("token").alias("t"), "size", F.col("m.label").alias("major"))
+        mixed = self.by_list(rows, major)
         # The sizes of partners that position ``at`` admits.
         upper = F.floor((F.col("n") - F.col("at")) * (self.num + self.den) / self.num + 1e-9) - F.col("n")
         lower = F.ceil(F.col("n") * self.num / self.den - 1e-9)
@@ -241,31 +305,19 @@ class _Join:
         pairs = pairs.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(
             F.max(F.when(swapped, F.col("at_b")).otherwise(F.col("at_a"))).alias("at_a"), F.max(F.when(swapped, F.col("at_a")).otherwise(F.col("at_b"))).alias("at_b")
         ).withColumnsRenamed({"low": "a", "high": "b"})
+        pairs = checkpointed(pairs)
         # All common shingles of two prefixes are listed, so their number bounds the intersection.
-        of = lists.groupBy("id").agg(F.collect_set("token").alias("t"), F.max("n").alias("n"), F.max("several").alias("several"))
-        side = lambda x: of.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("t", "n", "several")])
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        every = long.select("token", "id", "n").unionByName(short.select("token", F.inline("members")).select("token", "id", "n"))
+        of = every.join(named, "id").groupBy("id").agg(F.collect_set("token").alias("t"), F.max("n").alias("n"))
+        end = lambda x: of.select(F.col("id").alias(x), F.col("t").alias(f"t_{x}"), F.col("n").alias(f"n_{x}"))
+        both = pairs.join(end("a"), "a").join(end("b"), "b")
         room = F.size(F.array_intersect("t_a", "t_b")) + self.behind()
-        return both.filter(F.col("several_a") | F.col("several_b") | self.needs(room, F.col("n_a"), F.col("n_b"))).select("a", "b")
+        return self.or_several(both, self.needs(room, F.col("n_a"), F.col("n_b")), several).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """a, b, n_a, n_b, common of the pairs that link, from their whole texts."""
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        bit = F.pmod(F.xxhash64("id"), F.lit(_FILTER_BITS))
-        words = ids.select(F.floor(bit / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-        mask = np.zeros(_FILTER_BITS // 64, dtype=np.int64)  # of fixed size; the join below is what decides
-        mask[words["w"].to_numpy()] = words["b"].to_numpy()
-        shared = self.spark.sparkContext.broadcast(mask)
-
-        def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            for batch in batches:
-                at = batch.column(2).to_numpy()
-                keep = (m[at >> 6] >> (at & 63)) & 1
-                out = batch.filter(pa.array(keep.astype(bool)))
-                yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["id", "text"])
-
-        texts = self.docs.withColumn("bit", bit).mapInArrow(maybe, "id long, text string")
+        texts = BitSet(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").part(self.docs, F.col("id"), True)
         with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
         checked = both.mapInArrow(_overlaps(self.k), "a long, b long, n_a long, n_b long, common long")
@@ -278,22 +330,21 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: i
         raise ValueError("the threshold num/den must lie above 0 and at most at 1")
     join = _Join(docs, k, num, den, long)
     rows, often = join.survey()
-    # Bounds on pairs hold for single texts, so a doc_id with several of them is compared in any case.
-    reps = rows.filter("n > 0").groupBy("id").agg(F.max(F.col("id") == F.col("class_id")).alias("first"), (F.min("class_id") != F.max("class_id")).alias("several")).filter("first").select("id", "several")
-    lists = join.lists(reps, often)
-    pairs = stored(join.short_pairs(lists).unionByName(join.leader_pairs(lists)).distinct(), "pairs")
-    links = join.verified(pairs)
-    # A doc_id that stands for several texts ties their classes together.
-    several = rows.groupBy("id").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo <> hi").select("id")
-    ties = rows.join(several, "id").select(F.col("id").alias("u"), F.col("class_id").alias("v"))
-    known = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(ties))
-    rest = checkpointed(join.open_pairs(lists, known))
+    of_id = checkpointed(rows.filter("n > 0").groupBy("id").agg(F.max(F.col("id") == F.col("class_id")).alias("first"), (F.min("class_id") != F.max("class_id")).alias("several")))
+    several = of_id.filter("several").select("id")
+    several = None if several.isEmpty() else several
+    short, long_ = join.lists(of_id.filter("NOT first").select("id"), often)
+    pairs = stored(join.short_pairs(short, long_, several).unionByName(join.leader_pairs(long_)).distinct(), "pairs")
+    links = join.verified(pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if several is not None:  # a doc_id that stands for several texts ties their classes together
+        links = links.unionByName(rows.join(several, "id").select(F.col("id").alias("u"), F.col("class_id").alias("v")))
+    known = components(links)
+    rest = checkpointed(join.open_pairs(short, long_, known, several))
     if not rest.isEmpty():
         more = join.verified(rest)
         known = components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     out = rows.join(known, F.col("class_id") == F.col("node"), "left").select("id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    shown = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return out.select(shown("id").alias("doc_id"), "n_shingles", shown("class_id").alias("class_id"), shown("component_id").alias("component_id"))
+    return out.select(join.shown("id").alias("doc_id"), "n_shingles", join.shown("class_id").alias("class_id"), join.shown("component_id").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
