@@ -4,21 +4,24 @@ Each kind of personal data is found by a pattern and validated; what is valid is
 its own format, so equal values get equal pseudonyms in all documents, different values different
 ones, and the text around stays as it is.
 
-* card numbers (13 to 19 digits, Luhn-valid): the digits before the check digit are permuted and
+* card numbers (13 to 19 digits, or groups of 4-4-4-4 or 4-6-5, Luhn-valid): the digits before the check digit are permuted and
   the check digit is computed anew; separators stay.
 * phone numbers with an area code in brackets: the digits after the country code.
 * social security numbers (valid area, group and serial): area against group and serial.
 * IPv4 addresses: the two halves of the 32 bits.
 * calendar dates (yyyy-mm-dd and dd/mm/yyyy, 1800 to 2199): the day's number in the Gregorian
   400-year cycle of 189 * 773 days.
-* secrets of at least 32 hex digits: each run of up to 16 digits, keyed by its place; digits
-  count by value, and where a letter is upper case all letters of the pseudonym are.
+* secrets of at least 32 hex digits: the two halves of the whole string, of any length, so secrets
+  that begin alike do not stay so; digits count by value, and where a letter is upper case all letters
+  of the pseudonym are.
 * e-mail addresses have no numeric format: the local part becomes 16 hex digits of a keyed hash,
   under the reserved domain example.invalid.
 
 A Feistel network here has ten rounds: in turn one half is shifted, modulo its own size, by a keyed
 SHA-256 of the other, which is a permutation for halves of any two sizes.  Invalid look-alikes are
-left alone.  Null texts give null; the other columns are kept.
+left alone.  Null texts give null and no values; texts may have any length; rows that repeat are
+changed alike; an empty table gives an empty result.  The other columns are kept; an input column
+called n_pseudonyms becomes n_pseudonyms_input.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.llm.cluster import make_room
+
 ROUNDS = 10
 
 EMAIL = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"
@@ -35,7 +40,7 @@ DAY_DATE = r"(?<![0-9/])(?:0[1-9]|[12][0-9]|3[01])/(?:0[1-9]|1[0-2])/(?:1[89]|2[
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 PHONE = r"(?<![0-9])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"
+CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 KINDS = {"email": EMAIL, "secret": SECRET, "iso_date": ISO_DATE, "day_date": DAY_DATE, "ip": IPV4, "phone": PHONE, "ssn": SSN, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 
@@ -153,19 +158,34 @@ def date_pseudonym(s: Column, fmt: str, key: str) -> Column:
 
 
 def secret_pseudonym(s: Column, key: str) -> Column:
+    """A Feistel network over the halves of a hex string, each in blocks of up to 15 digits."""
     low = F.lower(s)
+    n = F.length(s)
+    u = F.floor(n / 2).cast("int")
+
+    def blocks(start: Column, size: Column) -> Column:
+        """(value, digits) of each block of a half."""
+        step = F.sequence(F.lit(0), (F.ceil(size / 15) - 1).cast("int"))
+        width = lambda j: F.least(F.lit(15), size - j * 15)
+        return F.transform(step, lambda j: F.struct(F.conv(F.substr(low, start + j * 15 + 1, width(j)), 16, 10).cast("long").alias("x"), width(j).alias("w")))
+
+    def shifted(half: Column, other: Column, i: Column) -> Column:
+        said = F.array_join(F.transform(other, lambda o: o["x"].cast("string")), ",")
+
+        def block(o: Column, j: Column) -> Column:
+            size = F.pow(F.lit(16.0), o["w"]).cast("long")
+            return F.struct(F.pmod(o["x"] + F.pmod(_keyed(key, F.lit("hex"), n, i, j, said), size), size).alias("x"), o["w"].alias("w"))
+
+        return F.transform(half, block)
+
+    def turn(acc: Column, i: Column) -> Column:
+        even = F.struct(shifted(acc["a"], acc["b"], i).alias("a"), acc["b"].alias("b"))
+        return F.when(i % 2 == 0, even).otherwise(F.struct(acc["a"].alias("a"), shifted(acc["b"], acc["a"], i).alias("b")))
 
-    def piece(i: Column) -> Column:
-        x = F.substr(low, i * 16 + 1, F.lit(16))
-        n = F.length(x)
-        u = F.floor(n / 2).cast("int")
-        size_of = lambda k: F.pow(F.lit(16.0), k).cast("long")
-        left = F.coalesce(F.conv(F.substr(x, F.lit(1), u), 16, 10).cast("long"), F.lit(0))
-        pair = feistel(left, F.conv(F.substr(x, u + 1, n - u), 16, 10).cast("long"), size_of(u), size_of(n - u), key, F.concat(F.lit("hex"), i.cast("string")))
-        return _let(pair, lambda p: F.concat(F.lpad(F.lower(F.hex(p["a"])), u, F.lit("0")), F.lpad(F.lower(F.hex(p["b"])), n - u, F.lit("0"))))
-
-    pieces = F.transform(F.sequence(F.lit(0), (F.ceil(F.length(s) / 16) - 1).cast("int")), piece)
-    out = F.array_join(pieces, "")
+    start = F.struct(blocks(F.lit(0), u).alias("a"), blocks(u, n - u).alias("b"))
+    shown = lambda half: F.array_join(F.transform(half, lambda o: F.lpad(F.lower(F.hex(o["x"])), o["w"], F.lit("0"))), "")
+    end = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
+    out = _let(end, lambda p: F.concat(shown(p["a"]), shown(p["b"])))
     return F.when(s.rlike("[A-F]"), F.upper(out)).otherwise(out)
 
 
@@ -194,7 +214,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     key: any secret string; the same key gives the same pseudonyms in every run.
     """
-    t = F.col(text)
+    docs = make_room(docs, "n_pseudonyms")
+    t = F.col(f"`{text}`")
     found = F.when(t.rlike("[0-9@]|[a-fA-F]{32}"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
     def rebuilt(found: Column, new: Column) -> Column:
@@ -206,4 +227,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         unchanged = F.struct(t.alias("text"), F.lit(0).cast("long").alias("n"))
         return F.when(F.size(found) > 0, _let(F.transform(found, lambda m: pseudonym(m, key)), lambda new: rebuilt(found, new))).otherwise(unchanged)
 
-    return docs.withColumn("_result", _let(found, of)).withColumn(text, F.col("_result.text")).withColumn("n_pseudonyms", F.coalesce("_result.n", F.lit(0).cast("long"))).drop("_result")
+    rest = [c for c in docs.columns if c != text]
+    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _let(found, of).alias("result"))
+    changed = {text: F.col("result.text")} | {c: F.col(f"row.`{c}`") for c in rest}
+    return both.select(*[changed[c].alias(c) for c in docs.columns], F.coalesce("result.n", F.lit(0).cast("long")).alias("n_pseudonyms"))
