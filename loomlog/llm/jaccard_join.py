@@ -205,7 +205,8 @@ class _Join:
         """id, n, class_id of every row; token, n of the most frequent shingles."""
         seen = checkpointed(self.docs.mapInArrow(_survey(self.k, MOST_FREQUENT), "kind int, key long, n long, one long, two long"))
         sets = seen.filter("kind = 0").select(F.col("key").alias("id"), "n", "one", "two")
-        least = sets.filter("n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("class_id"))
+        # Stored before the join, so that Spark can split a class that holds many of the rows.
+        least = checkpointed(sets.filter("n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("class_id"), F.count("*").alias("c")).filter("c > 1").drop("c"))
         classes = checkpointed(sets.join(least, ["n", "one", "two"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")))
         often = seen.filter("kind = 1").groupBy(F.col("key").alias("token")).agg(F.sum("n").alias("n"))
         return classes, often.filter(F.col("n") >= 2 * self.long).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT)
@@ -309,7 +310,8 @@ class _Join:
         # All common shingles of two prefixes are listed, so their number bounds the intersection.
         named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         every = long.select("token", "id", "n").unionByName(short.select("token", F.inline("members")).select("token", "id", "n"))
-        of = every.join(named, "id").groupBy("id").agg(F.collect_set("token").alias("t"), F.max("n").alias("n"))
+        # A bitmap keeps most other rows out; that of a row too many does no harm, as the pairs are joined by id.
+        of = BitSet(named, "id").part(every, F.col("id"), True).groupBy("id").agg(F.collect_set("token").alias("t"), F.max("n").alias("n"))
         end = lambda x: of.select(F.col("id").alias(x), F.col("t").alias(f"t_{x}"), F.col("n").alias(f"n_{x}"))
         both = pairs.join(end("a"), "a").join(end("b"), "b")
         room = F.size(F.array_intersect("t_a", "t_b")) + self.behind()
