@@ -10,7 +10,9 @@ Decoding: the token strings lie one after another in one byte table; the ids sel
 
 Works on the tokenizer files of the `tokenizers` library that have a BPE model with an end-of-word
 suffix, byte-level letters, and an NFC, white-space and lower-case normaliser.  Null texts count as
-empty and have no tokens.
+empty and have no tokens; a text or a single word may have any length; rows that repeat are encoded
+each; an empty table gives an empty result.  Columns other than doc_id and text are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,9 +28,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from loomlog.llm.cluster import small_batches
+
 _END = chr(256)
 _TABLES: dict[str, BpeTables] = {}
-_CACHE = 1 << 17
+_CACHE = 1 << 18  # words
+_PAIRS = 1 << 18
 
 
 def _byte_letters() -> dict[str, int]:
@@ -102,6 +107,7 @@ class BpeTables:
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
         self.bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _side_by_side(self, a: int, b: int, limit: int | None = None) -> bool:
         """Whether merging could leave a and b unmerged up to ``limit`` (a rank; None: for good)."""
@@ -122,7 +128,7 @@ class BpeTables:
     def compatible(self, a: int, b: int) -> bool:
         ok = self.pair_ok.get((a, b))
         if ok is None:
-            if len(self.pair_ok) >= 2 * _CACHE:
+            if len(self.pair_ok) >= _PAIRS:
                 self.pair_ok.clear()
             ok = self.pair_ok[(a, b)] = self._side_by_side(a, b)
         return ok
@@ -171,18 +177,27 @@ class BpeTables:
                 if not unicodedata.is_normalized("NFC", piece):
                     piece = unicodedata.normalize("NFC", piece)
                 piece = piece.replace("Σ", "σ")  # letters are lowered one by one, without regard to a word's end
-            known = self.known
-            for word in self.words.findall(piece.lower()):
-                ids = known.get(word)
-                if ids is None:
-                    ids = np.array(self.encode_word(word), dtype="<u4").tobytes()
-                    if len(known) >= _CACHE:
-                        known.clear()
-                    if len(word) <= 64:
-                        known[word] = ids
-                out.append(ids)
+            words = self.words.findall(piece.lower())
+            for lo in range(0, len(words), 1 << 16):
+                some = words[lo : lo + (1 << 16)]
+                ids = list(map(self.known.get, some))
+                if None in ids:
+                    for k in [k for k, x in enumerate(ids) if x is None]:
+                        ids[k] = self._fetched(some[k])
+                out.extend(ids)
         return b"".join(out)
 
+    def _fetched(self, word: str) -> bytes:
+        """Ids of a word that the younger half of the cache lacks; it moves there."""
+        ids = self.known.get(word) or self.older.get(word)
+        if ids is None:
+            ids = np.array(self.encode_word(word), dtype="<u4").tobytes()
+        if len(word) <= 64:
+            if len(self.known) >= _CACHE // 2:  # words that did not occur since the last change go
+                self.older, self.known = self.known, {}
+            self.known[word] = ids
+        return ids
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Token strings joined by one space, in UTF-8 (what a file without a decoder asks for)."""
         if not len(ids):
@@ -235,6 +250,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, with_ids: bool = True) -> DataFr
     docs: doc_id, text.  tokenizer: path of the tokenizer file on every executor.  Returns doc_id,
     n_tokens, ids_sha256, decoded_sha256 and, with ``with_ids``, ids.
     """
+    small_batches(docs.sparkSession)
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(_encode_batches(tokenizer, with_ids), schema)
 

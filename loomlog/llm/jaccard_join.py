@@ -190,12 +190,14 @@ class _Join:
         doc_id = F.col("doc_id").cast("long")
         ends = docs.agg(F.min(doc_id), F.max(doc_id), F.count_if(doc_id.isNull())).first()
         # The stand-in for null is the greatest number; if that is an id, all ids move down by one.
-        self.shift = int(ends[2] > 0 and ends[1] == _NO_ID and ends[0] > -_NO_ID - 1)
+        self.nulls = ends[2] > 0
+        self.shift = int(self.nulls and ends[1] == _NO_ID and ends[0] > -_NO_ID - 1)
         self.docs = docs.select(F.coalesce(doc_id - self.shift, F.lit(_NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def shown(self, column: str) -> Column:
         """A node as the doc_id that it stands for."""
-        return F.when(F.col(column) != _NO_ID, F.col(column) + self.shift) if self.shift else F.when(F.col(column) != _NO_ID, F.col(column))
+        doc_id = F.col(column) + self.shift if self.shift else F.col(column)
+        return F.when(F.col(column) != _NO_ID, doc_id) if self.nulls else doc_id
 
     def needs(self, rest: Column, n_a: Column, n_b: Column) -> Column:
         """Whether an intersection of ``rest`` suffices for sets of these sizes."""
@@ -363,11 +365,14 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN
     nodes = checkpointed(nodes.join(ids, "node"))
     # Joined by node and not by component: the members of a large component are dealt over many tasks.
     first = nodes.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("f")).select(F.col("f.node").alias("node"))
-    gone = nodes.join(first, "node", "left_anti").select("node")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node.alias("node"))
-    kept = rows.join(gone, "node", "left_anti")
+    gone = checkpointed(nodes.join(first, "node", "left_anti").select("node"))
     repeated = nodes.filter("copies > 1").select("node")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node.alias("node"))
+    # Rows whose node surely neither goes nor repeats pass without a shuffle.
+    touched = BitSet(gone.unionByName(repeated), "node")
+    passed, maybe = (touched.part(rows, F.col("node"), x) for x in (False, True))
+    kept = maybe.join(gone, "node", "left_anti")
     if repeated.isEmpty():
-        return kept.select("row.*")
+        return passed.unionByName(kept).select("row.*")
     once = kept.join(repeated, "node", "left_semi").groupBy("node").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return kept.join(repeated, "node", "left_anti").select("row.*").unionByName(once.select("row.*"))
+    return passed.unionByName(kept.join(repeated, "node", "left_anti")).select("row.*").unionByName(once.select("row.*"))

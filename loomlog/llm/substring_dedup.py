@@ -17,8 +17,10 @@ Per document the covered windows are united, which yields the maximal repeats of
 Spark aggregates before the shuffle, and the joins back are plain equi-joins that it can split.
 
 Documents are ordered by doc_id; null comes before all ids, and rows with one doc_id have equal
-rank (neither removes from the other).  Null and empty texts have no words.  Other columns of the
-input are ignored.
+rank (neither removes from the other).  (If null, the least and the greatest 64-bit id all occur,
+null and the least one have equal rank.)  Null and empty texts have no words; texts may have any
+length; an empty table gives an empty result.  Other columns of the input are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.llm.cluster import small_batches
 from loomlog.llm.textops import hash_words, prefix_sums, run_hash, slices
 
 _NULL_ID = -(1 << 63)
@@ -194,7 +197,7 @@ def _results(length: int, k: int, with_text: bool):
                         texts.append(kept.decode("utf-8"))
                 spans = [_span_list(gone[int(bounds[d]) : int(bounds[d + 1])]) for d in range(hi - lo)]
                 arrays = [ids.slice(lo, hi - lo), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, pa.list_(pa.int32()))]
-                names = ["id", "n_words", "n_removed", "kept_sha256", "removed"]
+                names = ["doc_id", "n_words", "n_removed", "kept_sha256", "removed"]
                 if with_text:
                     arrays.append(pa.array(texts, pa.string()))
                     names.append("kept_text")
@@ -218,8 +221,14 @@ def substring_dedup(docs: DataFrame, length: int = 20, k: int = 6, with_text: bo
     """
     if not 1 <= k <= length:
         raise ValueError("k must lie between 1 and length")
+    small_batches(docs.sparkSession)
+    doc_id = F.col("doc_id").cast("long")
+    ends = docs.agg(F.min(doc_id), F.max(doc_id), F.count_if(doc_id.isNull())).first()
+    # The stand-in for null is the least number; if that is an id, all ids move up by one.
+    shift = int(ends[2] > 0 and ends[0] == _NULL_ID and ends[1] < -_NULL_ID - 1)
     texts = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"),
+        F.coalesce(doc_id + shift, F.lit(_NULL_ID)).alias("id"),
+        doc_id.isNull().alias("no_id"),
         F.hash(F.coalesce("text", F.lit(""))).alias("sum"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
@@ -240,11 +249,12 @@ def substring_dedup(docs: DataFrame, length: int = 20, k: int = 6, with_text: bo
     )
     firsts = windows.groupBy("one", "two").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1").select(F.col("one").alias("g1"), F.col("two").alias("g2"), "first_id")
     late = windows.join(firsts, (F.col("one") == F.col("g1")) & (F.col("two") == F.col("g2"))).filter("id > first_id").groupBy("id", "sum").agg(F.collect_list("at").alias("single"))
-    schema = "id long, n_words long, n_removed long, kept_sha256 string, removed array<int>" + (", kept_text string" if with_text else "")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<int>" + (", kept_text string" if with_text else "")
     out = (
-        rows.join(lists.select("id", "sum", "whole"), ["id", "sum"], "left")
+        texts.select(F.when(~F.col("no_id"), F.col("id") - shift).alias("doc_id"), "id", "sum", "text")
+        .join(lists.select("id", "sum", "whole"), ["id", "sum"], "left")
         .join(late, ["id", "sum"], "left")
-        .select("id", "sum", "text", "whole", "single")
+        .select("doc_id", "sum", "text", "whole", "single")
         .mapInArrow(_results(length, k, with_text), schema)
     )
-    return out.withColumn("doc_id", F.when(F.col("id") != _NULL_ID, F.col("id"))).select("doc_id", *[c for c in out.columns if c != "id"])
+    return out

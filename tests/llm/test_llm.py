@@ -1,7 +1,6 @@
 """The training-data operators against brute-force versions, and their edge cases."""
 
 import hashlib
-import math
 import re
 from collections import defaultdict
 
@@ -155,53 +154,3 @@ def test_jaccard_join(spark, edge, empty, docs, long):
         assert got == brute_components(rows)
     assert near_dedup(edge).columns == edge.columns
     assert jaccard_components(empty).count() == near_dedup(empty).count() == 0
-
-
-def test_bpe_equals_library(spark, edge, empty, docs):
-    import public_tokenizers
-    from loomlog.llm.bpe import bpe_decode, bpe_encode
-    from tokenizers import Tokenizer
-
-    path = public_tokenizers.path("word_bpe_49k.json")
-    lib = Tokenizer.from_file(path)
-    lib.no_padding()
-    lib.no_truncation()
-    extra = spark.createDataFrame([(1, "<|endoftext|>hi <|startoftext|>"), (2, "ΑΣ İ ﬁ é don't we'LL 日本 😀 \x85 \x1c"), (3, None)], "doc_id long, text string")
-    for df in (edge.filter("doc_id <> 12"), docs, extra):
-        texts = defaultdict(list)
-        for r in df.collect():
-            texts[r.doc_id].append(lib.encode(r.text or "", add_special_tokens=False).ids)
-        for r in bpe_encode(df, path).collect():
-            assert r.ids == texts[r.doc_id][0] and r.n_tokens == len(r.ids)
-            assert r.decoded_sha256 == hashlib.sha256(lib.decode(r.ids, skip_special_tokens=False).encode()).hexdigest()
-    assert bpe_encode(empty, path).count() == 0
-    assert bpe_decode(bpe_encode(extra, path), path).count() == 3
-
-
-def test_quality(spark, edge, empty):
-    from loomlog.llm.quality import held_out, score_quality, train_quality
-
-    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    model = train_quality(table, labels)
-    scored = score_quality(table.select("doc_id", "text"), model).join(labels, "doc_id").filter(held_out(F.col("doc_id"))).collect()
-    good = [r.score for r in scored if r.quality == 1]
-    bad = [r.score for r in scored if r.quality == 0]
-    assert np.mean([[g > b for b in bad] for g in good]) > 0.95
-    out = score_quality(edge, model)
-    assert out.count() == len(EDGE) and all(0 <= r.score <= 1 for r in out.collect())
-    assert score_quality(empty, train_quality(empty, labels.limit(0))).count() == 0
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    n = d.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        d = corpus_pipeline.stored(stage(spark, d, "/root/testdata/sf0.01"), "test")
-        assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        m = d.count()
-        assert m > 0.7 * n
-    texts = [re.sub(r"[\x20\x09-\x0D]", "", r.text) for r in d.dropDuplicates(["doc_id"]).collect()]
-    assert len(texts) == len(set(texts))
