@@ -29,7 +29,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies."""
-    return near_dedup(docs).select(_COLUMNS)
+    return near_dedup(docs.select(_COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,8 @@ STAGES = [
     ("BPE encoding", bpe_stage),
 ]
 
-#: SQL can express neither the classifier nor the encoder; tests/llm holds the rows that near_dedup
-#: keeps against a brute-force version, and of the other stages' output the columns and counts.
+#: SQL can express neither the classifier nor the encoder; tests/llm/test_pipeline.py holds the rows of
+#: each stage against a plain version, and those of run() against the stages one by one.
 ORACLE_SQL = None
 
 
