@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
 
 from loomlog.plans import commands, files, render
-from loomlog.plans.generator import make_generator
+from loomlog.plans.generator import GeneratorMissing, make_generator
 
 
 def parser() -> argparse.ArgumentParser:
@@ -24,26 +25,53 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--top", type=int, default=20)
             s.add_argument("--max-lines", type=int, default=5000)
         if name in ("analyze", "search", "report"):
-            s.add_argument("--format", default="markdown" if name == "report" else "table", choices=("table", "json", "markdown"))
+            s.add_argument("--format", default="markdown" if name == "report" else "table", choices=("json", "markdown") if name == "report" else ("table", "json", "markdown"))
         if name == "search":
             s.add_argument("query")
             s.add_argument("--max-results", type=int, default=10)
+            s.add_argument("--explain", action="store_true", help="ask the generator about the best result")
+        if name == "suggest":
+            s.add_argument("--interactive", action="store_true", help="choose suggestions one by one")
         s.add_argument("--output")
     a = sub.add_parser("apply")
-    a.add_argument("--output", default="~/.loomlog_aliases.sh")
+    a.add_argument("--output", help="default: ~/.loomlog_aliases.sh, for PowerShell ~/.loomlog_profile.ps1")
     a.add_argument("--append-to")
     a.add_argument("--dry-run", action="store_true")
     a.add_argument("--no-backup", action="store_true")
+    a.add_argument("--interactive", action="store_true", help="choose suggestions one by one")
     return p
 
 
+def choose(suggestions: list[dict], ask=input) -> tuple[dict[int, str], dict[int, str]]:
+    """Statuses and edits by number, from answers a (apply), e (edit, then apply), q (end), or anything else (ignore)."""
+    statuses: dict[int, str] = {}
+    edits: dict[int, str] = {}
+    for i, s in enumerate(suggestions):
+        answer = ask(f"{render.suggestions_terminal([s])}\n{i + 1}/{len(suggestions)} [a]pply, [e]dit, [i]gnore, [q]uit? ").strip().lower()
+        if answer == "q":
+            break
+        statuses[i] = "apply" if answer in ("a", "e") else "ignore"
+        if answer == "e":
+            edits[i] = ask("code: ")
+    return statuses, edits
+
+
+def _review(spark: SparkSession | None, wanted: bool):
+    """A review of suggestions if it is wanted and there is somebody to ask."""
+    if not wanted:
+        return None
+    if not (sys.stdin.isatty() and sys.stdout.isatty()):
+        print("Nobody can be asked here: all suggestions are taken.", file=sys.stderr)
+        return None
+    return lambda suggestions: commands.reviewed(spark or SparkSession.builder.getOrCreate(), suggestions, *choose(suggestions))
+
+
 def main(argv: list[str] | None = None) -> int:
     o = parser().parse_args(argv)
-    import os
-
     if o.command == "apply":
         try:
-            print(commands.apply(files.suggestions_path(), os.path.expanduser(o.output), o.append_to, o.dry_run, not o.no_backup))
+            output, append_to = (x and os.path.expanduser(x) for x in (o.output, o.append_to))
+            print(commands.apply(files.suggestions_path(), output, append_to, o.dry_run, not o.no_backup, _review(None, o.interactive)))
         except ValueError as e:
             print(e, file=sys.stderr)
             return 1
@@ -56,10 +84,16 @@ def main(argv: list[str] | None = None) -> int:
         elif o.command == "search":
             rows = commands.run_search(spark, o.query, o.shell, o.history_file, o.max_results or 10)
             text = render.search_json(rows) if o.format == "json" else render.search_markdown(rows, o.query) if o.format == "markdown" else render.search_table(rows, o.query)
+            if o.explain and rows and (said := commands.explain(make_generator(spark), spark, rows[0]["command"])):
+                text += f"\n\nAbout `{rows[0]['command']}`:\n{said}"
         elif o.command == "suggest":
-            text = render.suggestions_text(commands.suggest(spark, make_generator(), o.shell, o.history_file, o.min_frequency or 5, files.suggestions_path()))
+            found = commands.suggest(spark, make_generator(spark), o.shell, o.history_file, o.min_frequency or 5, files.suggestions_path(), _review(spark, o.interactive))
+            text = render.suggestions_text(found) if o.output else render.suggestions_terminal(found)
         else:
             text = commands.report(spark, o.format, files.suggestions_path(), shell=o.shell, history_file=o.history_file, min_frequency=o.min_frequency or 5, top=o.top or 20, max_lines=o.max_lines)
+    except GeneratorMissing as e:
+        print(e, file=sys.stderr)
+        return 1
     except commands.HistoryMissing as e:
         print(f"History file not found: {e}" + ("\nName one with --history-file." if e.tip else ""), file=sys.stderr)
         return 1

@@ -82,7 +82,7 @@ def round3(score: Column) -> Column:
 
 def capitalize(c: Column) -> Column:
     """First letter upper, the rest unchanged."""
-    return F.concat(F.upper(F.left(c, F.lit(1))), F.expr("''") if c is None else F.substr(c, F.lit(2)))
+    return F.concat(F.upper(F.left(c, F.lit(1))), F.substr(c, F.lit(2)))
 
 
 def truncate(c: Column, limit: int) -> Column:

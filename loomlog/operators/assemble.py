@@ -9,7 +9,8 @@ from loomlog.functions.text import trim_all, trim_end
 from loomlog.sources.history import DEFAULT_LINES, tail_lines
 
 TIME_LINE = r"^#[0-9]{9,11}\z"
-EXTENDED = r"(?s)^:\s*([0-9]{9,11}):([0-9]+);(.*)\z"
+#: The command of an extended line has no line or paragraph break, not even a lone CR (fixed value).
+EXTENDED = "^:\\s*([0-9]{9,11}):([0-9]+);([^\\n\\r\\u2028\\u2029]*)\\z"
 SNIFFED_LINES = 20
 
 
@@ -17,11 +18,6 @@ def _epoch(c):
     return F.timestamp_seconds(c.cast("long"))
 
 
-def _joined(rows, column: str):
-    """Bodies of a group in order of lines, joined by line feeds."""
-    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_idx", column))), lambda x: x[column]), "\n")
-
-
 def plain_entries(lines: DataFrame) -> DataFrame:
     """Entries of sources in the plain format."""
     raw = trim_end(F.col("raw"))

@@ -43,15 +43,38 @@ def rank() -> Column:
     return F.struct((-F.col("count")).alias("c"), "kind", "window", F.col("first").alias("f"), F.col("key").alias("k"))
 
 
+def _segment(n: Column, i: Column, parts: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of the i-th of the parts into which a string of length n is cut."""
+    base, longer = F.floor(n / parts), n % parts
+    extra = F.greatest(F.lit(0), i - (parts - longer))  # the last parts are longer by one
+    return (i * base + extra).cast("int"), (base + (i >= parts - longer).cast("int")).cast("int")
+
+
 def near_pairs(keys: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """low, high: keys within the edit distance, the leading one first.
 
-    A hash join on length: each key meets the keys whose length differs by the threshold at most.
+    Each key is cut into threshold + 1 segments.  Of two keys within the distance, one has a segment of
+    the other unchanged, near its old place; so keys are joined on length, segment number and segment,
+    where a key looks only at the places that the number of edits left and right of it admits.
     """
-    a = keys.select(F.col("key").alias("low"), F.col("rank").alias("low_rank"), F.length("key").alias("n"))
-    b = keys.select(F.col("key").alias("high"), F.col("rank").alias("high_rank"), F.explode(F.sequence(F.length("key") - threshold, F.length("key") + threshold)).alias("n"))
-    near = (F.col("low_rank") < F.col("high_rank")) & (F.levenshtein("low", "high", threshold) >= 0)
-    return a.join(b, "n").filter(near).select("low", "low_rank", "high")
+    parts = threshold + 1
+    places = [  # length of the other key less own, segment number, and shift of the segment
+        (diff, i, shift)
+        for diff in range(-threshold, threshold + 1)
+        for i in range(parts)
+        for shift in range(max(-i, -diff - (threshold - i)), min(i, -diff + threshold - i) + 1)
+    ]
+    n = F.length("key")
+    cut = keys.select(F.col("key").alias("a"), F.col("rank").alias("rank_a"), n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(threshold))).alias("i"))
+    start, size = _segment(F.col("n"), F.col("i"), parts)
+    index = cut.select("a", "rank_a", "n", "i", F.substr(F.col("a"), start + 1, size).alias("segment"))
+    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("dis", place)]) for place in places])
+    seen = keys.select(F.col("key").alias("b"), F.col("rank").alias("rank_b"), n.alias("own"), F.explode(table).alias("p")).select("b", "rank_b", "own", (F.col("own") + F.col("p.d")).alias("n"), F.col("p.i").alias("i"), F.col("p.s").alias("shift"))
+    at = start + F.col("shift")
+    probes = seen.filter((F.col("n") >= 0) & (at >= 0) & (at + size <= F.col("own"))).select("b", "rank_b", "n", "i", F.substr(F.col("b"), at + 1, size).alias("segment")).distinct()
+    near = (F.col("rank_a") < F.col("rank_b")) & (F.levenshtein("a", "b", threshold) >= 0)
+    met = index.join(probes, ["n", "i", "segment"]).filter(near)
+    return met.select(F.col("a").alias("low"), F.col("rank_a").alias("low_rank"), F.col("b").alias("high")).distinct()
 
 
 def group_similar(counts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

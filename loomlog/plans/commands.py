@@ -12,7 +12,7 @@ from loomlog.operators.assemble import assemble
 from loomlog.operators.clean import clean
 from loomlog.operators.search import search
 from loomlog.plans import files, render
-from loomlog.plans.generator import Generator, explain_prompt
+from loomlog.plans.generator import Generator
 from loomlog.sources.history import DEFAULT_LINES, detect_shell, history_path, read_lines
 
 
@@ -71,17 +71,20 @@ def run_search(spark: SparkSession, query: str, shell: str | None = None, histor
     return _rows(search(entries, query, max_results))
 
 
-def explain(call, spark: SparkSession, command: str) -> str | None:
-    """What a generator says about a command, which is redacted first."""
+def explain(generator: Generator, spark: SparkSession, command: str) -> str | None:
+    """What a generator says about a command, which is redacted first; None if it says nothing."""
     clean_text = spark.createDataFrame([(command,)], "c string").select(redact.scrub(F.col("c"))[0]).first()[0]
     try:
-        return call(explain_prompt(clean_text)) or None
+        return generator.explain(clean_text)
     except Exception:  # an explanation is an extra
         return None
 
 
-def suggest(spark: SparkSession, generator: Generator, shell: str | None = None, history_file: str | None = None, min_frequency: int | None = None, cache: str | None = None) -> list[dict]:
-    """Suggestions for the twenty most frequent patterns; only redacted text leaves the engine."""
+def suggest(spark: SparkSession, generator: Generator, shell: str | None = None, history_file: str | None = None, min_frequency: int | None = None, cache: str | None = None, review=None) -> list[dict]:
+    """Suggestions for the twenty most frequent patterns; only redacted text leaves the engine.
+
+    review: as for ``apply``; what it leaves is returned and cached.
+    """
     entries, shell, _ = load_entries(spark, shell, history_file)
     patterns = _rows(redact.scrub_patterns(frequency.analyze_frequency(entries, min_frequency, 20)))
     if not patterns:
@@ -92,28 +95,52 @@ def suggest(spark: SparkSession, generator: Generator, shell: str | None = None,
     if alerts:
         rows = [{"pattern": a["pattern"], "risk": a.get("risk", ""), "safer_alternative": a.get("safer_alternative") or a.get("saferAlternative") or ""} for a in alerts]
         found = found + _rows(responses.alerts_as_suggestions(spark.createDataFrame(rows, "pattern string, risk string, safer_alternative string")))
+    if review:
+        found = review(found)
     if cache:
         files.write_json(cache, {"shell": shell, "generatedAt": render.iso(datetime.now(UTC)), "suggestions": found})
     return found
 
 
-def apply(cache: str, output: str, append_to: str | None = None, dry_run: bool = False, backup: bool = True) -> str:
-    """Write the cached suggestions as shell code; returns the code."""
+def reviewed(spark: SparkSession, suggestions: list[dict], statuses: dict[int, str] | None = None, edits: dict[int, str] | None = None) -> list[dict]:
+    """The suggestions that a review leaves: numbered from 0, with apply, ignore or pending each, and edited code.
+
+    Without a review (None) all of them stay.
+    """
+    if statuses is None or not suggestions:
+        return suggestions
+    names = list(suggestions[0])
+    rows = [(i, statuses.get(i, "pending"), (edits or {}).get(i), *[s.get(n) for n in names]) for i, s in enumerate(suggestions)]
+    schema = "number int, status string, edited_code string, " + ", ".join(f"`{n}` string" for n in names)
+    return _rows(responses.selected(spark.createDataFrame(rows, schema)).orderBy("number").drop("number"))
+
+
+def apply(cache: str, output: str | None = None, append_to: str | None = None, dry_run: bool = False, backup: bool = True, review=None) -> str:
+    """Write the cached suggestions as shell code; returns what to tell the user.
+
+    review: a function from the suggestions to those that stay, such as ``reviewed`` with its choices.
+    """
     cached = files.read_json(cache)
     if not isinstance(cached, dict) or not cached.get("suggestions"):
-        raise ValueError("there are no suggestions to apply")
-    code = render.shell_code(cached["suggestions"], cached.get("shell", "bash"))
+        raise ValueError("there are no suggestions to apply; run suggest first")
+    shell = cached.get("shell", "bash")
+    suggestions = review(cached["suggestions"]) if review else cached["suggestions"]
+    if not suggestions:
+        raise ValueError("no suggestion was chosen")
+    code = render.shell_code(suggestions, shell)
+    target = append_to or output or files.default_output(shell)
     if dry_run:
-        return code
-    target = append_to or output
-    if backup:
-        files.backup(target)
+        return render.dry_run(code, len(suggestions), target)
+    saved = files.backup(target) if backup else None
     (files.append if append_to else files.write)(target, code)
-    return code
+    return render.applied(code, len(suggestions), target, shell, saved, bool(append_to))
 
 
 def report(spark: SparkSession, fmt: str = "markdown", cache: str | None = None, **options) -> str:
     result = analyze(spark, **options)
     cached = files.read_json(cache) if cache else None
     suggestions = cached.get("suggestions", []) if isinstance(cached, dict) else []
-    return (render.report_json if fmt == "json" else render.report_markdown)(result, suggestions)
+    formats = {"json": render.report_json, "markdown": render.report_markdown}
+    if fmt not in formats:
+        raise ValueError(f"a report is {' or '.join(formats)}, not {fmt}")
+    return formats[fmt](result, suggestions)

@@ -17,6 +17,11 @@ def suggestions_path() -> str:
     return os.path.join(config_dir(), "last_suggestions.json")
 
 
+def default_output(shell: str) -> str:
+    """Where applied suggestions go unless told otherwise."""
+    return os.path.join(str(Path.home()), ".loomlog_profile.ps1" if shell == "powershell" else ".loomlog_aliases.sh")
+
+
 def ensure_dir(path: str) -> None:
     os.makedirs(path, exist_ok=True)
 

@@ -1,4 +1,7 @@
-"""Reports as text, from collected results of bounded size."""
+"""Reports as text, from collected results of bounded size.
+
+Headings, labels and the keys of JSON are fixed values that readers of the reports rely on.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from datetime import UTC, datetime
 from loomlog.functions.text import wrap_text
 
 TITLE = "Command History"
+PREVIEW_LINES = 25
 
 
 def cap(s: str) -> str:
@@ -113,9 +117,9 @@ def report_markdown(r: dict, suggestions: list[dict], generated_at: str | None =
         out += [f"### Alert {i}: `{escape(a['pattern'])}`", "", f"**Frequency:** {a['frequency']} times  ", f"**Risk:** {a['risk']}", "", "**Safer Alternative:**", "", "```bash", a["safer_alternative"], "```", *rule]
     out += ["## Recommendations", ""]
     n, m = len(suggestions), len(r["alerts"])
-    out += [f"1. Apply the {n} suggested alias{'' if n == 1 else 'es'} and functions"] * bool(n)
-    out += [f"2. Review and address the {m} flagged dangerous pattern{_s(m)}"] * bool(m)
-    out += [f"{3 if n or m else 1}. Run `analyze` periodically to identify new patterns", *rule]
+    out += [f"1. Look through the {n} suggestion{_s(n)} above and apply what helps"] * bool(n)
+    out += [f"2. Replace the {m} dangerous pattern{_s(m)} by the alternatives given"] * bool(m)
+    out += [f"{3 if n or m else 1}. Repeat `analyze` from time to time, as habits change", *rule]
     return "\n".join(out)
 
 
@@ -138,11 +142,60 @@ def search_markdown(rows: list[dict], query: str) -> str:
     return "\n".join(out + [f"| {i} | {share(r['score'])} | {r['frequency']}× | `{r['command'].replace('|', chr(92) + '|')}` |" for i, r in enumerate(rows, 1)])
 
 
-def suggestions_text(suggestions: list[dict]) -> str:
-    out = []
+def _title(s: dict) -> str:
+    """Type and name of a suggestion, and the pattern it is for, cut to fit a heading."""
+    most = 40 if s["name"] else 50
+    pattern = s["pattern"] if len(s["pattern"]) <= most else s["pattern"][: most - 3] + "..."
+    return cap(s["type"]) + (f' "{s["name"]}"' if s["name"] else "") + f" for {pattern}"
+
+
+def suggestions_terminal(suggestions: list[dict]) -> str:
+    """Suggestions for a screen."""
+    rule, out = "━" * 68, [*_boxed([f"{TITLE} - Suggestions"]), ""]
     for i, s in enumerate(suggestions, 1):
-        out += [f"{i}. [{s['type']}] {s['name'] or s['pattern']}", f"   Pattern: {s['pattern']}", *[f"   {x}" for x in s["code"].split("\n")], *[f"   {x}" for x in wrap_text(s.get("explanation") or "", 70) if x], ""]
-    return "\n".join(out)
+        out += [rule, "", f"SUGGESTION {i}/{len(suggestions)}: {_title(s)}", "", f"Pattern: {s['pattern']}", f"Type:    {cap(s['type'])}"]
+        out += [f"Safety:  {cap(s['safety'])}"] * bool(s.get("safety"))
+        out += ["", "Suggested Code:", "", *[f"    {x}" for x in s["code"].split("\n")]]
+        out += ["", "Explanation:", f"   {s['explanation']}"] * bool(s.get("explanation"))
+        out.append("")
+    return "\n".join([*out, rule])
+
+
+def suggestions_text(suggestions: list[dict], generated_at: str | None = None) -> str:
+    """Suggestions for a file."""
+    rule = "=" * 68
+    out = [f"{TITLE} - Suggestions", f"Generated: {generated_at or iso(datetime.now(UTC))}", f"Total suggestions: {len(suggestions)}", "", rule]
+    for i, s in enumerate(suggestions, 1):
+        out += ["", f"SUGGESTION {i}/{len(suggestions)}: {_title(s)}", "-" * 40, f"Pattern: {s['pattern']}", f"Type:    {cap(s['type'])}"]
+        out += [f"Safety:  {s['safety']}"] * bool(s.get("safety"))
+        out += ["", "Code:", *[f"    {x}" for x in s["code"].split("\n")]]
+        out += ["", f"Explanation: {s['explanation']}"] * bool(s.get("explanation"))
+        out += ["", rule]
+    return "\n".join(out) + "\n"
+
+
+def _next_steps(shell: str, target: str, appended: bool) -> list[str]:
+    """How to load the file; nothing is loaded here."""
+    load = f"{'.' if shell == 'powershell' else 'source'} {target}"
+    if appended:
+        return ["", "NEXT STEPS:", "", "Load the changed file:", "", f"    {load}"]
+    profile, again = ("$PROFILE", ". $PROFILE") if shell == "powershell" else ("~/.zshrc" if shell == "zsh" else "~/.bashrc", f"exec {shell}")
+    return ["", "NEXT STEPS:", "", "For this session:", "", f"    {load}", "", f"For all sessions, put this line into {profile}:", "", f"    {load}", "", "and start anew:", "", f"    {again}"]
+
+
+def _preview(code: str, most: int | None = None) -> list[str]:
+    lines = code.split("\n")
+    return ["", "Preview:", "", *[f"    {x}" for x in lines[:most]], *["    ..."] * (most is not None and len(lines) > most)]
+
+
+def dry_run(code: str, n: int, target: str) -> str:
+    return "\n".join([f"Dry run: {n} suggestion{_s(n)} would go to {target}", *_preview(code), "", "No file was changed."])
+
+
+def applied(code: str, n: int, target: str, shell: str, saved: str | None, appended: bool) -> str:
+    """What was written, with the first lines of a new file."""
+    out = [f"Backup: {saved}"] * bool(saved) + [f"{'Appended' if appended else 'Wrote'} {n} suggestion{_s(n)} to {target}"]
+    return "\n".join([*out, *([] if appended else _preview(code, PREVIEW_LINES)), *_next_steps(shell, target, appended)])
 
 
 def shell_code(suggestions: list[dict], shell: str, generated_at: str | None = None) -> str:
