@@ -22,8 +22,8 @@ The result holds every component exactly: a link is either verified or lies insi
 verified links connect.  Sets are compared as sets of 64-bit hashes.
 
 Null doc_ids come last and form one node; rows that share a doc_id form one node, which links
-through each of its texts.  (If null, the least and the greatest 64-bit id all occur, null and the
-greatest one form one node.)  Null and empty texts have no set and link with nothing.  An empty table
+through each of its texts.  (If null, the least and the greatest 64-bit id all occur, the greatest
+one counts as null.)  Null and empty texts have no set and link with nothing.  An empty table
 gives an empty result; other columns are ignored by ``jaccard_components`` and kept by ``near_dedup``,
 whatever their names.
 """

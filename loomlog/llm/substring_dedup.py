@@ -18,7 +18,7 @@ Spark aggregates before the shuffle, and the joins back are plain equi-joins tha
 
 Documents are ordered by doc_id; null comes before all ids, and rows with one doc_id have equal
 rank (neither removes from the other).  (If null, the least and the greatest 64-bit id all occur,
-null and the least one have equal rank.)  Null and empty texts have no words; texts may have any
+the least one counts as null.)  Null and empty texts have no words; texts may have any
 length; an empty table gives an empty result.  Other columns of the input are ignored, whatever
 their names.
 """
@@ -226,13 +226,12 @@ def substring_dedup(docs: DataFrame, length: int = 20, k: int = 6, with_text: bo
     ends = docs.agg(F.min(doc_id), F.max(doc_id), F.count_if(doc_id.isNull())).first()
     # The stand-in for null is the least number; if that is an id, all ids move up by one.
     shift = int(ends[2] > 0 and ends[0] == _NULL_ID and ends[1] < -_NULL_ID - 1)
-    texts = docs.select(
+    shown = F.when(F.col("id") != _NULL_ID, F.col("id") - shift) if ends[2] else F.col("id")
+    rows = docs.select(
         F.coalesce(doc_id + shift, F.lit(_NULL_ID)).alias("id"),
-        doc_id.isNull().alias("no_id"),
         F.hash(F.coalesce("text", F.lit(""))).alias("sum"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    rows = texts.select("id", "sum", "text")
     anchors = rows.mapInArrow(_anchor_rows(length, k), "anchor long, context long, id long, sum int, at int")
     groups = (
         anchors.groupBy("anchor")
@@ -251,10 +250,9 @@ def substring_dedup(docs: DataFrame, length: int = 20, k: int = 6, with_text: bo
     late = windows.join(firsts, (F.col("one") == F.col("g1")) & (F.col("two") == F.col("g2"))).filter("id > first_id").groupBy("id", "sum").agg(F.collect_list("at").alias("single"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<int>" + (", kept_text string" if with_text else "")
     out = (
-        texts.select(F.when(~F.col("no_id"), F.col("id") - shift).alias("doc_id"), "id", "sum", "text")
-        .join(lists.select("id", "sum", "whole"), ["id", "sum"], "left")
+        rows.join(lists.select("id", "sum", "whole"), ["id", "sum"], "left")
         .join(late, ["id", "sum"], "left")
-        .select("doc_id", "sum", "text", "whole", "single")
+        .select(shown.alias("doc_id"), "sum", "text", "whole", "single")
         .mapInArrow(_results(length, k, with_text), schema)
     )
     return out
