@@ -8,17 +8,28 @@ from pyspark.sql import functions as F
 from loomlog.llm.cluster import checkpointed
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """c, m: each node with the least of its neighbours that it has an edge to."""
+    return edges.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node moves to the least of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    return both.join(least, F.col("u") == F.col("c")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(_least(both), F.col("u") == F.col("c")).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-    moved = down.join(least, F.col("u") == F.col("c")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
+    """The smaller neighbours of a node, and the node itself, move to the least of them."""
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    moved = down.join(_least(down), F.col("u") == F.col("c")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+    return moved.select("e.*").filter("u <> v").distinct()
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, to a node that has none."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("downs"), F.lit(0).alias("ups")), F.struct(F.col("v").alias("node"), F.lit(0).alias("downs"), F.lit(1).alias("ups")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("downs").alias("d"), F.max("ups").alias("u")).filter("d > 1 OR d > 0 AND u > 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,10 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of the largest component.
     """
     now = checkpointed(_small_star(edges.filter("u <> v")))
-    mark = None
-    while True:
+    while not _are_stars(now):
         now = checkpointed(_small_star(_large_star(now)))
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = seen
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

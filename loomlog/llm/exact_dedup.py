@@ -54,20 +54,22 @@ def _judged(docs: DataFrame, content_hash: Callable[[Column], Column]) -> DataFr
         .select("doc_id", "length", content_hash(F.col("norm")).alias("hash"), F.sha2("norm", 256).alias("text_sha256"))
         .withColumn("seq", F.monotonically_increasing_id())
     )
-    groups = checkpointed(_winners(rows, "hash"))
-    several = groups.filter("group_size > 1").select(F.col("hash").alias("of"))
-    copies = rows.join(several, F.col("hash") == F.col("of"), "left_semi").select(F.xxhash64("doc_id").alias("id_hash"))
+    judged = checkpointed(_decided(rows, "hash"))
+    copies = judged.filter("group_size > 1").select(F.xxhash64("doc_id").alias("id_hash"))
     texts = docs.select("doc_id", "text")
     maybe = BitSet(copies, "id_hash").part(texts, F.xxhash64("doc_id"), True).select("doc_id", norm.alias("norm")).select("doc_id", "norm", content_hash(F.col("norm")).alias("hash"))
     clashes = checkpointed(maybe.groupBy("hash").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest")).filter("least <> greatest").select(F.col("hash").alias("of")))
-    plain, out = rows, []
-    if not clashes.isEmpty():  # different texts under one hash: the texts decide, and with them their digests' places
-        plain = rows.join(clashes, F.col("hash") == F.col("of"), "left_anti")
-        apart = rows.join(clashes, F.col("hash") == F.col("of"), "left_semi")
-        out.append(apart.join(_winners(apart, "hash", "text_sha256"), ["hash", "text_sha256"]))
-    out.append(plain.join(groups, "hash"))
-    both = out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    if clashes.isEmpty():
+        return judged
+    # Different texts under one hash: the texts decide, each known by its SHA-256.
+    apart = rows.join(clashes, F.col("hash") == F.col("of"), "left_semi")
+    return judged.join(clashes, F.col("hash") == F.col("of"), "left_anti").unionByName(_decided(apart, "hash", "text_sha256").select(judged.columns))
+
+
+def _decided(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows with their group's size and winner."""
     best = F.col("best")
+    both = rows.join(_winners(rows, *keys), list(keys))
     return both.select("doc_id", "length", "hash", "text_sha256", best["doc_id"].alias("keep_id"), "group_size", (F.col("seq") == best["seq"]).alias("kept"))
 
 
@@ -82,7 +84,7 @@ def exact_dedup(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md
     Rows whose doc_id surely has no dropped row pass without a shuffle; the others are matched by
     doc_id, length and digest, so that a large group is dealt over many tasks.
     """
-    judged = checkpointed(_judged(docs, content_hash).select("doc_id", "length", "text_sha256", "kept"))
+    judged = _judged(docs, content_hash).select("doc_id", "length", "text_sha256", "kept")
     dropped = judged.filter("NOT kept")
     if dropped.isEmpty():
         return docs
