@@ -154,9 +154,11 @@ def suggestions_terminal(suggestions: list[dict]) -> str:
     rule, out = "━" * 68, [*_boxed([f"{TITLE} - Suggestions"]), ""]
     for i, s in enumerate(suggestions, 1):
         out += [rule, "", f"SUGGESTION {i}/{len(suggestions)}: {_title(s)}", "", f"Pattern: {s['pattern']}", f"Type:    {cap(s['type'])}"]
-        out += [f"Safety:  {cap(s['safety'])}"] * bool(s.get("safety"))
+        if s.get("safety"):
+            out.append(f"Safety:  {cap(s['safety'])}")
         out += ["", "Suggested Code:", "", *[f"    {x}" for x in s["code"].split("\n")]]
-        out += ["", "Explanation:", f"   {s['explanation']}"] * bool(s.get("explanation"))
+        if s.get("explanation"):
+            out += ["", "Explanation:", f"   {s['explanation']}"]
         out.append("")
     return "\n".join([*out, rule])
 
@@ -167,9 +169,11 @@ def suggestions_text(suggestions: list[dict], generated_at: str | None = None) -
     out = [f"{TITLE} - Suggestions", f"Generated: {generated_at or iso(datetime.now(UTC))}", f"Total suggestions: {len(suggestions)}", "", rule]
     for i, s in enumerate(suggestions, 1):
         out += ["", f"SUGGESTION {i}/{len(suggestions)}: {_title(s)}", "-" * 40, f"Pattern: {s['pattern']}", f"Type:    {cap(s['type'])}"]
-        out += [f"Safety:  {s['safety']}"] * bool(s.get("safety"))
+        if s.get("safety"):
+            out.append(f"Safety:  {s['safety']}")
         out += ["", "Code:", *[f"    {x}" for x in s["code"].split("\n")]]
-        out += ["", f"Explanation: {s['explanation']}"] * bool(s.get("explanation"))
+        if s.get("explanation"):
+            out += ["", f"Explanation: {s['explanation']}"]
         out += ["", rule]
     return "\n".join(out) + "\n"
 
@@ -205,6 +209,7 @@ def shell_code(suggestions: list[dict], shell: str, generated_at: str | None = N
     for i, s in enumerate(suggestions, 1):
         out.append(f"# Suggestion {i}: {s['name'] or s['pattern']}")
         out += [f"# {x}" for x in wrap_text(s.get("explanation") or "", 70) if x]
-        out += [f"# {s['safety'].upper()}: review before use"] * (s.get("safety") in ("warning", "danger"))
+        if s.get("safety") in ("warning", "danger"):
+            out.append(f"# {s['safety'].upper()}: review before use")
         out += [s["code"], ""]
     return "\n".join(out)
