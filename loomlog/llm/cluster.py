@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``.
-
-    A folder of our own is set only when none is named and the session is local (tests); on a
-    cluster a missing setting is an error, because executors could not see a local folder.
-    """
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomlog-checkpoint-"))
-    else:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+from loomlog.session import checkpointed, ensure_checkpoint_dir
 
 
 def small_batches(spark: SparkSession, limit: int = 1 << 21) -> None:
@@ -53,16 +37,8 @@ def make_room(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*out)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, with its lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the shared checkpoint folder."""
-    import uuid
-
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
