@@ -33,7 +33,7 @@ from loomlog.llm.cluster import small_batches
 _END = chr(256)
 _TABLES: dict[str, BpeTables] = {}
 _CACHE = 1 << 18  # words
-_PAIRS = 1 << 18
+_PAIRS = 1 << 17
 
 
 def _byte_letters() -> dict[str, int]:
@@ -71,7 +71,7 @@ class BpeTables:
                 self.parts[whole] = (vocab[a], vocab[b])
             self.joined.setdefault((vocab[a], vocab[b]), whole)
         self.rank = {i: rank_of.get(i, i - base) for i in vocab.values()}
-        self.pair_ok: dict[tuple[int, int], bool] = {}
+        self.pair_ok: dict[int, bool] = {}
 
         def text_of(token: str) -> str:
             end = bool(suffix) and token.endswith(suffix)
@@ -126,11 +126,12 @@ class BpeTables:
                 return True
 
     def compatible(self, a: int, b: int) -> bool:
-        ok = self.pair_ok.get((a, b))
+        key = a << 32 | b
+        ok = self.pair_ok.get(key)
         if ok is None:
             if len(self.pair_ok) >= _PAIRS:
                 self.pair_ok.clear()
-            ok = self.pair_ok[(a, b)] = self._side_by_side(a, b)
+            ok = self.pair_ok[key] = self._side_by_side(a, b)
         return ok
 
     def encode_word(self, word: str) -> list[int]:

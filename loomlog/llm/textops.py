@@ -22,8 +22,8 @@ LOWER_ASCII[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_PIECE = 1 << 20
-_SLICE = 1 << 20
+_PIECE = 1 << 19
+_SLICE = 1 << 19
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
