@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from loomlog.llm.cluster import checkpointed
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """c, m: each node with the least of its neighbours that it has an edge to."""
-    return edges.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges with m, the least v of their u; stored sums on one side, so that Spark can split a hub's rows in the join."""
+    least = checkpointed(edges.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")))
+    return edges.join(least, F.col("u") == F.col("c"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the least of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), F.col("u") == F.col("c")).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    return checkpointed(_with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """The smaller neighbours of a node, and the node itself, move to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    moved = down.join(_least(down), F.col("u") == F.col("c")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-    return moved.select("e.*").filter("u <> v").distinct()
+    moved = _with_least(down).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+    return checkpointed(moved.select("e.*").filter("u <> v").distinct())
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -35,10 +36,10 @@ def _are_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of every node but the least of each component.
 
-    edges: u, v (long); loops and repeats may occur.  Each round is cut off by a checkpoint; the
+    edges: u, v (long); loops and repeats may occur.  Each step is cut off by a checkpoint; the
     number of rounds grows with the logarithm of the largest component.
     """
-    now = checkpointed(_small_star(edges.filter("u <> v")))
+    now = _small_star(checkpointed(edges.filter("u <> v")))
     while not _are_stars(now):
-        now = checkpointed(_small_star(_large_star(now)))
+        now = _small_star(_large_star(now))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -67,10 +67,24 @@ def _judged(docs: DataFrame, content_hash: Callable[[Column], Column]) -> DataFr
 
 
 def _decided(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows with their group's size and winner."""
+    """Rows with their group's size and winner.
+
+    The winners of groups of several rows are stored first, so that Spark can split a group that
+    holds many of the rows in the join.
+    """
+    several = checkpointed(_winners(rows, *keys).filter("group_size > 1"))
+    both = rows.join(several, list(keys), "left")
     best = F.col("best")
-    both = rows.join(_winners(rows, *keys), list(keys))
-    return both.select("doc_id", "length", "hash", "text_sha256", best["doc_id"].alias("keep_id"), "group_size", (F.col("seq") == best["seq"]).alias("kept"))
+    alone = best.isNull()
+    return both.select(
+        "doc_id",
+        "length",
+        "hash",
+        "text_sha256",
+        F.when(alone, F.col("doc_id")).otherwise(best["doc_id"]).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("seq") == best["seq"])).alias("kept"),
+    )
 
 
 def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
