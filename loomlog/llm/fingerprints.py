@@ -263,7 +263,7 @@ def compare_edited(docs: DataFrame, terms: np.ndarray) -> DataFrame:
 
     The edited text has its last floor(n/2) code points replaced by the first as many of the next
     document's, in descending order of doc_id (null last; rows that share a doc_id in the order of
-    their texts' hashes; after the last comes the first).
+    their texts' hashes; after the last comes the first).  Rows that repeat both lie in one run.
 
     Documents are dealt into as many runs of neighbours as there are shuffle partitions.  A run begins
     at a row of a sample (16 keys a run reach the driver), so that this row can be sent to the run

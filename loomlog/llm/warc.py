@@ -8,8 +8,8 @@ whose payload may occur twice (a bounded bitmap of digests) are shuffled.  The a
 at most ``per_archive`` captures, written by Spark's text writer, so any folder that Spark can write
 to will do; they have one gzip member a file.
 
-Reading streams each gzip archive line by line through Spark's reader, so an archive of any size
-needs the memory of its largest record; plain archives are read whole, up to 2 GB each.  Records are cut
+Reading streams each gzip archive through Spark's reader, cut where records begin, so an archive of
+any size needs the memory of its largest record; plain archives are read whole, up to 2 GB each.  Records are cut
 by their Content-Length, and the payload's digest is computed from the bytes read.  ``damage`` says
 what is wrong with a record, null if nothing: it ends before its Content-Length ("truncated"), its
 payload does not have the stated digest ("digest differs"; sha256 and sha1 are compared), or no
@@ -43,6 +43,7 @@ from loomlog.llm.cluster import small_batches, stored
 
 VERSION = "WARC/1.1"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_CUT = b"WARC/"  # with which every record begins
 _HOT = 10_000
 _LEAST_HOT = 2_000
 RECORD = "record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, date string, page_id long, block_bytes long, payload_bytes long, payload_digest string, stated_digest string, method string, status int, damage string"
@@ -152,29 +153,38 @@ def records_of(stream) -> Iterator[tuple[dict[str, list[str]], bytes, str | None
         yield fields, block, "truncated" if not line or not stated.isdecimal() or len(block) < size else None
 
 
-class _Lines:
-    """The rows of one archive that Spark's reader cut at line feeds, as a stream."""
+class _Rows:
+    """An archive that Spark's reader cut at every ``_CUT``, as a stream; the cuts are put back."""
 
-    def __init__(self, lines: Iterable[bytes]):
-        self.lines, self.rest = iter(lines), b""
+    def __init__(self, rows: Iterable[bytes]):
+        self.rows, self.begun = iter(rows), False
+        self.held, self.at = b"", 0
+
+    def _next(self) -> bytes | None:
+        row = next(self.rows, None)
+        if row is not None and self.begun:
+            row = _CUT + row
+        self.begun = True
+        return row
 
     def readline(self) -> bytes:
-        out, self.rest = self.rest, b""
-        if not out:
-            line = next(self.lines, None)
-            out = b"" if line is None else line + b"\n"
-        elif (at := out.find(b"\n")) + 1 < len(out):
-            out, self.rest = out[: at + 1], out[at + 1 :]
+        while (end := self.held.find(b"\n", self.at)) < 0:
+            row = self._next()
+            if row is None:
+                end = len(self.held) - 1
+                break
+            self.held, self.at = self.held[self.at :] + row, 0
+        out, self.at = self.held[self.at : end + 1], end + 1
         return out
 
     def read(self, size: int) -> bytes:
-        parts, got = [self.rest[:size]], min(size, len(self.rest))
-        self.rest = self.rest[size:]
-        while got < size and (line := next(self.lines, None)) is not None:
-            line += b"\n"
-            parts.append(line[: size - got])
-            self.rest = line[size - got :]
-            got += len(parts[-1])
+        parts = [self.held[self.at : self.at + size]]
+        got = len(parts[0])
+        self.at += got
+        while got < size and (row := self._next()) is not None:
+            parts.append(row[: size - got])
+            self.held, self.at = row, len(parts[-1])
+            got += self.at
         return b"".join(parts)
 
 
@@ -237,32 +247,32 @@ def _row(fields: dict[str, list[str]], block: bytes, damage: str | None, with_pa
     return out
 
 
-def _parse(with_payload: bool, by_line: bool):
+def _parse(with_payload: bool, cut: bool):
     types = {"concurrent_to": pa.list_(pa.string()), "page_id": pa.int64(), "block_bytes": pa.int64(), "payload_bytes": pa.int64(), "status": pa.int32(), "payload": pa.binary()}
     names = [x.split()[0] for x in RECORD.split(", ")] + ["payload"] * with_payload
     schema = pa.schema([(n, types.get(n, pa.string())) for n in names])
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator:
         """A stream for each archive; rows of one archive follow one another."""
-        if not by_line:
+        if not cut:
             for batch in batches:
                 for content in batch.column(1):
                     raw = pa.BufferReader(content.as_buffer())
                     yield _Whole(gzip.GzipFile(fileobj=raw) if content.as_buffer()[:2].to_pybytes() == b"\x1f\x8b" else raw)
             return
-        rows = ((f, line) for batch in batches for f, line in zip(batch.column(0), batch.column(1)))
+        rows = ((f.as_py(), row) for batch in batches for f, row in zip(batch.column(0), batch.column(1)))
         ahead = next(rows, None)
 
-        def lines(file) -> Iterator[bytes]:
+        def own(file: str) -> Iterator[bytes]:
             nonlocal ahead
             while ahead is not None and ahead[0] == file:
-                line, ahead = ahead[1].as_py(), next(rows, None)
-                yield line
+                row, ahead = ahead[1].as_py(), next(rows, None)
+                yield row
 
         while ahead is not None:
-            mine = lines(ahead[0])
-            yield _Lines(mine)
-            for _ in mine:  # what a damaged archive has left
+            rest = own(ahead[0])
+            yield _Rows(rest)
+            for _ in rest:  # what a damaged archive has left
                 pass
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,8 +297,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
     """
     small_batches(spark)
     schema = RECORD + ", payload binary" * with_payload
-    packed = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.gz").option("ignoreCorruptFiles", "true").text(path)
-    streamed = packed.select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("line")).mapInArrow(_parse(with_payload, True), schema)
+    packed = spark.read.option("lineSep", _CUT.decode()).option("pathGlobFilter", "*.gz").option("ignoreCorruptFiles", "true").text(path)
+    streamed = packed.select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("row")).mapInArrow(_parse(with_payload, True), schema)
     plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(path).select("path", "content")
     return streamed.unionByName(plain.mapInArrow(_parse(with_payload, False), schema))
 
