@@ -59,7 +59,7 @@ def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
 
-def _record(kind: Column, record_id: Column, date: str, lines: list[Column], content_type: str, block: Column) -> Column:
+def _record(kind: Column, record_id: Column, date: str, lines: list[Column], content_type: str, block: Column, end: str = "\r\n\r\n") -> Column:
     return F.concat(
         F.lit(f"{VERSION}\r\n"),
         _line("WARC-Type", kind),
@@ -70,7 +70,7 @@ def _record(kind: Column, record_id: Column, date: str, lines: list[Column], con
         _line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
         block,
-        F.lit("\r\n\r\n"),
+        F.lit(end),
     )
 
 
@@ -116,10 +116,9 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 100, date: str =
     response = _record(F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), response_id, date, [uri, digest, refers], "application/http; msgtype=response", F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("html"))))
     request = _record(F.lit("request"), _record_id("request", page, seq), date, [uri, to], "application/http; msgtype=request", F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\n\r\n")))
     note = F.coalesce(F.concat(F.lit("page-id: "), page.cast("string"), F.lit("\r\n")), F.lit(""))
-    metadata = _record(F.lit("metadata"), _record_id("metadata", page, seq), date, [uri, to], "application/warc-fields", note)
+    metadata = _record(F.lit("metadata"), _record_id("metadata", page, seq), date, [uri, to], "application/warc-fields", note, end="\r\n\r")
     # The writer puts one line feed after each value: it is the last byte of the third record.
-    three = F.concat(request, response, metadata)
-    r.select(F.substr(three, F.lit(1), F.char_length(three) - 1).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", per_archive).text(path)
+    r.select(F.concat(request, response, metadata).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", per_archive).text(path)
 
 
 def _headers(raw: bytes) -> dict[str, list[str]]:
