@@ -15,6 +15,11 @@ WEIGHTS = {"exact": 0.50, "fuzzy": 0.20, "substring": 0.20, "frequency": 0.05, "
 RECENCY_WINDOW_MS = 30 * 24 * 60 * 60 * 1000
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim_end(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+\z", "")
 
