@@ -8,19 +8,24 @@ whose payload may occur twice (a bounded bitmap of digests) are shuffled.  The a
 at most ``per_archive`` captures, written by Spark's text writer, so any folder that Spark can write
 to will do; they have one gzip member a file.
 
-Reading streams each gzip archive through Spark's reader, cut where records begin, so an archive of
-any size needs the memory of its largest record; plain archives are read whole, up to 2 GB each.  Records are cut
-by their Content-Length, and the payload's digest is computed from the bytes read.  ``damage`` says
-what is wrong with a record, null if nothing: it ends before its Content-Length ("truncated"), its
-payload does not have the stated digest ("digest differs"; sha256 and sha1 are compared), or no
-record begins where one should ("no record", after which the rest of the archive is skipped).
+Reading streams the raw bytes of each gzip archive through Spark's reader and unpacks them member by member,
+so an archive of any size needs the memory of its largest record; plain archives are read whole, up to
+2 GB each.  Records are cut by their Content-Length, and the payload's digest is computed from the bytes
+read.  ``damage`` says what is wrong with a record, null if nothing: it ends before its Content-Length
+("truncated"), its payload does not have the stated digest ("digest differs"; sha256, sha1 and md5 are
+compared, in hex and in base32), it was unpacked from a gzip member that then fails ("damaged"; members that
+unpack to more than 4 MB are handed on as they are read, so their damage shows in the row below alone), or no
+record begins where one should ("no record", after which the rest of the archive is skipped).  Besides, each place at which
+an archive cannot be unpacked gives a row without a record: "archive damaged", after which reading goes on at
+the next member that begins with a record, or "archive breaks off" at its end.  So no record is lost without
+a row that says so.  Errors of the storage fail the task.
 
 Assembly joins the records of a capture through concurrent-to, in either direction and over all of
 a record's concurrent-to fields, and gives one nested row per response or revisit; a revisit gets its
 payload's length through the record that it refers to.  Targets of very many revisits are joined apart, by a
 broadcast of at most ``_HOT`` rows, so no revisit's task grows with them.
 
-Null payloads count as empty; a null page_id comes after all others and stays null; rows that
+White space and control characters in URLs are written as %20.  Null payloads count as empty; a null page_id comes after all others and stays null; rows that
 repeat a page_id are separate captures, the later of which revisit the first.  Other columns of pages are
 ignored, whatever their names.  An empty table gives an archive without records and an empty result.
 """
@@ -28,7 +33,6 @@ ignored, whatever their names.  An empty table gives an archive without records
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
 import zlib
@@ -43,7 +47,12 @@ from loomlog.llm.cluster import small_batches, stored
 
 VERSION = "WARC/1.1"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_CUT = b"WARC/"  # with which every record begins
+_CUT = b"\x1f\x0e"  # two bytes that meet now and then in packed data
+_MEMBER = b"\x1f\x8b\x08"
+#: Hadoop's codec that passes bytes through, so that Spark's reader does not unpack: damage is seen and passed
+#: here.  Its option has a second name in the Hadoop client that comes with Spark.
+_AS_IS = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec"} | {f"{p}io.compress.passthrough.extension": ".gz" for p in ("", "org.apache.hadoop.shaded.")}
+_HELD = 4 << 20  # bytes of a member that are kept, packed, or held back, unpacked
 _HOT = 10_000
 _LEAST_HOT = 2_000
 RECORD = "record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, date string, page_id long, block_bytes long, payload_bytes long, payload_digest string, stated_digest string, method string, status int, damage string"
@@ -152,27 +161,102 @@ def records_of(stream) -> Iterator[tuple[dict[str, list[str]], bytes, str | None
         yield fields, block, "truncated" if not line or not stated.isdecimal() or len(block) < size else None
 
 
-class _Rows:
-    """An archive that Spark's reader cut at every ``_CUT``, as a stream; the cuts are put back."""
+def _next_member(held: bytes, chunks: Iterator[bytes]) -> bytes:
+    """What is left from the next member on that begins with a record; empty if there is none."""
+    at = 0
+    while True:
+        at = held.find(_MEMBER, at)
+        if at < 0 or len(held) - at < 1 << 10:
+            more = next(chunks, None)
+            if more is not None:
+                at = max(0, len(held) - len(_MEMBER) + 1) if at < 0 else at
+                held, at = held[at:] + more, 0
+                continue
+            if at < 0:
+                return b""
+        try:
+            if zlib.decompressobj(31).decompress(held[at : at + (1 << 12)], 5) == b"WARC/":
+                return held[at:]
+        except zlib.error:
+            pass
+        at += 1
+
+
+def _unpacked(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, str | None]]:
+    """Unpacked bytes of a gzip archive, and what is wrong with them; no bytes where an archive is damaged."""
+    raw = b""
+    while True:
+        while len(raw) < len(_MEMBER) and (more := next(chunks, None)) is not None:
+            raw += more
+        if not raw.strip(b"\0"):  # padding
+            more = next(chunks, None)
+            if more is None:
+                return
+            raw = more
+            continue
+        kept, kept_size, out, size, wrong = [raw], len(raw), [], 0, None
+        unpack, piece = zlib.decompressobj(31), raw
+        while not wrong and not unpack.eof:
+            try:
+                data = unpack.decompress(piece, 1 << 20)
+            except zlib.error:
+                wrong = "archive damaged"
+                break
+            size += len(data)
+            out.append(data)
+            if size > _HELD:
+                yield b"".join(out), None
+                out = []
+            if unpack.eof:
+                raw = unpack.unused_data
+            elif unpack.unconsumed_tail:
+                piece = unpack.unconsumed_tail
+            elif (piece := next(chunks, b"")) == b"":
+                wrong = "archive breaks off"
+            else:
+                kept.append(piece)
+                kept_size += len(piece)
+                while kept_size - len(kept[0]) > _HELD:
+                    kept_size -= len(kept.pop(0))
+        if out:
+            yield b"".join(out), "damaged" if wrong else None
+        if wrong:
+            yield b"", wrong
+            raw = _next_member(b"".join(kept)[1:], chunks)
+            if not raw:
+                return
+
+
+class _Archive:
+    """A gzip archive as a stream that ends where it is damaged; ``go_on`` leads past that place.
+
+    ``why`` says why the stream has ended, null at the end of the archive; ``bad`` what is wrong with bytes read.
+    """
 
     def __init__(self, rows: Iterable[bytes]):
-        self.rows, self.begun = iter(rows), False
-        self.held, self.at = b"", 0
+        self.parts = _unpacked(iter(rows))
+        self.held, self.at, self.why, self.bad = b"", 0, None, None
+
+    def go_on(self) -> None:
+        self.held, self.at, self.why, self.bad = b"", 0, None, None
 
     def _next(self) -> bytes | None:
-        row = next(self.rows, None)
-        if row is not None and self.begun:
-            row = _CUT + row
-        self.begun = True
-        return row
+        if self.why:
+            return None
+        data, wrong = next(self.parts, (None, None))
+        if data == b"" and wrong:
+            self.why = wrong
+            return None
+        self.bad = wrong
+        return data
 
     def readline(self) -> bytes:
         while (end := self.held.find(b"\n", self.at)) < 0:
-            row = self._next()
-            if row is None:
+            part = self._next()
+            if part is None:
                 end = len(self.held) - 1
                 break
-            self.held, self.at = self.held[self.at :] + row, 0
+            self.held, self.at = self.held[self.at :] + part, 0
         out, self.at = self.held[self.at : end + 1], end + 1
         return out
 
@@ -180,38 +264,20 @@ class _Rows:
         parts = [self.held[self.at : self.at + size]]
         got = len(parts[0])
         self.at += got
-        while got < size and (row := self._next()) is not None:
-            parts.append(row[: size - got])
-            self.held, self.at = row, len(parts[-1])
+        while got < size and (part := self._next()) is not None:
+            parts.append(part[: size - got])
+            self.held, self.at = part, len(parts[-1])
             got += self.at
         return b"".join(parts)
 
 
-class _Whole(io.BufferedReader):
-    """A whole archive; one that breaks off ends where it does."""
-
-    def read(self, size: int = -1) -> bytes:
-        try:
-            return super().read(size)
-        except (EOFError, zlib.error, gzip.BadGzipFile):
-            return b""
-
-    def readline(self, size: int = -1) -> bytes:
-        try:
-            return super().readline(size)
-        except (EOFError, zlib.error, gzip.BadGzipFile):
-            return b""
-
-
 def _same_digest(stated: str, payload: bytes) -> bool | None:
     """Whether the payload has the stated digest; None for algorithms that are not compared."""
     name, _, value = stated.partition(":")
-    if name.lower() == "sha256":
-        return value.lower() == hashlib.sha256(payload).hexdigest()
-    if name.lower() == "sha1":
-        digest = hashlib.sha1(payload).digest()
-        return value.lower() == digest.hex() or value.upper() == base64.b32encode(digest).decode()
-    return None
+    if name.lower() not in ("sha256", "sha1", "md5"):
+        return None
+    digest = hashlib.new(name.lower(), payload, usedforsecurity=False).digest()
+    return value.lower() == digest.hex() or value.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
 
 
 def _row(fields: dict[str, list[str]], block: bytes, damage: str | None, with_payload: bool) -> dict:
@@ -256,30 +322,42 @@ def _parse(with_payload: bool, cut: bool):
         if not cut:
             for batch in batches:
                 for content in batch.column(1):
-                    raw = pa.BufferReader(content.as_buffer())
-                    yield _Whole(gzip.GzipFile(fileobj=raw) if content.as_buffer()[:2].to_pybytes() == b"\x1f\x8b" else raw)
+                    raw = content.as_buffer()
+                    yield _Archive([raw.to_pybytes()]) if raw[:2].to_pybytes() == _MEMBER[:2] else io.BufferedReader(pa.BufferReader(raw))
             return
         rows = ((f.as_py(), row) for batch in batches for f, row in zip(batch.column(0), batch.column(1)))
         ahead = next(rows, None)
 
         def own(file: str) -> Iterator[bytes]:
             nonlocal ahead
+            begun = b""
             while ahead is not None and ahead[0] == file:
                 row, ahead = ahead[1].as_py(), next(rows, None)
-                yield row
+                yield begun + row
+                begun = _CUT  # the cuts are put back
 
         while ahead is not None:
             rest = own(ahead[0])
-            yield _Rows(rest)
-            for _ in rest:  # what a damaged archive has left
+            yield _Archive(rest)
+            for _ in rest:  # what an archive that is no archive has left
                 pass
 
+    def rows_of(stream) -> Iterator[tuple[dict, int]]:
+        while True:
+            for fields, block, damage in records_of(stream):
+                yield _row(fields, block, damage or getattr(stream, "bad", None), with_payload), len(block)
+            why = getattr(stream, "why", None)
+            if why is None:
+                return
+            yield {"type": "", "concurrent_to": [], "block_bytes": 0, "damage": why}, 0
+            stream.go_on()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for stream in archives(batches):
-            for record in records_of(stream):
-                rows.append(_row(*record, with_payload))
-                size += len(record[1]) if with_payload else 200
+            for row, block in rows_of(stream):
+                rows.append(row)
+                size += block if with_payload else 200
                 if size > 1 << 21:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows, size = [], 0
@@ -290,13 +368,10 @@ def _parse(with_payload: bool, cut: bool):
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """One row per record of the archives (*.gz and *.warc) at ``path``.
-
-    A gzip archive that breaks off gives the records up to there.
-    """
+    """One row per record of the archives (*.gz and *.warc) at ``path``, and one per place where an archive is damaged."""
     small_batches(spark)
     schema = RECORD + ", payload binary" * with_payload
-    packed = spark.read.option("lineSep", _CUT.decode()).option("pathGlobFilter", "*.gz").option("ignoreCorruptFiles", "true").text(path)
+    packed = spark.read.options(**_AS_IS).option("lineSep", _CUT.decode()).option("pathGlobFilter", "*.gz").option("ignoreCorruptFiles", "false").text(path)
     streamed = packed.select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("row")).mapInArrow(_parse(with_payload, True), schema)
     plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(path).select("path", "content")
     return streamed.unionByName(plain.mapInArrow(_parse(with_payload, False), schema))

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -91,7 +92,7 @@ def test_damaged_archives(spark, tmp_path, packed):
     ext = "warc.gz" if packed else "warc"
     good = record(b"response", b"<g>", http(b"good"), b"WARC-Payload-Digest: sha256:" + hashlib.sha256(b"good").hexdigest().encode())
     sha1 = record(b"response", b"<s>", http(b"good"), b"WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"good").digest()))
-    other = record(b"response", b"<o>", http(b"good"), b"WARC-Payload-Digest: md5:0")
+    other = record(b"response", b"<o>", http(b"good"), b"WARC-Payload-Digest: blake3:0")
     bad = record(b"response", b"<d>", http(b"good"), b"WARC-Payload-Digest: sha256:" + b"0" * 64)
     write(tmp_path / f"a.{ext}", good, sha1, other, bad, packed=packed)
     long = record(b"response", b"<t>", http(b"x" * 500)).replace(b"Content-Length: 525", b"Content-Length: 9999")
@@ -102,12 +103,84 @@ def test_damaged_archives(spark, tmp_path, packed):
     assert got == {("<g>", None), ("<s>", None), ("<o>", None), ("<d>", "digest differs"), ("<g2>", None), ("<t>", "truncated"), (None, "no record"), ("<g3>", None), ("<n>", "truncated")}
 
 
-def test_archive_that_breaks_off(spark, tmp_path):
-    raw = gzip.compress(b"".join(record(b"response", b"<%d>" % i, http(bytes((i * j * 7919) % 251 for j in range(20_000)))) for i in range(1, 30)))
-    (tmp_path / "a.warc.gz").write_bytes(raw[: len(raw) * 2 // 3])
-    got = [r for r in read_warc(spark, str(tmp_path)).collect()]
-    whole = [r for r in got if r.damage is None]
-    assert 0 < len(whole) < 29 and len(got) - len(whole) <= 1
+def noise(i, n=20_000):
+    return random.Random(i).randbytes(n)
+
+
+def members(n, per_member):
+    records = [record(b"response", b"<%d>" % i, http(noise(i)), b"WARC-Payload-Digest: sha256:" + hashlib.sha256(noise(i)).hexdigest().encode()) for i in range(n)]
+    return [gzip.compress(b"".join(records[i : i + per_member])) for i in range(0, n, per_member)]
+
+
+def read_raw(spark, tmp_path, raw):
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+    got = read_warc(spark, str(tmp_path)).collect()
+    good = [r.record_id for r in got if r.damage is None]
+    assert len(good) == len(set(good)) and all(r.payload_digest == hashlib.sha256(noise(int(r.record_id[1:-1]))).hexdigest() for r in got if r.damage is None)
+    return good, [r.damage for r in got if r.damage is not None]
+
+
+@pytest.mark.parametrize("per_member", [1, 30, 7])
+@pytest.mark.parametrize("percent", [3, 30, 50, 66, 80, 95, 99.99])
+def test_archive_that_breaks_off(spark, tmp_path, per_member, percent):
+    raw = b"".join(members(30, per_member))
+    good, damage = read_raw(spark, tmp_path, raw[: int(len(raw) * percent / 100)])
+    assert damage[-1] == "archive breaks off" and len(damage) <= 1 + per_member
+    # All that is lost lies in the member that breaks off or after it.
+    at_least = int(30 * percent / 100) // per_member * per_member
+    assert good[:at_least] == [f"<{i}>" for i in range(at_least)]
+
+
+def test_archive_cut_between_members_is_whole(spark, tmp_path):
+    assert read_raw(spark, tmp_path, b"".join(members(6, 2)[:2]) + b"\0" * 600) == (["<0>", "<1>", "<2>", "<3>"], [])
+
+
+@pytest.mark.parametrize("per_member, lost", [(1, 1), (5, 5), (30, 30)])
+def test_bytes_overwritten(spark, tmp_path, per_member, lost):
+    packed = members(30, per_member)
+    where = len(b"".join(packed)) // 2
+    raw = bytearray(b"".join(packed))
+    raw[where : where + 40] = b"\xff\x00" * 20
+    good, damage = read_raw(spark, tmp_path, bytes(raw))
+    assert 30 - lost - 1 <= len(good) < 30 and "archive damaged" in damage
+    if per_member < 30:  # reading goes on at the next member
+        assert "<29>" in good and "<0>" in good
+
+
+def test_bad_members(spark, tmp_path):
+    packed = members(12, 1)
+    packed[2] = packed[2][:-5] + bytes([packed[2][-5] ^ 1]) + packed[2][-4:]  # length field
+    packed[4] = packed[4][: len(packed[4]) // 2]
+    packed[6] = b"no gzip at all" * 9
+    packed[8] = b""
+    good, damage = read_raw(spark, tmp_path, b"".join(packed))
+    assert good == [f"<{i}>" for i in (0, 1, 3, 5, 7, 9, 10, 11)]
+    assert damage.count("archive damaged") == 3
+
+
+def test_records_of_a_bad_member_are_marked(spark, tmp_path):
+    payload = random.Random(5).randbytes(3 << 20)
+    bad = bytearray(gzip.compress(record(b"response", b"<0>", http(payload), b"WARC-Payload-Digest: crc:0") + record(b"response", b"<1>", http(payload[:9]))))
+    bad[-6] ^= 1  # the check at the end of the member
+    (tmp_path / "a.warc.gz").write_bytes(bytes(bad) + members(1, 1)[0])
+    got = [(r.record_id, r.damage) for r in read_warc(spark, str(tmp_path)).collect()]
+    assert got[0][0] == "<0>" and got[0][1] in ("damaged", "truncated") and (None, "archive damaged") in got and got[-1] == ("<0>", None)
+
+
+def test_storage_errors_fail(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members(3, 1)))
+    records = read_warc(spark, str(tmp_path))
+    (tmp_path / "a.warc.gz").unlink()
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|not exist|No such file"):
+        records.collect()
+
+
+@pytest.mark.parametrize("name, spell", [(n, f) for n in ("sha256", "sha1", "md5") for f in ("hex", "b32")])
+def test_digests_in_either_spelling(name, spell):
+    digest = hashlib.new(name, b"x").digest()
+    stated = digest.hex() if spell == "hex" else base64.b32encode(digest).decode()
+    assert warc._same_digest(f"{name}:{stated}", b"x") is True and warc._same_digest(f"{name}:{stated}", b"y") is False
+    assert warc._same_digest("blake3:00", b"x") is None
 
 
 def test_very_long_payload(spark, tmp_path):
