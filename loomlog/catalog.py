@@ -12,7 +12,7 @@ from loomlog.operators import clean, frequency, redact, responses, safety
 from loomlog.operators.assemble import assemble, extended_entries, is_extended, plain_entries
 from loomlog.operators.search import command_stats, search
 from loomlog.plans.commands import totals
-from loomlog.sources.history import ALL_LINES, events_as_entries, lines_of, parts_as_entries, tail_lines
+from loomlog.sources.history import ALL_LINES, events_as_entries, lines_of, parts_as_entries, tail_lines, texts_as_one
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,8 @@ def _documents_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LINES = r"""l AS (SELECT CAST(doc_id AS VARCHAR) AS source, len(parts) AS n_lines, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS line_idx FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS parts FROM documents))"""
 
+_WHITE = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288, 65279))
+
 # Logs made of orders: a time line, and a command over two lines.
 
 
@@ -306,6 +308,37 @@ led AS (SELECT x.i, CASE WHEN list_has_any(low, leaders) THEN list_min(list_inte
 g AS (SELECT max(key) FILTER (r.i = of_i) AS pattern, CAST(sum(n) AS BIGINT) AS frequency, max(used) AS used, coalesce(string_agg(key, '|' ORDER BY r.i) FILTER (r.i <> of_i), '') AS variations, min(r.i) AS i FROM r JOIN led ON r.i = led.i GROUP BY of_i)"""
 
 
+def _one_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents as one log, with time lines and continued lines among them."""
+    lines = tail_lines(texts_as_one(_read(spark, sf_dir, "documents"), "doc_id", "text", "all"), ALL_LINES)
+    i = F.col("line_idx")
+    made = F.when(i % 11 == 4, F.concat(F.lit("#"), (1_700_000_000 + i).cast("string"))).when(i % 7 == 2, F.concat("raw", F.lit(" \\"))).when(i % 13 == 5, F.lit(" ")).otherwise(F.col("raw"))
+    return lines.withColumn("raw", made)
+
+
+#: Documents as one log and its entries, by windows over the whole log.
+_ONE_LOG = rf"""d AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS parts FROM documents),
+b AS (SELECT *, coalesce(sum(len(parts)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM d),
+p AS (SELECT CAST(base AS BIGINT) + generate_subscripts(parts, 1) - 1 AS i, unnest(parts) AS raw FROM b),
+l AS (SELECT i, CASE WHEN i % 11 = 4 THEN '#' || (1700000000 + i) WHEN i % 7 = 2 THEN raw || ' \' WHEN i % 13 = 5 THEN ' ' ELSE raw END AS raw FROM p),
+k AS (SELECT i, rtrim(raw, {_WHITE}) AS body, regexp_matches(trim(raw, {_WHITE}), '^#[0-9]{{9,11}}$') AS stamp FROM l),
+t AS (SELECT *, NOT stamp AND suffix(body, '\') AS open, NOT stamp AND NOT suffix(body, '\') AS done FROM k),
+g AS (SELECT *, coalesce(sum(CAST(done AS INT)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM t),
+c AS (SELECT grp, max(i) FILTER (done) AS ord, min(i) FILTER (NOT stamp) + 1 AS line_number, bool_or(open) AS continued, trim(string_agg(CASE WHEN open THEN body[:-2] ELSE body END, chr(10) ORDER BY i) FILTER (NOT stamp), {_WHITE}) AS command, max(i) FILTER (stamp) AS stamp_i, max_by(TRY_CAST(trim(body, {_WHITE})[2:] AS BIGINT), i) FILTER (stamp) AS epoch FROM g GROUP BY grp),
+s AS (SELECT *, max(stamp_i) OVER w AS stamp_at, max(CASE WHEN continued OR command <> '' THEN ord END) OVER (ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS taken FROM c WHERE ord IS NOT NULL WINDOW w AS (ORDER BY grp)),
+o AS (SELECT 'all' AS source, s.ord, s.command, CASE WHEN s.stamp_at > coalesce(s.taken, -1) THEN x.epoch END AS epoch, s.line_number FROM s LEFT JOIN c x ON x.stamp_i = s.stamp_at WHERE s.command <> '')"""
+_ONE_LOG_CLEAN = _ONE_LOG + """, e AS (SELECT source, ord, command, epoch AS ts FROM o), k2 AS (SELECT * FROM (SELECT *, lag(command) OVER (ORDER BY ord) AS b FROM e WHERE length(command) > 1 AND lower(command) NOT IN ('ls','cd','clear','exit','pwd','history')) WHERE b IS NULL OR b <> command)"""
+
+
+def _one_log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble(_one_log(spark, sf_dir), max_lines=ALL_LINES)
+
+
+def _q_one_log_sequences(spark, sf_dir):
+    runs = frequency.count_sequences(clean.clean(_one_log_entries(spark, sf_dir)))
+    return runs.select(F.md5("key").alias("key"), "count", F.unix_seconds("last_used").alias("last_used"), "window")
+
+
 def _q_alert_suggestions(spark, sf_dir):
     return responses.alerts_as_suggestions(safety.safety_alerts(_commands(spark, sf_dir)))
 
@@ -330,6 +363,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "assemble_extended": _q_assemble_extended,
     "assemble_documents": lambda s, d: assemble(_documents_lines(s, d), max_lines=ALL_LINES).select("source", "ord", "command", "line_number"),
     "format_sniff": lambda s, d: is_extended(_extended_log(s, d)),
+    "one_log_lines": lambda s, d: _one_log(s, d).select("source", "n_lines", "line_idx", "raw"),
+    "one_log_entries": lambda s, d: _one_log_entries(s, d).select("source", "ord", "command", F.unix_seconds("timestamp").alias("epoch"), "line_number"),
+    "one_log_clean": lambda s, d: clean.clean(_one_log_entries(s, d)).select("source", "ord", "command"),
+    "one_log_sequences": _q_one_log_sequences,
     "command_counts": lambda s, d: frequency.count_commands(_cleaned(s, d)).select("key", "count", "last_used"),
     "sequence_counts": lambda s, d: frequency.count_sequences(_cleaned(s, d)).select("key", "count", "last_used", "window"),
     "merged_counts": lambda s, d: frequency.merged_counts(_cleaned(s, d), 2, 3).select("key", "count", "kind"),
@@ -394,8 +431,12 @@ SELECT CAST(o_custkey AS VARCHAR) AS source, 3 * i - 1 AS ord, 'run ' || o_order
     "assemble_extended": r"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders)
 SELECT CAST(o_custkey AS VARCHAR) AS source, 2 * i - 2 AS ord, 'ship ' || o_orderstatus AS command, CAST('1' || strftime(o_orderdate, '%Y%m%d') AS BIGINT) AS epoch, CAST(2 * i - 1 AS INTEGER) AS line_number FROM o
 UNION ALL SELECT CAST(o_custkey AS VARCHAR), 2 * i - 1, 'note ' || o_orderpriority, NULL, CAST(2 * i AS INTEGER) FROM o""",
-    "assemble_documents": rf"WITH {_LINES} SELECT source, line_idx AS ord, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS command, CAST(line_idx + 1 AS INTEGER) AS line_number FROM l WHERE trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''",
+    "assemble_documents": rf"WITH {_LINES} SELECT source, line_idx AS ord, trim(raw, {_WHITE}) AS command, CAST(line_idx + 1 AS INTEGER) AS line_number FROM l WHERE trim(raw, {_WHITE}) <> ''",
     "format_sniff": "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS source FROM orders",
+    "one_log_lines": f"WITH {_ONE_LOG} SELECT 'all' AS source, (SELECT count(*) FROM l) AS n_lines, i AS line_idx, raw FROM l",
+    "one_log_entries": f"WITH {_ONE_LOG} SELECT source, ord, command, epoch, line_number FROM o",
+    "one_log_clean": f"WITH {_ONE_LOG_CLEAN} SELECT source, ord, command FROM k2",
+    "one_log_sequences": f"WITH {_ONE_LOG_CLEAN} SELECT md5(key) AS key, count(*) AS count, max(used) AS last_used, CAST(min(w) AS INTEGER) AS \"window\" FROM {_sequences_sql(5).replace('FROM k WINDOW', 'FROM k2 WINDOW')} GROUP BY key",
     "command_counts": f"WITH {_CLEAN} SELECT command AS key, count(*) AS count, max(ts) AS last_used FROM k GROUP BY command",
     "sequence_counts": f"WITH {_CLEAN} SELECT key, count(*) AS count, max(used) AS last_used, CAST(min(w) AS INTEGER) AS \"window\" FROM {_sequences_sql(5)} GROUP BY key",
     "merged_counts": f"WITH {_CLEAN} SELECT command AS key, count(*) AS count, 0 AS kind FROM k GROUP BY command UNION ALL SELECT key, count(*), 1 FROM {_sequences_sql(3)} WHERE key NOT IN (SELECT command FROM k) GROUP BY key",

@@ -20,13 +20,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: What counts as white space at the ends of a line (fixed value).
+WHITE = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim_end(c: Column) -> Column:
-    return F.regexp_replace(c, r"\s+\z", "")
+    return F.rtrim(c, F.lit(WHITE))
 
 
 def trim_all(c: Column) -> Column:
     """White space removed at both ends, line breaks included."""
-    return F.regexp_replace(trim_end(c), r"^\s+", "")
+    return F.trim(c, F.lit(WHITE))
 
 
 def tokenize(c: Column) -> Column:

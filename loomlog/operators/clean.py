@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions.text import trim_all
+from loomlog.operators.chunks import CHUNK, with_row_before
 
 #: Commands that say nothing (fixed values).
 NOISE = ("ls", "cd", "clear", "exit", "pwd", "history")
@@ -20,11 +21,12 @@ def drop_noise(entries: DataFrame) -> DataFrame:
     return entries.filter(~is_noise(F.col("command")))
 
 
-def drop_repeats(entries: DataFrame) -> DataFrame:
+def drop_repeats(entries: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Of each run of equal commands in a source the first."""
-    before = F.lag("command").over(Window.partitionBy("source").orderBy("ord"))
-    return entries.withColumn("_before", before).filter("_before IS NULL OR _before <> command").drop("_before")
+    before = F.lag("command").over(Window.partitionBy("source", "chunk").orderBy("ord"))
+    rows = with_row_before(entries, chunk).withColumn("_before", before)
+    return rows.filter("own AND (_before IS NULL OR _before <> command)").drop("_before", "chunk", "own")
 
 
-def clean(entries: DataFrame) -> DataFrame:
-    return drop_repeats(drop_noise(entries))
+def clean(entries: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    return drop_repeats(drop_noise(entries), chunk)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlog.operators.chunks import CHUNK, with_rows_after
 from loomlog.session import checkpointed
 
 MIN_FREQUENCY, TOP, THRESHOLD, SHORTEST, LONGEST = 5, 20, 3, 2, 5
@@ -16,14 +17,15 @@ def count_commands(entries: DataFrame) -> DataFrame:
     return entries.groupBy(F.col("command").alias("key")).agg(F.count("*").alias("count"), F.max("timestamp").alias("last_used"), F.lit(0).alias("kind"), F.lit(1).alias("window"), F.min(F.struct("source", "ord")).alias("first"))
 
 
-def count_sequences(entries: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:
+def count_sequences(entries: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST, chunk: int = CHUNK) -> DataFrame:
     """The same for runs of neighbouring commands of a source, joined; equal strings count together."""
     if longest < shortest:
         return count_commands(entries.limit(0))
-    order = Window.partitionBy("source").orderBy("ord")
+    entries = with_rows_after(entries.select("source", "ord", "command", "timestamp"), longest - 1, chunk)
+    order = Window.partitionBy("source", "chunk").orderBy("ord")
     next_ = {k: F.lead("command", k).over(order) for k in range(1, longest)}
     times = {k: F.lead("timestamp", k).over(order) for k in range(1, longest)}
-    rows = entries.select("source", "ord", "command", "timestamp", *[c.alias(f"c{k}") for k, c in next_.items()], *[c.alias(f"t{k}") for k, c in times.items()])
+    rows = entries.select("source", "ord", "own", "command", "timestamp", *[c.alias(f"c{k}") for k, c in next_.items()], *[c.alias(f"t{k}") for k, c in times.items()]).filter("own")
     runs = [
         F.when(F.col(f"c{w - 1}").isNotNull() if w > 1 else F.lit(True), F.struct(F.concat_ws(JOINER, "command", *[f"c{k}" for k in range(1, w)]).alias("key"), F.col(f"t{w - 1}" if w > 1 else "timestamp").alias("used"), F.lit(w).alias("window")))
         for w in range(shortest, longest + 1)

@@ -13,7 +13,8 @@ from loomlog.operators.clean import clean
 from loomlog.operators.search import search
 from loomlog.plans import files, render
 from loomlog.plans.generator import Generator
-from loomlog.sources.history import DEFAULT_LINES, detect_shell, history_path, read_lines
+from loomlog.sources.history import DEFAULT_LINES, detect_shell, history_path
+from loomlog.sources.tail import read_tail
 
 
 class HistoryMissing(FileNotFoundError):
@@ -29,10 +30,9 @@ def load_entries(spark: SparkSession, shell: str | None = None, history_file: st
     shell = detect_shell(shell)
     path, origin = history_path(shell, history_file)
     try:
-        lines = read_lines(spark, path)
-        lines.schema  # noqa: B018  fails here if nothing is there
+        lines = read_tail(spark, path, max_lines)
     except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
+        if isinstance(e, FileNotFoundError) or "PATH_NOT_FOUND" in str(e):
             raise HistoryMissing(path, origin == "default") from e
         raise
     return clean(assemble(lines, shell, max_lines)), shell, path

@@ -1,5 +1,8 @@
 """History files and other tables as lines and entries.
 
+``read_lines`` takes each file as one value; ``scan_lines`` reads files of any size in many tasks;
+``read_tail`` (in ``tail.py``) reads the ends of files alone.
+
 Lines: source, line_idx (from 0), n_lines, raw.  Entries: source, ord, command, timestamp,
 line_number (from 1, inside the kept tail).
 """
@@ -14,6 +17,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomlog.session import checkpointed
+
 DEFAULT_LINES, LEAST_LINES = 5000, 100
 ALL_LINES = (1 << 31) - 1  # as many as an array of lines can hold
 SHELLS = ("bash", "zsh", "powershell")
@@ -31,11 +36,69 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines_of(files, "source", "text")
 
 
+def _file_blocks(raw: DataFrame) -> DataFrame:
+    """Per block of a file: number of its first line, lines of the file, whether a break ends it, and a byte order mark."""
+    blocks = raw.groupBy("source", "block").agg(F.min("row").alias("row0"), F.count("*").alias("n"), F.sum(F.octet_length("raw") + 1).alias("bytes"), F.first("size").alias("size"))
+    file, upto = Window.partitionBy("source"), Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # Without a break at the end the lines come to one byte more than the file; the reader skips a mark of three bytes.
+    over = F.sum("bytes").over(file) - F.col("size")
+    return blocks.select(
+        F.col("source").alias("of"),
+        F.col("block").alias("of_block"),
+        "row0",
+        F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"),
+        F.sum("n").over(file).alias("found"),
+        over.isin(0, -3).alias("ended"),
+        over.isin(-3, -2).alias("marked"),
+        (~over.isin(1, 0, -2, -3)).alias("odd"),
+    )
+
+
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of plain text files as ``read_lines`` gives them, but read block by block, in as many tasks.
+
+    A first pass counts the lines of each block of a file; sums over the blocks (not the lines) give
+    every line its number.  line_idx and n_lines are long.  Spark's readers skip empty files.  Packed files (.gz and the like) are refused: their
+    sizes do not tell whether the last line has ended.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    raw = read.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("raw"))
+    blocks = checkpointed(_file_blocks(raw))
+    if odd := blocks.filter("odd").select("of").first():
+        raise ValueError(f"not a plain text file: {odd[0]}")
+    n = blocks.count()
+    placed = raw.join(F.broadcast(blocks) if n <= 200_000 else blocks, (F.col("source") == F.col("of")) & (F.col("block") == F.col("of_block")))
+    idx = F.col("base") + F.col("row") - F.col("row0")
+    n_lines = F.col("found") + F.col("ended").cast("long")
+    cut = F.when(F.endswith("raw", F.lit("\r")) & (F.col("ended") | (F.col("line_idx") < F.col("found") - 1)), F.substr("raw", F.lit(1), F.length("raw") - 1)).otherwise(F.col("raw"))
+    text = F.when(F.col("marked") & (F.col("line_idx") == 0), F.concat(F.lit("\ufeff"), cut)).otherwise(cut)
+    lines = placed.withColumn("line_idx", idx).select("source", n_lines.alias("n_lines"), "line_idx", text.alias("raw"))
+    # A break at the end is followed by one empty line.
+    last = blocks.filter("ended AND base = 0").select(F.col("of").alias("source"), (F.col("found") + 1).alias("n_lines"), F.col("found").alias("line_idx"), F.lit("").alias("raw"))
+    return lines.unionByName(last)
+
+
+def texts_as_one(texts: DataFrame, key: str, text: str, source: str, chunk: int = 1 << 12) -> DataFrame:
+    """All texts of a table one after another, in the order of a long key, as the lines of one source.
+
+    Line numbers are sums over the texts before; they are taken within ranges of keys and over the ranges, so no
+    task sees all texts.
+    """
+    parts = texts.select(F.col(key).cast("long").alias("key"), F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n", -1).alias("parts")).withColumn("range", F.floor(F.col("key") / chunk))
+    sums = parts.groupBy("range").agg(F.sum(F.size("parts")).alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    bases = sums.select(F.col("range").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum(F.size("parts")).over(Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = sums.agg(F.sum("n").alias("n_lines"))  # one row
+    placed = parts.withColumn("own", own).join(bases, F.col("range") == F.col("of")).crossJoin(F.broadcast(total))
+    return placed.select(F.lit(source).alias("source"), "n_lines", (F.col("base") + F.col("own")).alias("first"), F.posexplode("parts").alias("pos", "raw")).select("source", "n_lines", (F.col("first") + F.col("pos")).alias("line_idx"), "raw")
+
+
 def tail_lines(lines: DataFrame, max_lines: int | None = DEFAULT_LINES) -> DataFrame:
     """The last lines of each source (at least 100 of them), numbered from 1 as line_number."""
     keep = max(max_lines if max_lines is not None else DEFAULT_LINES, LEAST_LINES)
     first = F.greatest(F.col("n_lines") - F.lit(keep), F.lit(0))
-    return lines.filter(F.col("line_idx") >= first).withColumn("line_number", (F.col("line_idx") - first + 1).cast("int"))
+    return lines.filter(F.col("line_idx") >= first).withColumn("line_number", (F.col("line_idx") - first + 1).cast(lines.schema["line_idx"].dataType))
 
 
 def events_as_entries(events: DataFrame) -> DataFrame:
