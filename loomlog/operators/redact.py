@@ -32,21 +32,77 @@ PATTERNS = (
 )
 
 
+#: What a text must hold for a kind to occur in it: groups of literals, of each of which one is needed.
+#: Those in lower case count in either case.  ``RUN`` stands for a long run of letters, digits, + and /.
+RUN = "\0run"
+TRIGGERS = {
+    "assignment": (("=",), ("password", "passwd", "token", "apikey", "api_key", "secret", "credential")),
+    "export": (("=",), ("export",), ("secret", "token", "key", "password", "credentials", "auth")),
+    "docker login": (("docker",), ("login",)),
+    "ssh key": (("ssh",), ("-i",)),
+    "ssh agent": (("ssh-add",),),
+    "url credentials": (("://",), ("@",)),
+    "curl auth": (("-u",),),
+    "aws key": (("AKIA",),),
+    "github token": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),),
+    "gitlab token": (("glpat-",),),
+    "npm token": (("npm_",),),
+    "npm config": (("npm",), ("config",), ("_auth", "_password")),
+    "bearer": (("bearer",),),
+    "authorization": (("authorization",),),
+    "base64": ((RUN,),),
+    "hex": (("=",),),
+}
+_LONG_RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}"
+
+
+def triggers(text: Column, low: Column | None = None) -> Column:
+    """A bit for each kind: whether the text may hold one.
+
+    A redaction leaves nothing from which a literal could arise, so the bits of the text at the start hold for
+    all kinds in turn.
+    """
+    low = F.lower(text) if low is None else low
+
+    def holds(literal: str) -> Column:
+        if literal == RUN:
+            return text.rlike(_LONG_RUN)
+        return F.contains(text if literal != literal.lower() else low, F.lit(literal))
+
+    bits = F.lit(0)
+    for k, (kind, _) in enumerate(PATTERNS):
+        needs = None
+        for group in TRIGGERS[kind]:
+            one = holds(group[0])
+            for literal in group[1:]:
+                one = one | holds(literal)
+            needs = one if needs is None else needs & one
+        bits = bits.bitwiseOR(F.when(needs, F.lit(1 << k)).otherwise(F.lit(0)))
+    return bits
+
+
 def scrub(text: Column) -> tuple[Column, Column]:
     """The redacted text and the number of redactions."""
-    count = F.lit(0)
-    for _, pattern in PATTERNS:
-        count = count + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, REDACTED.replace("[", r"\[").replace("]", r"\]"))
+    count, bits = F.lit(0), triggers(text)
+    for k, (_, pattern) in enumerate(PATTERNS):
+        may = bits.bitwiseAND(F.lit(1 << k)) != 0
+        count = count + F.when(may, F.regexp_count(text, F.lit(pattern))).otherwise(F.lit(0))
+        text = F.when(may, F.regexp_replace(text, pattern, r"\[REDACTED\]")).otherwise(text)
     return text, count
 
 
 def scrub_column(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``column`` redacted and redacted_count; each kind is one projection."""
-    out = df.withColumn("_n", F.lit(0))
-    for _, pattern in PATTERNS:
-        out = out.withColumn("_n", F.col("_n") + F.coalesce(F.regexp_count(F.col(column), F.lit(pattern)), F.lit(0))).withColumn(column, F.regexp_replace(F.col(column), pattern, r"\[REDACTED\]"))
-    return out.withColumnRenamed("_n", "redacted_count")
+    """``df`` with ``column`` redacted and redacted_count.
+
+    One pass over the text finds which kinds may occur; only those are searched for.  Each kind is one projection.
+    """
+    # The lowered text is a column of its own, so that it is made once and not for each literal.
+    out = df.withColumn("_low", F.lower(F.col(column))).withColumns({"_bits": F.coalesce(triggers(F.col(column), F.col("_low")), F.lit(0)), "_n": F.lit(0)}).drop("_low")
+    for k, (_, pattern) in enumerate(PATTERNS):
+        may = F.col("_bits").bitwiseAND(F.lit(1 << k)) != 0
+        found = F.when(may, F.coalesce(F.regexp_count(F.col(column), F.lit(pattern)), F.lit(0))).otherwise(F.lit(0))
+        out = out.withColumns({"_n": F.col("_n") + found, column: F.when(may, F.regexp_replace(F.col(column), pattern, r"\[REDACTED\]")).otherwise(F.col(column))})
+    return out.drop("_bits").withColumnRenamed("_n", "redacted_count")
 
 
 def scrub_patterns(patterns: DataFrame) -> DataFrame:
