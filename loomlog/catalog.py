@@ -369,8 +369,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "one_log_sequences": _q_one_log_sequences,
     "command_counts": lambda s, d: frequency.count_commands(_cleaned(s, d)).select("key", "count", "last_used"),
     "sequence_counts": lambda s, d: frequency.count_sequences(_cleaned(s, d)).select("key", "count", "last_used", "window"),
-    "merged_counts": lambda s, d: frequency.merged_counts(_cleaned(s, d), 2, 3).select("key", "count", "kind"),
-    "merged_counts_all": lambda s, d: frequency.merged_counts(_cleaned(s, d)).select("key", "count", "kind"),
+    "merged_counts": lambda s, d: frequency.merged_counts(_cleaned(s, d)).select("key", "count", "kind"),
     "totals": lambda s, d: totals(_cleaned(s, d)),
     "near_pairs": lambda s, d: frequency.near_pairs(frequency.count_commands(_parts(s, d)).withColumn("rank", frequency.rank())).select("low", "high"),
     "similar_groups": lambda s, d: frequency.group_similar(frequency.count_commands(_parts(s, d))).select("pattern", "frequency", F.array_join("variations", "|").alias("variations")),
@@ -439,8 +438,7 @@ UNION ALL SELECT CAST(o_custkey AS VARCHAR), 2 * i - 1, 'note ' || o_orderpriori
     "one_log_sequences": f"WITH {_ONE_LOG_CLEAN} SELECT md5(key) AS key, count(*) AS count, max(used) AS last_used, CAST(min(w) AS INTEGER) AS \"window\" FROM {_sequences_sql(5).replace('FROM k WINDOW', 'FROM k2 WINDOW')} GROUP BY key",
     "command_counts": f"WITH {_CLEAN} SELECT command AS key, count(*) AS count, max(ts) AS last_used FROM k GROUP BY command",
     "sequence_counts": f"WITH {_CLEAN} SELECT key, count(*) AS count, max(used) AS last_used, CAST(min(w) AS INTEGER) AS \"window\" FROM {_sequences_sql(5)} GROUP BY key",
-    "merged_counts": f"WITH {_CLEAN} SELECT command AS key, count(*) AS count, 0 AS kind FROM k GROUP BY command UNION ALL SELECT key, count(*), 1 FROM {_sequences_sql(3)} WHERE key NOT IN (SELECT command FROM k) GROUP BY key",
-    "merged_counts_all": f"WITH {_CLEAN} SELECT command AS key, count(*) AS count, 0 AS kind FROM k GROUP BY command UNION ALL SELECT key, count(*), 1 FROM {_sequences_sql(5)} WHERE key NOT IN (SELECT command FROM k) GROUP BY key",
+    "merged_counts": f"WITH {_CLEAN} SELECT command AS key, count(*) AS count, 0 AS kind FROM k GROUP BY command UNION ALL SELECT key, count(*), 1 FROM {_sequences_sql(5)} WHERE key NOT IN (SELECT command FROM k) GROUP BY key",
     "totals": f"WITH {_CLEAN} SELECT count(*) AS total_commands, count(DISTINCT command) AS unique_commands FROM k",
     "near_pairs": "WITH c AS (SELECT p_name || ' ' || p_type AS key, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, f) AS i FROM c) SELECT a.key AS low, b.key AS high FROM r a, r b WHERE a.i < b.i AND abs(length(a.key) - length(b.key)) <= 3 AND levenshtein(a.key, b.key) <= 3",
     "safety_alerts": f"WITH {_HITS}, {_RULES} SELECT command AS pattern, count(*) AS frequency, risk, safer_alternative, rule_name FROM h JOIN r USING (rule) GROUP BY ALL",

@@ -17,7 +17,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("analyze", "search", "suggest", "report"):
         s = sub.add_parser(name)
-        s.add_argument("--shell", choices=("bash", "zsh", "powershell"))
+        s.add_argument("--shell", choices=("auto", "bash", "zsh", "powershell"), default="auto")
         s.add_argument("--history-file")
         if name != "search":
             s.add_argument("--min-frequency", type=int, default=5)
@@ -83,17 +83,27 @@ def main(argv: list[str] | None = None) -> int:
             text = render.analysis_json(r) if o.format == "json" else render.analysis_markdown(r, o.min_frequency) if o.format == "markdown" else render.analysis_table(r, o.min_frequency)
         elif o.command == "search":
             rows = commands.run_search(spark, o.query, o.shell, o.history_file, o.max_results or 10)
+            if not rows:
+                print("No matching commands found. Try a broader query, or look at the history file.", file=sys.stderr)
+                return 0
             text = render.search_json(rows) if o.format == "json" else render.search_markdown(rows, o.query) if o.format == "markdown" else render.search_table(rows, o.query)
-            if o.explain and rows and (said := commands.explain(make_generator(spark), spark, rows[0]["command"])):
-                text += f"\n\nAbout `{rows[0]['command']}`:\n{said}"
+            if o.explain:
+                said = commands.explain(make_generator(spark), spark, rows[0]["command"])
+                text += f"\n\nAbout `{rows[0]['command']}`:\n{said}" if said else "\n\nNo explanation could be had: is the generator installed and logged in?"
         elif o.command == "suggest":
-            found = commands.suggest(spark, make_generator(spark), o.shell, o.history_file, o.min_frequency or 5, files.suggestions_path(), _review(spark, o.interactive))
+            generator = make_generator(spark)
+            found = commands.suggest(spark, generator, o.shell, o.history_file, o.min_frequency or 5, files.suggestions_path(), _review(spark, o.interactive))
+            for problem in getattr(generator, "problems", []):
+                print(problem, file=sys.stderr)
             text = render.suggestions_text(found) if o.output else render.suggestions_terminal(found)
         else:
-            text = commands.report(spark, o.format, files.suggestions_path(), shell=o.shell, history_file=o.history_file, min_frequency=o.min_frequency or 5, top=o.top or 20, max_lines=o.max_lines)
+            text = commands.report(spark, o.format, files.suggestions_path(), warn=lambda said: print(said, file=sys.stderr), shell=o.shell, history_file=o.history_file, min_frequency=o.min_frequency or 5, top=o.top or 20, max_lines=o.max_lines)
     except GeneratorMissing as e:
         print(e, file=sys.stderr)
         return 1
+    except commands.HistoryEmpty as e:
+        print(e, file=sys.stderr)
+        return 0
     except commands.HistoryMissing as e:
         print(f"History file not found: {e}" + ("\nName one with --history-file." if e.tip else ""), file=sys.stderr)
         return 1

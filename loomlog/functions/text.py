@@ -33,6 +33,48 @@ def trim_all(c: Column) -> Column:
     return F.trim(c, F.lit(WHITE))
 
 
+def _astral(c: Column) -> Column:
+    """Whether a text has characters of two UTF-16 units (four UTF-8 bytes)."""
+    return (F.octet_length(c) > F.length(c)) & c.rlike("[\\x{10000}-\\x{10FFFF}]")
+
+
+def utf16(c: Column) -> Column:
+    """A text with one character for each UTF-16 unit of ``c``, equal where the units are.
+
+    The two units of a character become two of the private planes; that plane's own characters have two
+    units as well, so none is mistaken for another.
+    """
+    point = lambda ch: F.conv(F.hex(F.encode(ch, "UTF-32")), 16, 10).cast("long") - 0x10000
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    units = lambda ch: F.concat(char(F.lit(0xF0000) + F.shiftright(point(ch), 10)), char(F.lit(0xF0400) + point(ch).bitwiseAND(F.lit(1023).cast("long"))))
+    spread = F.array_join(F.transform(F.split(c, ""), lambda ch: F.when(F.octet_length(ch) == 4, units(ch)).otherwise(ch)), "")
+    return F.when(_astral(c), spread).otherwise(c)
+
+
+def utf16_length(c: Column) -> Column:
+    return F.when(_astral(c), F.length(c) + F.length(F.regexp_replace(c, "[^\\x{10000}-\\x{10FFFF}]", ""))).otherwise(F.length(c))
+
+
+def utf16_left(c: Column, n: int) -> Column:
+    """The first n UTF-16 units; half a character at the end shows as the replacement character."""
+    chars = F.split(c, "")
+    step = lambda acc, ch: F.when(acc["left"] <= 0, acc).otherwise(
+        F.struct(F.concat(acc["text"], F.when((F.octet_length(ch) == 4) & (acc["left"] == 1), F.lit("\ufffd")).otherwise(ch)).alias("text"), (acc["left"] - F.when(F.octet_length(ch) == 4, 2).otherwise(1)).alias("left"))
+    )
+    cut = F.aggregate(chars, F.struct(F.lit("").alias("text"), F.lit(n).alias("left")), step, lambda acc: acc["text"])
+    return F.when(_astral(c), cut).otherwise(F.left(c, F.lit(n)))
+
+
+def utf16_text(text: str) -> str:
+    """``utf16`` of a text on the driver."""
+    return "".join(ch if ord(ch) < 0x10000 else chr(0xF0000 + (ord(ch) - 0x10000 >> 10)) + chr(0xF0400 + (ord(ch) - 0x10000 & 1023)) for ch in text)
+
+
+def cut_text(text: str, n: int) -> str:
+    """``utf16_left`` of a text on the driver."""
+    return text.encode("utf-16-le", "surrogatepass")[: 2 * n].decode("utf-16-le", "replace")
+
+
 def tokenize(c: Column) -> Column:
     """Lower-case tokens of a command or query."""
     return F.filter(F.split(F.lower(c), TOKEN_SEPARATORS), lambda t: t != "")
@@ -59,7 +101,8 @@ def fuzzy_overlap(query: Sequence[str], tokens: Column) -> Column:
     """Share of query tokens that the command lacks but for a typo; 1 if it lacks none."""
     if not query:
         return F.lit(0.0)
-    missing = F.filter(_literals(query), lambda q: ~F.array_contains(tokens, q))
+    tokens = F.transform(tokens, utf16)
+    missing = F.filter(_literals([utf16_text(q) for q in query]), lambda q: ~F.array_contains(tokens, q))
     close = F.filter(missing, lambda q: F.exists(tokens, lambda t: (F.abs(F.length(t) - F.length(q)) <= MAX_TYPO) & (F.levenshtein(t, q, MAX_TYPO) >= 0)))
     return F.when(F.size(missing) == 0, F.lit(1.0)).otherwise(F.size(close) / F.lit(float(len(query))))
 
@@ -95,7 +138,7 @@ def capitalize(c: Column) -> Column:
 
 
 def truncate(c: Column, limit: int) -> Column:
-    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.left(c, F.lit(max(limit - 3, 0))), F.lit("...")))
+    return F.when(utf16_length(c) <= limit, c).otherwise(F.concat(utf16_left(c, max(limit - 3, 0)), F.lit("...")))
 
 
 def escape_markdown(c: Column) -> Column:

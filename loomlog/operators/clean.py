@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlog.functions.text import trim_all
+from loomlog.functions.text import trim_all, utf16_length
 from loomlog.operators.chunks import CHUNK, with_row_before
 
 #: Commands that say nothing (fixed values).
@@ -14,7 +14,7 @@ NOISE = ("ls", "cd", "clear", "exit", "pwd", "history")
 
 def is_noise(command: Column) -> Column:
     c = trim_all(command)
-    return (F.length(c) <= 1) | F.lower(c).isin(*NOISE)
+    return (utf16_length(c) <= 1) | F.lower(c).isin(*NOISE)
 
 
 def drop_noise(entries: DataFrame) -> DataFrame:

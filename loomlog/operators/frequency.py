@@ -1,15 +1,22 @@
 """Frequent commands and sequences, grouped with their near copies."""
 
+# Lengths and distances are counted in UTF-16 units, as the ranks and reports of the commands expect.
+
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlog.functions.text import utf16
 from loomlog.operators.chunks import CHUNK, with_rows_after
+from loomlog.operators.components import components
 from loomlog.session import checkpointed
 
 MIN_FREQUENCY, TOP, THRESHOLD, SHORTEST, LONGEST = 5, 20, 3, 2, 5
 JOINER = " && "
+#: Near pairs that one task decides at once.
+MOST_PAIRS = 1 << 18
 
 
 def count_commands(entries: DataFrame) -> DataFrame:
@@ -53,7 +60,7 @@ def _segment(n: Column, i: Column, parts: int) -> tuple[Column, Column]:
 
 
 def near_pairs(keys: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """low, high: keys within the edit distance, the leading one first.
+    """low, low_rank, high, high_rank: keys within the edit distance, the leading one first.
 
     Each key is cut into threshold + 1 segments.  Of two keys within the distance, one has a segment of
     the other unchanged, near its old place; so keys are joined on length, segment number and segment,
@@ -66,39 +73,84 @@ def near_pairs(keys: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         for i in range(parts)
         for shift in range(max(-i, -diff - (threshold - i)), min(i, -diff + threshold - i) + 1)
     ]
-    n = F.length("key")
-    cut = keys.select(F.col("key").alias("a"), F.col("rank").alias("rank_a"), n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(threshold))).alias("i"))
+    keys = keys.select("key", "rank", utf16(F.col("key")).alias("u"))
+    n = F.length("u")
+    cut = keys.select(F.col("key").alias("a"), F.col("u").alias("ua"), F.col("rank").alias("rank_a"), n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(threshold))).alias("i"))
     start, size = _segment(F.col("n"), F.col("i"), parts)
-    index = cut.select("a", "rank_a", "n", "i", F.substr(F.col("a"), start + 1, size).alias("segment"))
+    index = cut.select("a", "ua", "rank_a", "n", "i", F.substr(F.col("ua"), start + 1, size).alias("segment"))
     table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("dis", place)]) for place in places])
-    seen = keys.select(F.col("key").alias("b"), F.col("rank").alias("rank_b"), n.alias("own"), F.explode(table).alias("p")).select("b", "rank_b", "own", (F.col("own") + F.col("p.d")).alias("n"), F.col("p.i").alias("i"), F.col("p.s").alias("shift"))
+    seen = keys.select(F.col("key").alias("b"), F.col("u").alias("ub"), F.col("rank").alias("rank_b"), n.alias("own"), F.explode(table).alias("p"))
+    seen = seen.select("b", "ub", "rank_b", "own", (F.col("own") + F.col("p.d")).alias("n"), F.col("p.i").alias("i"), F.col("p.s").alias("shift"))
     at = start + F.col("shift")
-    probes = seen.filter((F.col("n") >= 0) & (at >= 0) & (at + size <= F.col("own"))).select("b", "rank_b", "n", "i", F.substr(F.col("b"), at + 1, size).alias("segment")).distinct()
-    near = (F.col("rank_a") < F.col("rank_b")) & (F.levenshtein("a", "b", threshold) >= 0)
+    probes = seen.filter((F.col("n") >= 0) & (at >= 0) & (at + size <= F.col("own"))).select("b", "ub", "rank_b", "n", "i", F.substr(F.col("ub"), at + 1, size).alias("segment")).distinct()
+    near = (F.col("rank_a") < F.col("rank_b")) & (F.levenshtein("ua", "ub", threshold) >= 0)
     met = index.join(probes, ["n", "i", "segment"]).filter(near)
-    return met.select(F.col("a").alias("low"), F.col("rank_a").alias("low_rank"), F.col("b").alias("high")).distinct()
+    return met.select(F.col("a").alias("low"), F.col("rank_a").alias("low_rank"), F.col("b").alias("high"), F.col("rank_b").alias("high_rank")).distinct()
+
+
+def _led(batch: pa.Table) -> pa.Table:
+    """high and its leader, for the pairs of whole components (low, high and their orders): one greedy pass by order."""
+    lower: dict[int, list[int]] = {}
+    names: dict[int, str] = {}
+    columns = (batch[c].to_pylist() for c in ("low_order", "high_order", "low", "high"))
+    for low, high, low_key, high_key in zip(*columns):
+        lower.setdefault(high, []).append(low)
+        names[low], names[high] = low_key, high_key
+    led: dict[int, int] = {}
+    for k in sorted(lower):
+        leaders = [x for x in lower[k] if x not in led]
+        if leaders:
+            led[k] = min(leaders)
+    return pa.table({"high": pa.array([names[k] for k in led], pa.string()), "leader": pa.array([names[k] for k in led.values()], pa.string())})
+
+
+def _led_in_rounds(pairs: DataFrame) -> DataFrame:
+    """The same over tables, for components too large for a task: each round decides the keys whose lower ones are decided."""
+    nodes = pairs.select(F.col("low").alias("key")).union(pairs.select("high")).distinct()
+    tops = pairs.select(F.col("high").alias("top")).distinct()
+    state = checkpointed(nodes.join(tops, F.col("key") == F.col("top"), "left").select("key", F.when(F.col("top").isNull(), "leads").alias("state")))
+    while not state.filter("state IS NULL").isEmpty():
+        seen = pairs.join(state.select(F.col("key").alias("low"), F.col("state").alias("s")), "low").groupBy("high").agg(F.max(F.coalesce(F.col("s") == "leads", F.lit(False))).alias("led"), F.max(F.col("s").isNull()).alias("open"))
+        new = F.when(F.col("state").isNotNull(), F.col("state")).when(F.col("led"), "follows").when(~F.col("open"), "leads")
+        state = checkpointed(state.join(seen, F.col("key") == F.col("high"), "left").select("key", new.alias("state")))
+    leaders = state.filter("state = 'leads'").select(F.col("key").alias("leader"))
+    return pairs.join(leaders, F.col("low") == F.col("leader")).groupBy("high").agg(F.min_by("leader", "low_order").alias("leader"))
+
 
+def followers(pairs: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """high, leader: the keys that a key of lesser order absorbs.
 
-def group_similar(counts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    pairs: low, high, low_order, high_order (long).  Whole components of pairs are decided by one pass
+    in a task each; only components of more than ``most_pairs`` pairs take rounds over tables.
+    """
+    n = pairs.count()
+    schema = "high string, leader string"
+    if n <= most_pairs:  # all components fit one task
+        return pairs.coalesce(1).groupBy(F.lit(0).alias("group")).applyInArrow(_led, schema)
+    found = components(pairs.select(F.col("low_order").alias("u"), F.col("high_order").alias("v"))).withColumnRenamed("node", "of")
+    of_pair = pairs.join(found, F.col("high_order") == F.col("of")).drop("of")  # the higher key is never the least of its component
+    sizes = of_pair.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("pairs"))
+    sized = checkpointed(of_pair.join(sizes, F.col("component") == F.col("c")))
+    groups = -(-n // most_pairs)  # components are dealt so that a task has about as many pairs as it may
+    out = sized.filter(F.col("pairs") <= most_pairs).groupBy(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("group")).applyInArrow(_led, schema)
+    large = sized.filter(F.col("pairs") > most_pairs).select(pairs.columns)
+    return out if large.isEmpty() else out.unionByName(_led_in_rounds(large))
+
+
+def group_similar(counts: DataFrame, threshold: int = THRESHOLD, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """pattern, frequency, last_used, variations, rank.
 
-    A key leads unless it is near a leader of lesser rank, which then absorbs it.  Each round
-    decides the keys whose nearer leaders are all decided; rounds are cut off by checkpoints.
+    A key leads unless it is near a leader of lesser rank, which then absorbs it; of several the one of least rank.
     """
     keys = checkpointed(counts.withColumn("rank", rank()))
     pairs = checkpointed(near_pairs(keys, threshold))
-    linked = pairs.select("high").distinct()
-    state = keys.select("key", "rank").join(linked, F.col("key") == F.col("high"), "left").select("key", "rank", F.when(F.col("high").isNull(), "leads").alias("state"))
-    state = checkpointed(state)
-    while not state.filter("state IS NULL").isEmpty():
-        seen = pairs.join(state.select(F.col("key").alias("low"), F.col("state").alias("s")), "low").groupBy("high").agg(F.max(F.coalesce(F.col("s") == "leads", F.lit(False))).alias("led"), F.max(F.col("s").isNull()).alias("open"))
-        new = F.when(F.col("state").isNotNull(), F.col("state")).when(F.col("led"), "follows").when(~F.col("open"), "leads")
-        state = checkpointed(state.join(seen, F.col("key") == F.col("high"), "left").select("key", "rank", new.alias("state")))
-    leaders = state.filter("state = 'leads'").select(F.col("key").alias("leader"))
-    chosen = pairs.join(leaders, F.col("low") == F.col("leader")).groupBy("high").agg(F.min("low_rank").alias("r")).select("high", F.col("r.k").alias("leader"))
-    member = keys.join(state.select(F.col("key").alias("k2"), "state"), F.col("key") == F.col("k2")).join(chosen, F.col("key") == F.col("high"), "left")
-    member = member.withColumn("pattern", F.when(F.col("state") == "leads", F.col("key")).otherwise(F.col("leader")))
-    follower = F.when(F.col("state") == "follows", F.struct("rank", "key"))
+    ends = pairs.select(F.explode(F.array(F.col("low_rank"), F.col("high_rank"))).alias("r")).distinct()
+    # The orders of keys that are near some key; sorted over all tasks, numbered within and across them.
+    sorted_ = checkpointed(ends.orderBy("r").select("r", F.monotonically_increasing_id().alias("order")))
+    low, high = (sorted_.select(F.col("r.k").alias(f"{x}_k"), F.col("order").alias(f"{x}_order")) for x in ("low", "high"))
+    ordered = checkpointed(pairs.select("low", "high").join(low, F.col("low") == F.col("low_k")).join(high, F.col("high") == F.col("high_k")).select("low", "high", "low_order", "high_order"))
+    member = keys.join(followers(ordered, most_pairs), F.col("key") == F.col("high"), "left").withColumn("pattern", F.coalesce("leader", "key"))
+    follower = F.when(F.col("leader").isNotNull(), F.struct("rank", "key"))
     return member.groupBy("pattern").agg(
         F.sum("count").alias("frequency"),
         F.max("last_used").alias("last_used"),

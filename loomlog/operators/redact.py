@@ -82,12 +82,11 @@ def triggers(text: Column, low: Column | None = None) -> Column:
 
 
 def scrub(text: Column) -> tuple[Column, Column]:
-    """The redacted text and the number of redactions."""
-    count, bits = F.lit(0), triggers(text)
-    for k, (_, pattern) in enumerate(PATTERNS):
-        may = bits.bitwiseAND(F.lit(1 << k)) != 0
-        count = count + F.when(may, F.regexp_count(text, F.lit(pattern))).otherwise(F.lit(0))
-        text = F.when(may, F.regexp_replace(text, pattern, r"\[REDACTED\]")).otherwise(text)
+    """The redacted text and the number of redactions, as expressions: for a few values, such as patterns in prompts."""
+    count = F.lit(0)
+    for _, pattern in PATTERNS:
+        count = count + F.regexp_count(text, F.lit(pattern))
+        text = F.regexp_replace(text, pattern, r"\[REDACTED\]")
     return text, count
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.text import trim_all
 
+# Word ends by ASCII letters: Java's own word boundary takes letters of all scripts for part of a word.
 _W, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 #: Name, risk and safer alternative of each rule (fixed values).

@@ -38,6 +38,13 @@ def load_entries(spark: SparkSession, shell: str | None = None, history_file: st
     return clean(assemble(lines, shell, max_lines)), shell, path
 
 
+class HistoryEmpty(ValueError):
+    """The history has no commands."""
+
+    def __init__(self, path: str):
+        super().__init__(f"No commands found in {path}.")
+
+
 def totals(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count("*").alias("total_commands"), F.count_distinct("command").alias("unique_commands"))
 
@@ -50,6 +57,8 @@ def analyze_entries(entries: DataFrame, shell: str, path: str, min_frequency: in
     entries = entries.persist()
     try:
         n = totals(entries).first()
+        if not n["total_commands"]:
+            raise HistoryEmpty(path)
         return {
             "shell": shell,
             "history_file": path,
@@ -67,8 +76,11 @@ def analyze(spark: SparkSession, shell: str | None = None, history_file: str | N
 
 
 def run_search(spark: SparkSession, query: str, shell: str | None = None, history_file: str | None = None, max_results: int | None = None) -> list[dict]:
-    entries, _, _ = load_entries(spark, shell, history_file)
-    return _rows(search(entries, query, max_results))
+    entries, _, path = load_entries(spark, shell, history_file)
+    found = _rows(search(entries, query, max_results))
+    if not found and entries.isEmpty():
+        raise HistoryEmpty(path)
+    return found
 
 
 def explain(generator: Generator, spark: SparkSession, command: str) -> str | None:
@@ -85,7 +97,9 @@ def suggest(spark: SparkSession, generator: Generator, shell: str | None = None,
 
     review: as for ``apply``; what it leaves is returned and cached.
     """
-    entries, shell, _ = load_entries(spark, shell, history_file)
+    entries, shell, path = load_entries(spark, shell, history_file)
+    if entries.isEmpty():
+        raise HistoryEmpty(path)
     patterns = _rows(redact.scrub_patterns(frequency.analyze_frequency(entries, min_frequency, 20)))
     if not patterns:
         return []
@@ -136,11 +150,25 @@ def apply(cache: str, output: str | None = None, append_to: str | None = None, d
     return render.applied(code, len(suggestions), target, shell, saved, bool(append_to))
 
 
-def report(spark: SparkSession, fmt: str = "markdown", cache: str | None = None, **options) -> str:
-    result = analyze(spark, **options)
-    cached = files.read_json(cache) if cache else None
-    suggestions = cached.get("suggestions", []) if isinstance(cached, dict) else []
+def shell_mismatch(cached: object, shell: str) -> str | None:
+    """What to tell if the cached suggestions are for another shell than a report's."""
+    other = cached.get("shell") if isinstance(cached, dict) and cached.get("suggestions") else None
+    if not other or other == shell:
+        return None
+    return f"The suggestions at hand were made for {other}, and this report is about {shell}; run suggest --shell {shell} for some that match."
+
+
+def report(spark: SparkSession, fmt: str = "markdown", cache: str | None = None, warn=None, **options) -> str:
+    """The analysis with the cached suggestions, as text.
+
+    warn: called with a warning if those are for another shell.
+    """
     formats = {"json": render.report_json, "markdown": render.report_markdown}
     if fmt not in formats:
         raise ValueError(f"a report is {' or '.join(formats)}, not {fmt}")
+    result = analyze(spark, **options)
+    cached = files.read_json(cache) if cache else None
+    suggestions = cached.get("suggestions", []) if isinstance(cached, dict) else []
+    if warn and (said := shell_mismatch(cached, result["shell"])):
+        warn(said)
     return formats[fmt](result, suggestions)

@@ -126,7 +126,7 @@ def parts_as_entries(part: DataFrame) -> DataFrame:
 
 def detect_shell(override: str | None = None, env: Mapping[str, str] | None = None, platform: str = sys.platform) -> str:
     """Shell named by the caller, else by SHELL, else by the platform."""
-    if override:
+    if override and override != "auto":
         return override
     env = os.environ if env is None else env
     named = env.get("SHELL", "").lower()
