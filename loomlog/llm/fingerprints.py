@@ -150,6 +150,12 @@ def likeness(one: tuple[int, np.ndarray, np.ndarray], two: tuple[int, np.ndarray
     return float(np.mean(left[used] == right[used])) if used.any() else float(a == b and np.array_equal(signs_a, signs_b))
 
 
+def dense_likeness(one: tuple[int, np.ndarray, np.ndarray], two: tuple[int, np.ndarray, np.ndarray]) -> float:
+    """Share of equal signatures among the dense subsets alone, in which most terms of a text survive."""
+    used = (one[1] > 0) | (two[1] > 0)
+    return float(np.mean(one[1][used] == two[1][used])) if used.any() else float(one[0] < 0 and two[0] < 0)
+
+
 def _rows_of(texts: list[str], terms: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
     out = []
     for lo, hi, data, offsets in slices(pa.array(texts, pa.large_string()), _CHUNK):
@@ -235,8 +241,10 @@ def _compare(shared):
                         pa.array([as_text(o) for o in other]),
                         pa.array([likeness(known[k], o) for k, o in zip(pairs, other)], pa.float64()),
                         pa.array([likeness(known[k], known[k + 1]) for k in pairs], pa.float64()),
+                        pa.array([dense_likeness(known[k], o) for k, o in zip(pairs, other)], pa.float64()),
+                        pa.array([dense_likeness(known[k], known[k + 1]) for k in pairs], pa.float64()),
                     ],
-                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "dense_edited", "dense_next"],
                 )
             del held[:-1], known[:-1]
 
@@ -261,6 +269,9 @@ def _compare(shared):
 def compare_edited(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are.
 
+    near_edited and near_next are likenesses over all subsets, dense_edited and dense_next those of the dense ones
+    alone (the published method, which finds copies with few changes).
+
     The edited text has its last floor(n/2) code points replaced by the first as many of the next
     document's, in descending order of doc_id (null last; rows that share a doc_id in the order of
     their texts' hashes; after the last comes the first).  Rows that repeat both lie in one run.
@@ -289,4 +300,4 @@ def compare_edited(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     dealt = rows.mapInArrow(_deal(cuts), "run int, sentinel int, place long, sum long, doc_id long, packed binary")
     ordered = dealt.repartitionById(len(cuts), F.col("run")).sortWithinPartitions("run", "sentinel", "place", "sum")
     shared = spark.sparkContext.broadcast(terms)  # at most MAX_TERMS
-    return ordered.mapInArrow(_compare(shared), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.mapInArrow(_compare(shared), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, dense_edited double, dense_next double")

@@ -51,3 +51,15 @@ def test_null_and_repeated_ids(spark):
 def test_edge_rows_and_documents(spark):
     check(spark, EDGE)
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()])
+
+
+def test_colliding_hashes_lose_no_row(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from loomlog.llm import jaccard_join
+
+    real = jaccard_join.hashes
+    # All rows whose id is below 4 have one first hash; the second tells them apart.
+    monkeypatch.setattr(jaccard_join, "hashes", lambda i, t: (F.when(i < 4, F.lit(77)).otherwise(real(i, t)[0]), real(i, t)[1]))
+    a, b, c, d = (text(x) for x in "abcd")
+    check(spark, [(1, a), (2, b), (3, c), (3, c), (4, text("a", [50])), (5, text("b", [3])), (6, d), (None, c)])

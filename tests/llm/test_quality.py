@@ -108,3 +108,48 @@ def test_no_labels_and_empty_tables(spark, model):
     m = quality.train_quality(spark.createDataFrame([(1, "a")], "doc_id long, text string"), none)
     assert quality.score_quality(spark.createDataFrame([(1, "a")], "doc_id long, text string"), m).first().score == 0.5
     assert quality.score_quality(empty, quality.train_quality(empty, none)).count() == 0
+
+
+def plain_ftrl(examples, size, epochs, alpha, beta, l1, l2, seed):
+    """Coordinate by coordinate."""
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in order.permutation(len(examples)):
+            slots, values, label = examples[k]
+            x = [*zip(slots.tolist(), values.tolist()), (size, 1.0)]
+            w = {i: weight(i) for i, _ in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x)))
+            for i, v in x:
+                g = (p - label) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return [weight(i) for i in range(size + 1)]
+
+
+def test_training_equals_plain_ftrl():
+    rng = np.random.default_rng(4)
+    examples = []
+    for _ in range(60):
+        slots = rng.choice(1 << 6, size=rng.integers(0, 12), replace=False).astype(np.int32)
+        examples.append((slots, rng.random(len(slots)).astype(np.float32), int(rng.integers(2))))
+    options = (3, 0.5, 1.0, 0.05, 0.5, 9)
+    weights, bias = quality.ftrl(examples, 6, *options)
+    want = plain_ftrl(examples, 1 << 6, *options)
+    assert np.allclose(weights, want[:-1], atol=1e-6) and bias == pytest.approx(want[-1], abs=1e-9) and np.count_nonzero(weights) > 20
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    scored = quality.score_quality(docs.select("doc_id", "text"), quality.train_quality(docs, labels))
+    rows = scored.join(labels, "doc_id").filter(quality.held_out(F.col("doc_id"))).collect()
+    good, bad = ([r.score for r in rows if r.quality == k] for k in (1, 0))
+    assert np.mean([x > y for x in good for y in bad]) > 0.97

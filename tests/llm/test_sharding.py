@@ -1,5 +1,6 @@
 """Sharding: every column against a plain version, the law, the groups of equal texts, and edge cases."""
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -81,3 +82,38 @@ def test_empty_and_own_dimensions(spark):
         ids = [r.doc_id for r in got if r.shard == s]
         assert min(ids) > last
         last = max(ids)
+
+
+def test_cuts_are_those_of_a_kd_tree(spark):
+    """Each half of shards is cut from the other at a weighted median of the dimension in which the node spreads most."""
+    table = spark.read.parquet(f"{DIR.replace('0.001', '0.01')}/documents.parquet")
+    shards = 24
+    rows = [(r.doc_id, r.text or "") for r in table.collect()]
+    place = {(r.doc_id, r.text_crc32): r.shard for r in kd_shards(table, shards).collect()}
+
+    def dims(t):
+        n = len(t.encode())
+        return math.log2(n + 1), len(t) / max(n, 1), t.count(" ") / max(n, 1)
+
+    every = [(dims(t), len(t.encode()) + 8, t, place[(i, zlib.crc32(t.encode()))]) for i, t in rows]
+    low, high = ([f(x[0][d] for x in every) for d in range(3)] for f in (min, max))
+    cell = lambda x, d: math.floor((x[0][d] - low[d]) / (high[d] - low[d]) * ((1 << 20) - 2)) + 1
+    target = sum(x[1] for x in every) / shards
+    weight = Counter()
+    for x in every:
+        weight[x[2]] += x[1]
+
+    def visit(members, first, n):
+        if n == 1 or not members:
+            return 0
+        left = [x for x in members if x[3] < first + n // 2]
+        right = [x for x in members if x[3] >= first + n // 2]
+        spread = [max(cell(x, d) for x in members) - min(cell(x, d) for x in members) for d in range(3)]
+        widest = [d for d in range(3) if spread[d] >= max(spread) - 2]  # a cell more or less is rounding
+        assert any(max(cell(x, d) for x in left) <= min(cell(x, d) for x in right) + 2 for d in widest)
+        # Off the median by no more than what stands together at the cut.
+        goal = sum(x[1] for x in members) * (n // 2) / n
+        assert abs(sum(x[1] for x in left) - goal) <= 0.002 * target + max(min(weight[x[2]], target / 4) for x in members) / 2 + max(x[1] for x in members) / 2
+        return 1 + visit(left, first, n // 2) + visit(right, first + n // 2, n - n // 2)
+
+    assert visit(every, 0, shards) == shards - 1
