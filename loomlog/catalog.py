@@ -370,6 +370,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "command_counts": lambda s, d: frequency.count_commands(_cleaned(s, d)).select("key", "count", "last_used"),
     "sequence_counts": lambda s, d: frequency.count_sequences(_cleaned(s, d)).select("key", "count", "last_used", "window"),
     "merged_counts": lambda s, d: frequency.merged_counts(_cleaned(s, d)).select("key", "count", "kind"),
+    "merged_counts_all": lambda s, d: frequency.merged_counts(_cleaned(s, d)).select("key", "count", "kind"),  # its name of an earlier release
     "totals": lambda s, d: totals(_cleaned(s, d)),
     "near_pairs": lambda s, d: frequency.near_pairs(frequency.count_commands(_parts(s, d)).withColumn("rank", frequency.rank())).select("low", "high"),
     "similar_groups": lambda s, d: frequency.group_similar(frequency.count_commands(_parts(s, d))).select("pattern", "frequency", F.array_join("variations", "|").alias("variations")),
@@ -471,6 +472,9 @@ UNION ALL SELECT source, 2 * i - 1, 'note ' || o_orderpriority || CASE WHEN k =
 }
 
 
+_SQL["merged_counts_all"] = _SQL["merged_counts"]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
