@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions.text import utf16
-from loomlog.operators.chunks import CHUNK, with_rows_after
+from loomlog.operators.chunks import CHUNK, small, with_rows_after
 from loomlog.operators.components import components
 from loomlog.session import checkpointed
 
@@ -17,6 +17,8 @@ MIN_FREQUENCY, TOP, THRESHOLD, SHORTEST, LONGEST = 5, 20, 3, 2, 5
 JOINER = " && "
 #: Near pairs that one task decides at once.
 MOST_PAIRS = 1 << 18
+#: Keys that share a segment above which they must share one more to meet.
+MOST_SHARING = 32
 
 
 def count_commands(entries: DataFrame) -> DataFrame:
@@ -59,33 +61,84 @@ def _segment(n: Column, i: Column, parts: int) -> tuple[Column, Column]:
     return (i * base + extra).cast("int"), (base + (i >= parts - longer).cast("int")).cast("int")
 
 
-def near_pairs(keys: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """low, low_rank, high, high_rank: keys within the edit distance, the leading one first.
+def _places(threshold: int) -> list[tuple[int, int, int]]:
+    """What a key looks for in keys that are not longer: their length less its own, segment number, shift of the segment.
 
-    Each key is cut into threshold + 1 segments.  Of two keys within the distance, one has a segment of
-    the other unchanged, near its old place; so keys are joined on length, segment number and segment,
-    where a key looks only at the places that the number of edits left and right of it admits.
+    The number of edits left and right of an unchanged segment bounds its shift.
     """
-    parts = threshold + 1
-    places = [  # length of the other key less own, segment number, and shift of the segment
+    return [
         (diff, i, shift)
-        for diff in range(-threshold, threshold + 1)
-        for i in range(parts)
+        for diff in range(-threshold, 1)
+        for i in range(threshold + 1)
         for shift in range(max(-i, -diff - (threshold - i)), min(i, -diff + threshold - i) + 1)
     ]
-    keys = keys.select("key", "rank", utf16(F.col("key")).alias("u"))
-    n = F.length("u")
-    cut = keys.select(F.col("key").alias("a"), F.col("u").alias("ua"), F.col("rank").alias("rank_a"), n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(threshold))).alias("i"))
-    start, size = _segment(F.col("n"), F.col("i"), parts)
-    index = cut.select("a", "ua", "rank_a", "n", "i", F.substr(F.col("ua"), start + 1, size).alias("segment"))
-    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("dis", place)]) for place in places])
-    seen = keys.select(F.col("key").alias("b"), F.col("u").alias("ub"), F.col("rank").alias("rank_b"), n.alias("own"), F.explode(table).alias("p"))
-    seen = seen.select("b", "ub", "rank_b", "own", (F.col("own") + F.col("p.d")).alias("n"), F.col("p.i").alias("i"), F.col("p.s").alias("shift"))
-    at = start + F.col("shift")
-    probes = seen.filter((F.col("n") >= 0) & (at >= 0) & (at + size <= F.col("own"))).select("b", "ub", "rank_b", "n", "i", F.substr(F.col("ub"), at + 1, size).alias("segment")).distinct()
-    near = (F.col("rank_a") < F.col("rank_b")) & (F.levenshtein("ua", "ub", threshold) >= 0)
-    met = index.join(probes, ["n", "i", "segment"]).filter(near)
-    return met.select(F.col("a").alias("low"), F.col("rank_a").alias("low_rank"), F.col("b").alias("high"), F.col("rank_b").alias("high_rank")).distinct()
+
+
+def _met(token: Column, n: Column, i: Column, at: Column, size: Column) -> list[Column]:
+    """The token of a segment of ``rest``, which extends the token so far, and what is left of rest without it."""
+    rest = F.col("rest")
+    met = F.xxhash64(token, n, i, F.substr(rest, at + 1, size)).alias("token")
+    return [met, F.concat(F.left(rest, at), F.substr(rest, at + size + 1)).alias("rest")]
+
+
+def _index(rows: DataFrame, threshold: int) -> DataFrame:
+    """token, id, rest of each segment of the rests (token, id, rest)."""
+    cut = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(threshold))))
+    n = F.length("rest")
+    return cut.select("id", *_met(F.col("token"), n, F.col("i"), *_segment(n, F.col("i"), threshold + 1)))
+
+
+def _probes(rows: DataFrame, threshold: int) -> DataFrame:
+    """token, id, d, rest of each place where a segment of a rest shorter by -d may lie in the rests (token, id, d, rest)."""
+    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("dis", place)]) for place in _places(threshold)])
+    seen = rows.withColumn("p", F.explode(F.filter(table, lambda p: F.col("d").isNull() | (p["d"] == F.col("d")))))
+    n = F.length("rest") + F.col("p.d")
+    start, size = _segment(n, F.col("p.i"), threshold + 1)
+    at = start + F.col("p.s")
+    fits = seen.filter((n >= 0) & (at >= 0) & (at + size <= F.length("rest")))
+    return fits.select("id", F.col("p.d").alias("d"), *_met(F.col("token"), n, F.col("p.i"), at, size))
+
+
+def _candidates(keys: DataFrame, threshold: int, most: int, depth: int) -> DataFrame:
+    """Pairs of ids (a, b; a is not longer) among which all near ones are; keys: id, rest."""
+    index = _index(keys.withColumn("token", F.lit(0).cast("long")), threshold)
+    probes = _probes(keys.select("id", "rest", F.lit(0).cast("long").alias("token"), F.lit(None).cast("int").alias("d")), threshold)
+    out = None
+    for level in range(depth):
+        last = level == depth - 1
+        hot = None if last else checkpointed(index.groupBy("token").count().filter(F.col("count") > most).select("token"))
+        n_hot = 0 if last else hot.count()
+        rare, asked = index, probes
+        if n_hot:
+            hot = small(hot, n_hot)
+            rare, asked = index.join(hot, "token", "left_anti"), probes.join(hot, "token", "left_anti")
+        met = rare.select("token", F.col("id").alias("a")).join(asked.select("token", "d", F.col("id").alias("b")), "token").filter((F.col("d") < 0) | (F.col("a") <= F.col("b"))).select("a", "b")
+        out = met if out is None else out.unionByName(met)
+        if not n_hot:
+            return out.distinct()
+        index = checkpointed(_index(index.join(hot, "token", "left_semi"), threshold))
+        probes = checkpointed(_probes(probes.join(hot, "token", "left_semi"), threshold))
+    return out.distinct()
+
+
+def near_pairs(keys: DataFrame, threshold: int = THRESHOLD, most: int = MOST_SHARING, depth: int = 4) -> DataFrame:
+    """low, low_rank, high, high_rank: keys within the edit distance, the leading one first.
+
+    Each key is cut into threshold + 1 segments.  Of two keys within the distance, the longer has a segment
+    of the other unchanged, near its old place, so keys meet on length, segment number and segment.  What is left
+    of both without that segment is within the distance as well: where more than ``most`` keys share a segment they
+    meet on a segment of what is left too, and so on, ``depth`` times at most.  So a key meets a bounded number of
+    others at each place, unless more than that agree in two thirds of their text; of those most are near indeed.
+    """
+    keys = keys.select("key", "rank", utf16(F.col("key")).alias("u")).withColumn("id", F.xxhash64("u"))
+    met = _candidates(keys.select("id", F.col("u").alias("rest")), threshold, most, depth)
+    a, b = (keys.select(F.col("id").alias(x), F.col("key").alias(f"key_{x}"), F.col("u").alias(f"u_{x}"), F.col("rank").alias(f"rank_{x}")) for x in "ab")
+    # Ids are hashes: keys whose hashes collide all take part, and what each pair is worth the distance says.
+    near = met.join(a, "a").join(b, "b").filter((F.col("key_a") != F.col("key_b")) & (F.levenshtein("u_a", "u_b", threshold) >= 0))
+    first = F.col("rank_a") < F.col("rank_b")
+    pick = lambda c, x, y: F.when(first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
+    out = near.select(pick("key", "a", "b").alias("low"), pick("rank", "a", "b").alias("low_rank"), pick("key", "b", "a").alias("high"), pick("rank", "b", "a").alias("high_rank"))
+    return out.distinct()
 
 
 def _led(batch: pa.Table) -> pa.Table:

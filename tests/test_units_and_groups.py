@@ -130,3 +130,15 @@ def test_messages(spark, tmp_path, capsys, monkeypatch):
     cache = {"shell": "zsh", "suggestions": [{}]}
     assert "made for zsh" in commands.shell_mismatch(cache, "bash") and commands.shell_mismatch(cache, "zsh") is None
     assert commands.shell_mismatch({"shell": "zsh", "suggestions": []}, "bash") is None and commands.shell_mismatch(None, "bash") is None
+
+
+@pytest.mark.parametrize(("most", "depth"), [(1, 4), (2, 2), (10**6, 4)])
+def test_near_pairs_with_shared_segments(spark, most, depth):
+    rng = random.Random(most)
+    heads = ["git commit -m ", "docker run ", ""]
+    keys = sorted({rng.choice(heads) + "".join(rng.choice("ab é😀") for _ in range(rng.randint(0, 9))) for _ in range(90)})
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, rank int")
+    for threshold in (0, 1, 3):
+        got = [(r.low, r.high) for r in frequency.near_pairs(df, threshold, most, depth).collect()]
+        want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if distance(units(a), units(b)) <= threshold}
+        assert set(got) == want and len(got) == len(want)
