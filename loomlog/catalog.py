@@ -11,7 +11,9 @@ from loomlog.functions import text as T
 from loomlog.operators import clean, frequency, redact, responses, safety
 from loomlog.operators.assemble import assemble, extended_entries, is_extended, plain_entries
 from loomlog.operators.search import command_stats, search
+from loomlog.operators.search_index import build_index, search_index
 from loomlog.plans.commands import totals
+from loomlog.session import shared_folder
 from loomlog.sources.history import ALL_LINES, events_as_entries, lines_of, parts_as_entries, tail_lines, texts_as_one
 
 
@@ -348,6 +350,12 @@ def _reviewed(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", s.alias("status"), F.col("p_name").alias("code"), F.when(F.col("p_size") > 25, F.upper("p_name")).alias("edited_code"))
 
 
+def _search_indexed(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    path = shared_folder(spark, "index")
+    build_index(_parts(spark, sf_dir), path)
+    return search_index(spark, path, query, 10).select("command", "score", "frequency", "line_number")
+
+
 def _q_scrub_lines(spark, sf_dir):
     """Every line of documents, all kinds; its lookbehinds have no SQL, scrub_kinds and tests/test_redact.py have each kind."""
     return redact.scrub_column(_documents_lines(spark, sf_dir).select("source", "line_idx", "raw"), "raw")
@@ -381,6 +389,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "command_stats": lambda s, d: command_stats(_parts(s, d)).select("command", "frequency", "line_number"),
     "search": lambda s, d: search(_parts(s, d), _SEARCHED, 10).select("command", "score", "frequency", "line_number"),
     "search_typo": lambda s, d: search(_parts(s, d), "stell", 10).select("command", "score", "frequency", "line_number"),
+    "search_indexed": lambda s, d: _search_indexed(s, d, _SEARCHED),
+    "search_indexed_typo": lambda s, d: _search_indexed(s, d, "stell"),
     "scores": _q_scores,
     "scalars": _q_scalars,
     "scrub_kinds": _q_scrub_kinds,
@@ -448,6 +458,8 @@ UNION ALL SELECT CAST(o_custkey AS VARCHAR), 2 * i - 1, 'note ' || o_orderpriori
     "command_stats": "SELECT p_name || ' ' || p_type AS command, count(*) AS frequency, CAST(max(p_partkey) AS INTEGER) AS line_number FROM part GROUP BY 1",
     "search": _search_sql("almond steel", ["almond", "steel"]),
     "search_typo": _search_sql("stell", ["stell"]),
+    "search_indexed": _search_sql(_SEARCHED, ["almond", "steel"]),
+    "search_indexed_typo": _search_sql("stell", ["stell"]),
     "scores": "WITH s AS (SELECT event_type AS command, count(*) AS frequency, max(ts) AS u FROM events GROUP BY 1), m AS (SELECT max(frequency) AS most, max(u) AS newest FROM s) SELECT command, frequency, round(CASE WHEN most <= 1 THEN 0 ELSE ln(1 + frequency) / ln(1 + most) END, 9) AS frequency_score, round(CASE WHEN epoch_ms(newest) - epoch_ms(u) <= 0 THEN 1 ELSE greatest(0.0, 1 - (epoch_ms(newest) - epoch_ms(u)) / 2592000000.0) END, 9) AS recency_score FROM s, m",
     "scalars": r"""SELECT p_partkey, upper(p_name[1]) || p_name[2:] AS capital, CASE WHEN length(p_name) <= 12 THEN p_name ELSE p_name[1:9] || '...' END AS short, p_name || '\|\` ' || p_name AS escaped, CAST(CAST(floor(p_size / CAST(1000 AS DOUBLE) * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS VARCHAR) || '%' AS percent, floor(p_retailprice / CAST(7 AS DOUBLE) * 1000 + CAST(0.5 AS DOUBLE)) / CAST(1000 AS DOUBLE) AS rounded, format('{:,}', p_partkey * 1237) AS thousands, strftime(make_timestamp(p_partkey * 98765431 * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS iso FROM part""",
     "scrub_kinds": "SELECT p_partkey, CAST(kind AS INTEGER) AS kind, replace(kept, '{n}', lpad(CAST(p_partkey AS VARCHAR), 7, '0')) AS raw, CAST(CASE WHEN kind < 17 THEN 1 ELSE 0 END AS INTEGER) AS redacted_count FROM part, (VALUES " + ", ".join(f"({k}, {_quote(b)})" for k, (_, b) in enumerate(_SECRETS)) + ") AS t(kind, kept)",

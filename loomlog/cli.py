@@ -28,11 +28,17 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--format", default="markdown" if name == "report" else "table", choices=("json", "markdown") if name == "report" else ("table", "json", "markdown"))
         if name == "search":
             s.add_argument("query")
+            s.add_argument("--index", help="search this index instead of the history")
             s.add_argument("--max-results", type=int, default=10)
             s.add_argument("--explain", action="store_true", help="ask the generator about the best result")
         if name == "suggest":
             s.add_argument("--interactive", action="store_true", help="choose suggestions one by one")
         s.add_argument("--output")
+    i = sub.add_parser("index")
+    i.add_argument("folder", help="a new folder for the index")
+    i.add_argument("--shell", choices=("auto", "bash", "zsh", "powershell"), default="auto")
+    i.add_argument("--history-file")
+    i.add_argument("--output")
     a = sub.add_parser("apply")
     a.add_argument("--output", help="default: ~/.loomlog_aliases.sh, for PowerShell ~/.loomlog_profile.ps1")
     a.add_argument("--append-to")
@@ -82,7 +88,7 @@ def main(argv: list[str] | None = None) -> int:
             r = commands.analyze(spark, o.shell, o.history_file, o.min_frequency or 5, o.top or 20, o.max_lines)
             text = render.analysis_json(r) if o.format == "json" else render.analysis_markdown(r, o.min_frequency) if o.format == "markdown" else render.analysis_table(r, o.min_frequency)
         elif o.command == "search":
-            rows = commands.run_search(spark, o.query, o.shell, o.history_file, o.max_results or 10)
+            rows = commands.run_search(spark, o.query, o.shell, o.history_file, o.max_results or 10, o.index)
             if not rows:
                 print("No matching commands found. Try a broader query, or look at the history file.", file=sys.stderr)
                 return 0
@@ -90,6 +96,8 @@ def main(argv: list[str] | None = None) -> int:
             if o.explain:
                 said = commands.explain(make_generator(spark), spark, rows[0]["command"])
                 text += f"\n\nAbout `{rows[0]['command']}`:\n{said}" if said else "\n\nNo explanation could be had: is the generator installed and logged in?"
+        elif o.command == "index":
+            text = commands.index(spark, o.folder, o.shell, o.history_file)
         elif o.command == "suggest":
             generator = make_generator(spark)
             found = commands.suggest(spark, generator, o.shell, o.history_file, o.min_frequency or 5, files.suggestions_path(), _review(spark, o.interactive))

@@ -11,9 +11,10 @@ from loomlog.operators import frequency, redact, responses, safety
 from loomlog.operators.assemble import assemble
 from loomlog.operators.clean import clean
 from loomlog.operators.search import search
+from loomlog.operators.search_index import build_index, search_index
 from loomlog.plans import files, render
 from loomlog.plans.generator import Generator
-from loomlog.sources.history import DEFAULT_LINES, detect_shell, history_path
+from loomlog.sources.history import ALL_LINES, DEFAULT_LINES, detect_shell, history_path
 from loomlog.sources.tail import read_tail
 
 
@@ -75,7 +76,22 @@ def analyze(spark: SparkSession, shell: str | None = None, history_file: str | N
     return analyze_entries(*load_entries(spark, shell, history_file, max_lines), min_frequency, top)
 
 
-def run_search(spark: SparkSession, query: str, shell: str | None = None, history_file: str | None = None, max_results: int | None = None) -> list[dict]:
+def index(spark: SparkSession, folder: str, shell: str | None = None, history_file: str | None = None, max_lines: int | None = None) -> str:
+    """Build the index of a history in a new folder, for ``run_search``; returns what to tell the user.
+
+    max_lines: none by default, so that the whole history is indexed.
+    """
+    entries, _, path = load_entries(spark, shell, history_file, max_lines or ALL_LINES)
+    if entries.isEmpty():
+        raise HistoryEmpty(path)
+    build_index(entries, folder)
+    return f"The commands of {path} are indexed in {folder}; search them with --index {folder}."
+
+
+def run_search(spark: SparkSession, query: str, shell: str | None = None, history_file: str | None = None, max_results: int | None = None, folder: str | None = None) -> list[dict]:
+    """The best matches in a history, or in the index that ``folder`` holds."""
+    if folder:
+        return _rows(search_index(spark, folder, query, max_results))
     entries, _, path = load_entries(spark, shell, history_file)
     found = _rows(search(entries, query, max_results))
     if not found and entries.isEmpty():
