@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
         if name in ("analyze", "report"):
             s.add_argument("--top", type=int, default=20)
             s.add_argument("--max-lines", type=int, default=5000)
+            s.add_argument("--alerts-to", help="a new folder for the safety alerts if there are too many to print")
         if name in ("analyze", "search", "report"):
             s.add_argument("--format", default="markdown" if name == "report" else "table", choices=("json", "markdown") if name == "report" else ("table", "json", "markdown"))
         if name == "search":
@@ -85,7 +86,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         if o.command == "analyze":
-            r = commands.analyze(spark, o.shell, o.history_file, o.min_frequency or 5, o.top or 20, o.max_lines)
+            r = commands.analyze(spark, o.shell, o.history_file, o.min_frequency or 5, o.top or 20, o.max_lines, o.alerts_to)
             text = render.analysis_json(r) if o.format == "json" else render.analysis_markdown(r, o.min_frequency) if o.format == "markdown" else render.analysis_table(r, o.min_frequency)
         elif o.command == "search":
             rows = commands.run_search(spark, o.query, o.shell, o.history_file, o.max_results or 10, o.index)
@@ -105,7 +106,7 @@ def main(argv: list[str] | None = None) -> int:
                 print(problem, file=sys.stderr)
             text = render.suggestions_text(found) if o.output else render.suggestions_terminal(found)
         else:
-            text = commands.report(spark, o.format, files.suggestions_path(), warn=lambda said: print(said, file=sys.stderr), shell=o.shell, history_file=o.history_file, min_frequency=o.min_frequency or 5, top=o.top or 20, max_lines=o.max_lines)
+            text = commands.report(spark, o.format, files.suggestions_path(), warn=lambda said: print(said, file=sys.stderr), shell=o.shell, history_file=o.history_file, min_frequency=o.min_frequency or 5, top=o.top or 20, max_lines=o.max_lines, alerts_to=o.alerts_to)
     except GeneratorMissing as e:
         print(e, file=sys.stderr)
         return 1

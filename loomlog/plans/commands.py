@@ -14,10 +14,16 @@ from loomlog.operators.search import search
 from loomlog.operators.search_index import build_index, search_index
 from loomlog.plans import files, render
 from loomlog.plans.generator import Generator
-from loomlog.sources.history import ALL_LINES, DEFAULT_LINES, detect_shell, history_path
+from loomlog.session import shared_folder
+from loomlog.sources.history import DEFAULT_LINES, detect_shell, history_path, scan_lines
 from loomlog.sources.tail import read_tail
 
 
+#: Alerts that the driver holds and a command prints; if there are more, all of them go to files.
+MOST_ALERTS = 10_000
+_WHOLE = 1 << 62
+
+
 class HistoryMissing(FileNotFoundError):
     """The history file is not there; ``tip`` says whether its place was a guess."""
 
@@ -26,17 +32,17 @@ class HistoryMissing(FileNotFoundError):
         self.tip = tip
 
 
-def load_entries(spark: SparkSession, shell: str | None = None, history_file: str | None = None, max_lines: int | None = DEFAULT_LINES) -> tuple[DataFrame, str, str]:
-    """Cleaned entries, the shell and the path."""
+def load_entries(spark: SparkSession, shell: str | None = None, history_file: str | None = None, max_lines: int | None = DEFAULT_LINES, whole: bool = False) -> tuple[DataFrame, str, str]:
+    """Cleaned entries, the shell and the path; of the whole history, scanned in many tasks, or of its last lines."""
     shell = detect_shell(shell)
     path, origin = history_path(shell, history_file)
     try:
-        lines = read_tail(spark, path, max_lines)
+        lines = scan_lines(spark, path) if whole else read_tail(spark, path, max_lines)
     except Exception as e:
         if isinstance(e, FileNotFoundError) or "PATH_NOT_FOUND" in str(e):
             raise HistoryMissing(path, origin == "default") from e
         raise
-    return clean(assemble(lines, shell, max_lines)), shell, path
+    return clean(assemble(lines, shell, _WHOLE if whole else max_lines)), shell, path
 
 
 class HistoryEmpty(ValueError):
@@ -54,7 +60,28 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def analyze_entries(entries: DataFrame, shell: str, path: str, min_frequency: int | None = None, top: int | None = None) -> dict:
+def _alerts(entries: DataFrame, folder: str | None, most: int) -> dict:
+    """The first alerts, how many there are, and, if those are not all, the folder that holds all of them.
+
+    Its files are in order and so are the lines of each, one JSON object a line.
+    """
+    found = safety.safety_alerts(entries)
+    head = _rows(found.limit(most + 1))
+    n, written = len(head), None
+    if n > most:
+        spark = entries.sparkSession
+        written = folder or shared_folder(spark, "alerts")
+        found.write.json(written)  # sorted by ranges, so no task holds all
+        n = spark.read.schema(found.schema).json(written).count()
+    alerts = [{k: r[k] for k in ("pattern", "frequency", "risk", "safer_alternative")} for r in head[:most]]
+    return {"alerts": alerts, "n_alerts": n, "alerts_folder": written}
+
+
+def analyze_entries(entries: DataFrame, shell: str, path: str, min_frequency: int | None = None, top: int | None = None, alerts_to: str | None = None, most_alerts: int = MOST_ALERTS) -> dict:
+    """What analyze and report show.
+
+    alerts_to: a new folder for the alerts, used only if there are more than ``most_alerts``; else one in the shared folder.
+    """
     entries = entries.persist()
     try:
         n = totals(entries).first()
@@ -66,22 +93,19 @@ def analyze_entries(entries: DataFrame, shell: str, path: str, min_frequency: in
             "total_commands": n["total_commands"],
             "unique_commands": n["unique_commands"],
             "patterns": _rows(frequency.analyze_frequency(entries, min_frequency, top)),
-            "alerts": [{k: r[k] for k in ("pattern", "frequency", "risk", "safer_alternative")} for r in _rows(safety.safety_alerts(entries))],
+            **_alerts(entries, alerts_to, most_alerts),
         }
     finally:
         entries.unpersist()
 
 
-def analyze(spark: SparkSession, shell: str | None = None, history_file: str | None = None, min_frequency: int | None = None, top: int | None = None, max_lines: int | None = DEFAULT_LINES) -> dict:
-    return analyze_entries(*load_entries(spark, shell, history_file, max_lines), min_frequency, top)
-
+def analyze(spark: SparkSession, shell: str | None = None, history_file: str | None = None, min_frequency: int | None = None, top: int | None = None, max_lines: int | None = DEFAULT_LINES, alerts_to: str | None = None) -> dict:
+    return analyze_entries(*load_entries(spark, shell, history_file, max_lines), min_frequency, top, alerts_to)
 
-def index(spark: SparkSession, folder: str, shell: str | None = None, history_file: str | None = None, max_lines: int | None = None) -> str:
-    """Build the index of a history in a new folder, for ``run_search``; returns what to tell the user.
 
-    max_lines: none by default, so that the whole history is indexed.
-    """
-    entries, _, path = load_entries(spark, shell, history_file, max_lines or ALL_LINES)
+def index(spark: SparkSession, folder: str, shell: str | None = None, history_file: str | None = None) -> str:
+    """Build the index of a whole history in a new folder, for ``run_search``; returns what to tell the user."""
+    entries, _, path = load_entries(spark, shell, history_file, whole=True)
     if entries.isEmpty():
         raise HistoryEmpty(path)
     build_index(entries, folder)

@@ -50,9 +50,22 @@ def _alert(a: dict) -> dict:
     return {"pattern": a["pattern"], "frequency": a["frequency"], "risk": a["risk"], "saferAlternative": a["safer_alternative"]}
 
 
+def _n_alerts(r: dict) -> int:
+    return r.get("n_alerts", len(r["alerts"]))
+
+
+def _folder(r: dict) -> dict:
+    return {"allSafetyAlerts": r["alerts_folder"]} if r.get("alerts_folder") else {}
+
+
+def _elsewhere(r: dict) -> list[str]:
+    """Where the alerts are that are not shown."""
+    return ["", f"The first {len(r['alerts'])} are shown; all {_n_alerts(r)} are in {r['alerts_folder']}."] if r.get("alerts_folder") else []
+
+
 def analysis_json(r: dict) -> str:
     head = {"shell": r["shell"], "historyFile": r["history_file"], "totalCommands": r["total_commands"], "uniqueCommands": r["unique_commands"]}
-    return dumps(head | {"patterns": [_pattern(p) for p in r["patterns"]], "safetyAlerts": [_alert(a) for a in r["alerts"]]})
+    return dumps(head | {"patterns": [_pattern(p) for p in r["patterns"]], "safetyAlerts": [_alert(a) for a in r["alerts"]]} | _folder(r))
 
 
 def _boxed(lines: list[str]) -> list[str]:
@@ -70,7 +83,7 @@ def analysis_table(r: dict, min_frequency: int = 5) -> str:
     out += ["", f"TOP REPEATED PATTERNS (min frequency: {min_frequency})", "", "Rank  Count  Pattern", "─" * 68]
     out += [f"{i:>4}  {p['frequency']:>5}    {p['pattern']}" for i, p in enumerate(r["patterns"], 1)] or ["  No patterns found matching the criteria."]
     if r["alerts"]:
-        out += ["", f"⚠️  SAFETY ALERTS: {len(r['alerts'])} dangerous pattern{_s(len(r['alerts']))} detected"]
+        out += ["", f"⚠️  SAFETY ALERTS: {_n_alerts(r)} dangerous pattern{_s(_n_alerts(r))} detected", *_elsewhere(r)]
     for a in r["alerts"]:
         out += ["", f"  ● {a['pattern']} ({a['frequency']}×)", f"    Risk: {a['risk']}", f"    Fix:  {a['safer_alternative']}"]
     return "\n".join([*out, "", "Use 'suggest' to generate automation recommendations."])
@@ -87,7 +100,7 @@ def analysis_markdown(r: dict, min_frequency: int = 5) -> str:
     out = [f"# {TITLE} - History Analysis", "", f"**Shell:** {f['Shell']}  ", f"**History File:** `{f['History file']}`  ", f"**Total Commands:** {f['Total commands']}  ", f"**Unique Commands:** {f['Unique commands']}", "", "---", ""]
     out += [f"## Top Repeated Patterns (min frequency: {min_frequency})", "", *_table(r["patterns"], "_No patterns found matching the criteria._")]
     if r["alerts"]:
-        out += ["", "---", "", f"## Safety Alerts ({len(r['alerts'])} dangerous pattern{_s(len(r['alerts']))} detected)", ""]
+        out += ["", "---", "", f"## Safety Alerts ({_n_alerts(r)} dangerous pattern{_s(_n_alerts(r))} detected)", *_elsewhere(r), ""]
     for i, a in enumerate(r["alerts"], 1):
         out += [f"### Alert {i}: `{escape(a['pattern'])}`", "", f"**Frequency:** {a['frequency']} times  ", f"**Risk:** {a['risk']}  ", f"**Safer Alternative:** {a['safer_alternative']}", ""]
     return "\n".join([*out, "", "---", "", "_Use `suggest` to generate automation recommendations._", ""])
@@ -97,7 +110,7 @@ def report_markdown(r: dict, suggestions: list[dict], generated_at: str | None =
     when = (generated_at or iso(datetime.now(UTC)))[:19].replace("T", " ")
     f, rule = dict(_facts(r)), ["", "---", ""]
     out = [f"# {TITLE} Report", "", f"**Generated:** {when}  ", f"**Shell:** {f['Shell']}  ", f"**History File:** `{f['History file']}`", *rule]
-    out += ["## Summary", "", f"- **Total Commands:** {f['Total commands']}", f"- **Unique Commands:** {f['Unique commands']}", f"- **Automation Opportunities Found:** {len(suggestions)}", f"- **Safety Alerts:** {len(r['alerts'])}", *rule]
+    out += ["## Summary", "", f"- **Total Commands:** {f['Total commands']}", f"- **Unique Commands:** {f['Unique commands']}", f"- **Automation Opportunities Found:** {len(suggestions)}", f"- **Safety Alerts:** {_n_alerts(r)}", *rule]
     out += ["## Top Repeated Patterns", "", *_table(r["patterns"][:10], "_No patterns found._"), *rule]
     if suggestions:
         out += ["## Suggested Automations", ""]
@@ -112,11 +125,11 @@ def report_markdown(r: dict, suggestions: list[dict], generated_at: str | None =
             out += ["", f"**Rationale:** {s['explanation']}"]
         out += rule
     if r["alerts"]:
-        out += ["## Safety Alerts", ""]
+        out += ["## Safety Alerts", *_elsewhere(r), ""]
     for i, a in enumerate(r["alerts"], 1):
         out += [f"### Alert {i}: `{escape(a['pattern'])}`", "", f"**Frequency:** {a['frequency']} times  ", f"**Risk:** {a['risk']}", "", "**Safer Alternative:**", "", "```bash", a["safer_alternative"], "```", *rule]
     out += ["## Recommendations", ""]
-    n, m = len(suggestions), len(r["alerts"])
+    n, m = len(suggestions), _n_alerts(r)
     out += [f"1. Look through the {n} suggestion{_s(n)} above and apply what helps"] * bool(n)
     out += [f"2. Replace the {m} dangerous pattern{_s(m)} by the alternatives given"] * bool(m)
     out += [f"{3 if n or m else 1}. Repeat `analyze` from time to time, as habits change", *rule]
@@ -124,8 +137,8 @@ def report_markdown(r: dict, suggestions: list[dict], generated_at: str | None =
 
 
 def report_json(r: dict, suggestions: list[dict], generated_at: str | None = None) -> str:
-    counts = {"totalCommands": r["total_commands"], "uniqueCommands": r["unique_commands"], "automationOpportunities": len(suggestions), "safetyAlerts": len(r["alerts"])}
-    return dumps({"generatedAt": generated_at or iso(datetime.now(UTC)), "shell": r["shell"], "historyFile": r["history_file"], "summary": counts, "patterns": [_pattern(p) for p in r["patterns"]], "suggestions": suggestions, "safetyAlerts": [_alert(a) for a in r["alerts"]]})
+    counts = {"totalCommands": r["total_commands"], "uniqueCommands": r["unique_commands"], "automationOpportunities": len(suggestions), "safetyAlerts": _n_alerts(r)}
+    return dumps({"generatedAt": generated_at or iso(datetime.now(UTC)), "shell": r["shell"], "historyFile": r["history_file"], "summary": counts, "patterns": [_pattern(p) for p in r["patterns"]], "suggestions": suggestions, "safetyAlerts": [_alert(a) for a in r["alerts"]]} | _folder(r))
 
 
 def search_table(rows: list[dict], query: str) -> str:
