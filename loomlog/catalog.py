@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from loomlog.functions import text as T
 from loomlog.operators import clean, frequency, redact, responses, safety
 from loomlog.operators.assemble import assemble, extended_entries, is_extended, plain_entries
+from loomlog.operators.chunks import CHUNK, in_chunks
 from loomlog.operators.search import command_stats, search
 from loomlog.operators.search_index import build_index, search_index
 from loomlog.plans.commands import totals
-from loomlog.session import shared_folder
+from loomlog.session import shared_folder, stored_by
 from loomlog.sources.history import ALL_LINES, events_as_entries, lines_of, parts_as_entries, tail_lines, texts_as_one
 
 
@@ -337,8 +338,13 @@ def _one_log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _q_one_log_sequences(spark, sf_dir):
-    runs = frequency.count_sequences(clean.clean(_one_log_entries(spark, sf_dir)))
-    return runs.select(F.md5("key").alias("key"), "count", F.unix_seconds("last_used").alias("last_used"), "window")
+    lines = _one_log(spark, sf_dir)
+    first = lines.select("n_lines").first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, first["n_lines"] // (2 * CHUNK) if first else 0))
+    # The commands are moved once, to the task that holds their chunk; of the runs only digests are.
+    entries = stored_by(in_chunks(clean.drop_noise(assemble(lines, max_lines=ALL_LINES))), "entries", parts, "source", "chunk")
+    runs = frequency.count_sequences(clean.drop_repeats(entries), known_by=frequency.digest)
+    return runs.select(F.lower(F.hex(F.substr("key", F.lit(1), F.lit(16)))).alias("key"), "count", F.unix_seconds("last_used").alias("last_used"), "window")
 
 
 def _q_alert_suggestions(spark, sf_dir):

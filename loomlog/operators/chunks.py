@@ -2,7 +2,8 @@
 
 A chunk is a range of places (line_idx or ord) of one source.  What a row needs from other chunks is
 either a state at the chunk's begin, which follows from one summary row per chunk (a scan over
-summaries, not over rows), or a few neighbouring rows, which are copied over the border (a halo).
+summaries, not over rows), or a few neighbouring rows, which come as a column of one row per chunk, so that
+the rows themselves stay in the task that holds their chunk.
 """
 
 from __future__ import annotations
@@ -36,27 +37,25 @@ def several(summaries: DataFrame) -> DataFrame:
     return summaries.withColumn("_n", F.count("*").over(Window.partitionBy("source"))).filter("_n > 1").drop("_n")
 
 
-def with_row_before(entries: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """entries with chunk and own; each chunk also holds the last row of the chunk before (own is false)."""
-    names = entries.columns
-    rows = entries.withColumn("chunk", chunk_of("ord", chunk))
-    last = rows.groupBy("source", "chunk").agg(F.max_by(F.struct(*names), F.col("ord")).alias("row"))
-    before = last.select("source", "chunk", F.lag("row").over(Window.partitionBy("source").orderBy("chunk")).alias("row")).filter("row IS NOT NULL")
-    halo = before.select("chunk", "row.*").select(*names, "chunk", F.lit(False).alias("own"))
-    return rows.withColumn("own", F.lit(True)).unionByName(halo)
+def in_chunks(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """rows with the chunk of their ord; rows that have a chunk keep it, and with it the tasks that they are dealt to."""
+    return rows if "chunk" in rows.columns else rows.withColumn("chunk", chunk_of("ord", chunk))
 
 
-def with_rows_after(entries: DataFrame, n: int, chunk: int = CHUNK) -> DataFrame:
-    """entries with chunk and own; each chunk also holds the n rows of its source that follow it (own is false)."""
-    names = entries.columns
-    rows = entries.withColumn("chunk", chunk_of("ord", chunk))
+def last_before(rows: DataFrame, value: str) -> DataFrame:
+    """source, chunk, ``value`` of the last row (source, chunk, ord, value) before the chunk, where there is one."""
+    last = rows.groupBy("source", "chunk").agg(F.max_by(value, "ord").alias(value))
+    return last.withColumn(value, F.lag(value).over(Window.partitionBy("source").orderBy("chunk"))).filter(F.col(value).isNotNull())
+
+
+def rows_after(rows: DataFrame, n: int) -> DataFrame:
+    """source, chunk, after: the n rows of the source that follow a chunk, in order, where there are any."""
     nth = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("ord"))
     # Nothing precedes the chunk 0, so short sources take no part in this.
-    heads = rows.filter("chunk > 0").withColumn("_nth", nth).filter(F.col("_nth") <= n).groupBy("source", "chunk").agg(F.sort_array(F.collect_list(F.struct("ord", *[c for c in names if c != "ord"]))).alias("head"))
+    of = F.struct("ord", *[c for c in rows.columns if c not in ("source", "chunk", "ord")])
+    heads = rows.filter("chunk > 0").withColumn("_nth", nth).filter(F.col("_nth") <= n).groupBy("source", "chunk").agg(F.sort_array(F.collect_list(of)).alias("head"))
     # Only chunks that have rows of their own receive any.
     own = rows.select("source", "chunk").distinct()
     held = own.join(heads, ["source", "chunk"], "left").withColumn("head", F.coalesce("head", F.array().cast(heads.schema["head"].dataType)))
-    after = Window.partitionBy("source").orderBy("chunk").rowsBetween(1, n)
-    given = held.select("source", "chunk", F.slice(F.flatten(F.collect_list("head").over(after)), 1, n).alias("head")).filter(F.size("head") > 0)
-    halo = given.select(F.col("chunk").alias("_to"), F.explode("head").alias("row")).select("_to", "row.*").select(*names, F.col("_to").alias("chunk"), F.lit(False).alias("own"))
-    return rows.withColumn("own", F.lit(True)).unionByName(halo)
+    later = Window.partitionBy("source").orderBy("chunk").rowsBetween(1, n)
+    return held.select("source", "chunk", F.slice(F.flatten(F.collect_list("head").over(later)), 1, n).alias("after")).filter(F.size("after") > 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions.text import trim_all, utf16_length
-from loomlog.operators.chunks import CHUNK, with_row_before
+from loomlog.operators.chunks import CHUNK, in_chunks, last_before
 
 #: Commands that say nothing (fixed values).
 NOISE = ("ls", "cd", "clear", "exit", "pwd", "history")
@@ -23,9 +23,11 @@ def drop_noise(entries: DataFrame) -> DataFrame:
 
 def drop_repeats(entries: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Of each run of equal commands in a source the first."""
-    before = F.lag("command").over(Window.partitionBy("source", "chunk").orderBy("ord"))
-    rows = with_row_before(entries, chunk).withColumn("_before", before)
-    return rows.filter("own AND (_before IS NULL OR _before <> command)").drop("_before", "chunk", "own")
+    rows = in_chunks(entries, chunk)
+    first = last_before(rows.select("source", "chunk", "ord", F.col("command").alias("_first")), "_first")
+    before = F.coalesce(F.lag("command").over(Window.partitionBy("source", "chunk").orderBy("ord")), "_first")
+    kept = rows.join(first, ["source", "chunk"], "left").withColumn("_before", before)
+    return kept.filter("_before IS NULL OR _before <> command").select(*entries.columns)
 
 
 def clean(entries: DataFrame, chunk: int = CHUNK) -> DataFrame:

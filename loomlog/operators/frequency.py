@@ -4,12 +4,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions.text import utf16
-from loomlog.operators.chunks import CHUNK, small, with_rows_after
+from loomlog.operators.chunks import CHUNK, in_chunks, rows_after, small
 from loomlog.operators.components import components
 from loomlog.session import checkpointed
 
@@ -26,17 +28,31 @@ def count_commands(entries: DataFrame) -> DataFrame:
     return entries.groupBy(F.col("command").alias("key")).agg(F.count("*").alias("count"), F.max("timestamp").alias("last_used"), F.lit(0).alias("kind"), F.lit(1).alias("window"), F.min(F.struct("source", "ord")).alias("first"))
 
 
-def count_sequences(entries: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST, chunk: int = CHUNK) -> DataFrame:
-    """The same for runs of neighbouring commands of a source, joined; equal strings count together."""
+def digest(key: Column) -> Column:
+    """The MD5 of a string and 64 bits more: what tells strings apart where they are too long to be moved."""
+    return F.concat(F.unhex(F.md5(key)), F.unhex(F.lpad(F.hex(F.xxhash64(key)), 16, "0")))
+
+
+def count_sequences(entries: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST, chunk: int = CHUNK, known_by: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The same for runs of neighbouring commands of a source, joined; equal strings count together.
+
+    A command is part of up to longest * (longest + 1) / 2 strings, which are all moved to be counted; with
+    ``known_by`` (as ``digest``) only what it makes of them is, and is the key.
+    """
     if longest < shortest:
         return count_commands(entries.limit(0))
-    entries = with_rows_after(entries.select("source", "ord", "command", "timestamp"), longest - 1, chunk)
+    columns = ["source", "ord", "command", "timestamp"]
+    rows = in_chunks(entries.select(*columns, *(["chunk"] if "chunk" in entries.columns else [])), chunk)
     order = Window.partitionBy("source", "chunk").orderBy("ord")
-    next_ = {k: F.lead("command", k).over(order) for k in range(1, longest)}
-    times = {k: F.lead("timestamp", k).over(order) for k in range(1, longest)}
-    rows = entries.select("source", "ord", "own", "command", "timestamp", *[c.alias(f"c{k}") for k, c in next_.items()], *[c.alias(f"t{k}") for k, c in times.items()]).filter("own")
+    steps = range(1, longest)
+    lead = {(c, k): F.lead(c, k).over(order).alias(f"{c}_{k}") for c in columns[1:] for k in steps}
+    held = rows.join(rows_after(rows, longest - 1), ["source", "chunk"], "left").select(*columns, "after", *lead.values())
+    here = sum((F.col(f"ord_{k}").isNotNull().cast("int") for k in steps), F.lit(0))  # rows that follow in the chunk
+    next_ = lambda c, k: F.when(F.col(f"ord_{k}").isNotNull(), F.col(f"{c}_{k}")).otherwise(F.get("after", F.greatest(F.lit(k - 1) - here, F.lit(0)))[c])
+    rows = held.select("source", "ord", "command", "timestamp", *[next_("command", k).alias(f"c{k}") for k in steps], *[next_("timestamp", k).alias(f"t{k}") for k in steps])
+    name = known_by or (lambda key: key)
     runs = [
-        F.when(F.col(f"c{w - 1}").isNotNull() if w > 1 else F.lit(True), F.struct(F.concat_ws(JOINER, "command", *[f"c{k}" for k in range(1, w)]).alias("key"), F.col(f"t{w - 1}" if w > 1 else "timestamp").alias("used"), F.lit(w).alias("window")))
+        F.when(F.col(f"c{w - 1}").isNotNull() if w > 1 else F.lit(True), F.struct(name(F.concat_ws(JOINER, "command", *[f"c{k}" for k in range(1, w)])).alias("key"), F.col(f"t{w - 1}" if w > 1 else "timestamp").alias("used"), F.lit(w).alias("window")))
         for w in range(shortest, longest + 1)
     ]
     each = rows.select("source", "ord", F.explode(F.array_compact(F.array(*runs))).alias("run"))

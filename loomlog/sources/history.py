@@ -22,6 +22,7 @@ from loomlog.session import checkpointed
 DEFAULT_LINES, LEAST_LINES = 5000, 100
 ALL_LINES = (1 << 31) - 1  # as many as an array of lines can hold
 SHELLS = ("bash", "zsh", "powershell")
+_MOST_OFFSETS = 1 << 23  # places of four bytes
 
 
 def lines_of(texts: DataFrame, source: str, text: str) -> DataFrame:
@@ -78,20 +79,42 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.unionByName(last)
 
 
-def texts_as_one(texts: DataFrame, key: str, text: str, source: str, chunk: int = 1 << 12) -> DataFrame:
-    """All texts of a table one after another, in the order of a long key, as the lines of one source.
+def _offsets(lengths: DataFrame, ranges: DataFrame, chunk: int) -> DataFrame:
+    """Per range of keys: the number of lines before it, and before each place in it, as an array."""
+    free = ranges.select("range", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunk - 1).cast("long"))).alias("place"), F.lit(0).alias("n"))
+    each = lengths.select("range", "place", "n").unionByName(free).groupBy("range", "place").agg(F.sum("n").alias("n"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = each.withColumn("own", own.cast("int")).groupBy("range").agg(F.sort_array(F.collect_list(F.struct("place", "own"))).alias("rows"))
+    return rows.join(ranges, "range").select(F.col("range").alias("of"), "base", F.transform("rows", lambda x: x["own"]).alias("owns"))
+
+
+def texts_as_one(texts: DataFrame, key: str, text: str, source: str, chunk: int = 1 << 12, most: int = _MOST_OFFSETS) -> DataFrame:
+    """All texts of a table one after another, in the order of a long key (null last), as the lines of one source.
 
     Line numbers are sums over the texts before; they are taken within ranges of keys and over the ranges, so no
-    task sees all texts.
+    task sees all texts.  Where no key repeats and the ranges have at most ``most`` places, each text gets its
+    number from a broadcast table of them; else the texts of a range are moved to one task.
     """
-    parts = texts.select(F.col(key).cast("long").alias("key"), F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n", -1).alias("parts")).withColumn("range", F.floor(F.col("key") / chunk))
-    sums = parts.groupBy("range").agg(F.sum(F.size("parts")).alias("n"))
+    keyed = texts.select(F.col(key).cast("long").alias("key"), F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n", -1).alias("parts"))
+    place = F.pmod("key", F.lit(chunk).cast("long"))
+    # Numbers below 0 are divided towards 0.  Null keys are the last range.
+    of = F.expr(f"key div {chunk}") - ((F.col("key") < 0) & (place != 0)).cast("long")
+    parts = keyed.select(F.coalesce(of, F.lit((1 << 63) - 1)).alias("range"), F.coalesce(place, F.lit(0)).alias("place"), "parts")
+    lengths = parts.select("range", "place", F.size("parts").alias("n")).groupBy("range", "place").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
+    lengths = checkpointed(lengths)  # one short row per key
+    sums = lengths.groupBy("range").agg(F.sum("n").alias("n"), F.max("c").alias("c"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    bases = sums.select(F.col("range").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = F.coalesce(F.sum(F.size("parts")).over(Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = sums.agg(F.sum("n").alias("n_lines"))  # one row
-    placed = parts.withColumn("own", own).join(bases, F.col("range") == F.col("of")).crossJoin(F.broadcast(total))
-    return placed.select(F.lit(source).alias("source"), "n_lines", (F.col("base") + F.col("own")).alias("first"), F.posexplode("parts").alias("pos", "raw")).select("source", "n_lines", (F.col("first") + F.col("pos")).alias("line_idx"), "raw")
+    ranges = checkpointed(sums.select("range", "n", "c", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
+    n_ranges, n_lines, longest, copies = ranges.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.max("n"), F.max("c")).first()
+    if n_ranges and n_ranges * chunk <= most and copies == 1 and longest < 1 << 31:
+        offsets = checkpointed(_offsets(lengths, ranges, chunk))
+        placed = parts.join(F.broadcast(offsets), F.col("range") == F.col("of")).withColumn("own", F.get("owns", F.col("place").cast("int")).cast("long"))
+    else:
+        own = F.coalesce(F.sum(F.size("parts")).over(Window.partitionBy("range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        bases = ranges.select(F.col("range").alias("of"), "base")
+        placed = parts.withColumn("own", own).join(bases, F.col("range") == F.col("of"))
+    lines = placed.select(F.lit(source).alias("source"), F.lit(n_lines).cast("long").alias("n_lines"), (F.col("base") + F.col("own")).alias("first"), F.posexplode("parts").alias("pos", "raw"))
+    return lines.select("source", "n_lines", (F.col("first") + F.col("pos")).alias("line_idx"), "raw")
 
 
 def tail_lines(lines: DataFrame, max_lines: int | None = DEFAULT_LINES) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomlog.operators import chunks
 from loomlog.operators.assemble import assemble, extended_entries, plain_entries
 from loomlog.operators.clean import clean, is_noise
-from loomlog.operators.frequency import count_sequences
+from loomlog.operators.frequency import count_sequences, digest
 from loomlog.sources.history import lines_of, read_lines, scan_lines, tail_lines, texts_as_one
 from loomlog.sources.tail import last_lines, read_tail
 from test_groups import walk as walk_extended
@@ -132,6 +132,30 @@ def test_texts_as_one(spark):
     assert got == [(k, x, len(want), "one") for k, x in enumerate(want)]
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_texts_as_one_with_null_and_repeated_keys(spark, most):
+    texts = [(-17, "a\nb"), (-16, ""), (-1, "c"), (0, None), (5, "d\n"), (1 << 60, "e"), (None, "f\ng")]
+    lines = texts_as_one(spark.createDataFrame(texts[::-1], "i long, t string").repartition(3), "i", "t", "one", chunk=16, most=most)
+    assert [r.raw for r in lines.orderBy("line_idx").collect()] == ["a", "b", "", "c", "", "d", "", "e", "f", "g"]
+    twice = texts_as_one(spark.createDataFrame([(1, "x\ny"), (1, "x\ny"), (2, "z")], "i long, t string"), "i", "t", "one", most=most)
+    assert [r.raw for r in twice.orderBy("line_idx").collect()] == ["x", "y", "x", "y", "z"]
+    assert not texts_as_one(spark.createDataFrame([], "i long, t string"), "i", "t", "one", most=most).count()
+
+
+def test_sequences_move_no_texts(spark, tmp_path):
+    """The runs of one log are counted from digests, and its commands stay with their chunk once they are stored."""
+    from loomlog import catalog
+
+    text = "\n".join(f"command {k} {'x' * 300}" for k in range(20))
+    spark.createDataFrame([(i, text) for i in range(50)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = catalog.queries()["one_log_sequences"](spark, str(tmp_path))
+    assert "Bucketed: true" in df._jdf.queryExecution().executedPlan().toString()
+    assert "binary" in count_sequences(clean(catalog._one_log_entries(spark, str(tmp_path))), known_by=digest).schema["key"].dataType.simpleString()
+    counted = count_sequences(clean(catalog._one_log_entries(spark, str(tmp_path))))
+    want = sorted((r.k, r["count"], r.window) for r in counted.select(F.md5("key").alias("k"), "count", "window").collect())
+    assert sorted((r.key, r["count"], r.window) for r in df.collect()) == want
+
+
 @pytest.mark.parametrize("block", [1, 5, 1 << 16])
 @pytest.mark.parametrize("keep", [1, 2, 100, 5000])
 def test_last_lines(block, keep):
