@@ -14,7 +14,8 @@ Documents link when ``den * intersection >= num * union`` of their sets of disti
   sizes, and a row meets only blocks inside its interval.
 * Answers derived from similar sets.  In long lists all members are first compared with one leader.
   Members that land in one component share its answer; only pairs across components are compared
-  afterwards, so a list of n near copies costs n comparisons, not n * n.
+  afterwards, so a list of n near copies costs n comparisons, not n * n.  Of those pairs, only the ones whose
+  bitmaps are alike enough for their sets to link are made: a passage that many texts share makes no pairs.
 * Pairs of short lists are counted; those whose count leaves too little room behind their last
   common shingle are dropped before their texts are compared exactly.
 
@@ -148,6 +149,39 @@ def _prefixes(k: int, num: int, den: int, frequent):
     return run
 
 
+def parities(h: np.ndarray, cut: np.ndarray) -> list[np.ndarray]:
+    """Per set one bit or more for each member: whether an odd number of its hashes fall on each place of a bitmap.
+
+    Bitmaps of two sets differ in no more places than the sets have members that they do not share.  A bitmap has the
+    least power of 2 of words that gives each member a bit; one of twice as many words folds to it by xor of its halves.
+    """
+    n = np.diff(cut)
+    words = 1 << np.ceil(np.log2(np.maximum(1, -(-n // 64)))).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(words)])
+    place = mix(h + np.uint64(29)) & np.repeat(words * 64 - 1, n).astype(np.uint64)
+    out = np.zeros(begin[-1], dtype=np.uint64)
+    np.bitwise_xor.at(out, np.repeat(begin[:-1], n) + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return [out[a:b].view(np.int64) for a, b in zip(begin[:-1], begin[1:])]
+
+
+def _bitmaps(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in slices(batch.column(1)):
+                bits = parities(*shingle_sets(data, offsets, k))
+                ends = np.cumsum([0, *map(len, bits)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bits)))], names=["id", "bits"])
+
+    return run
+
+
+def differing(a: Column, b: Column) -> Column:
+    """In how many places two bitmaps differ, the longer one folded; 0 if a bitmap is null or they do not fit."""
+    folded = lambda x, y: F.when(F.size(x) == 2 * F.size(y), F.zip_with(F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+    differ = F.zip_with(folded(a, b), folded(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    return F.coalesce(F.aggregate(differ, F.lit(0), lambda n, x: n + x), F.lit(0))
+
+
 def _overlaps(k: int):
     """Sizes and intersection of the sets of two texts."""
 
@@ -290,21 +324,33 @@ class _Join:
         pairs = self.by_list(long, leaders).withColumnsRenamed({"id": "b", "n": "n_b", "at": "at_b"})
         return pairs.filter((F.col("a") != F.col("b")) & self.fits()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+    def bitmaps(self, ids: DataFrame) -> DataFrame:
+        """id, bits of at least these ids; null for an id that has several texts."""
+        found = BitSet(ids, "id").part(self.docs, F.col("id"), True).mapInArrow(_bitmaps(self.k), "id long, bits array<long>")
+        return found.groupBy("id").agg(F.min("bits").alias("bits"), F.max("bits").alias("most")).select("id", F.when(F.col("bits") == F.col("most"), F.col("bits")).alias("bits"))
+
+    def met(self, mixed: DataFrame) -> DataFrame:
+        """Pairs of rows (token, id, n, at, label, major) of a list that have different labels and may link by place, size and bitmap."""
+        block = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(self.den / self.num)) * 2).cast("int")
+        mixed = checkpointed(mixed)
+        mixed = checkpointed(mixed.join(self.bitmaps(mixed.select("id").distinct()), "id", "left"))
+        # The sizes of partners that position ``at`` admits.
+        upper = F.floor((F.col("n") - F.col("at")) * (self.num + self.den) / self.num + 1e-9) - F.col("n")
+        lower = F.ceil(F.col("n") * self.num / self.den - 1e-9)
+        minor = mixed.filter("label <> major AND n > 0").withColumn("lo", lower).withColumn("hi", upper).filter("lo <= hi AND hi > 0")
+        probes = minor.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("label").alias("label_a"), F.col("bits").alias("bits_a"), F.explode(F.sequence(block(F.greatest("lo", F.lit(1))), block(F.col("hi")))).alias("block"))
+        index = mixed.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"), F.col("bits").alias("bits_b"), block(F.col("n")).alias("block"))
+        # Sets whose bitmaps differ in d places share at most (n_a + n_b - d) / 2.
+        alike = self.needs(F.floor((F.col("n_a").cast("long") + F.col("n_b") - differing(F.col("bits_a"), F.col("bits_b"))) / 2), F.col("n_a"), F.col("n_b"))
+        return probes.join(index, ["token", "block"]).filter((F.col("label_a") != F.col("label_b")) & self.fits() & alike)
+
     def open_pairs(self, short: DataFrame, long: DataFrame, known: DataFrame, several: DataFrame | None) -> DataFrame:
         """Pairs of long lists that lie in different components so far."""
-        block = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(self.den / self.num)) * 2).cast("int")
         rows = long.join(known, F.col("id") == F.col("node"), "left")
         rows = checkpointed(rows.select("token", "listed", "id", "n", "at", F.coalesce("component", "id").alias("label")))
         sizes = rows.groupBy("token", "label").agg(F.count("*").alias("c"), F.max("listed").alias("size"))
         major = sizes.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels"), F.max("size").alias("size")).filter("labels > 1").select(F.col("token").alias("t"), "size", F.col("m.label").alias("major"))
-        mixed = self.by_list(rows, major)
-        # The sizes of partners that position ``at`` admits.
-        upper = F.floor((F.col("n") - F.col("at")) * (self.num + self.den) / self.num + 1e-9) - F.col("n")
-        lower = F.ceil(F.col("n") * self.num / self.den - 1e-9)
-        minor = mixed.filter("label <> major AND n > 0").withColumn("lo", lower).withColumn("hi", upper).filter("lo <= hi AND hi > 0")
-        probes = minor.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("label").alias("label_a"), F.explode(F.sequence(block(F.greatest("lo", F.lit(1))), block(F.col("hi")))).alias("block"))
-        index = mixed.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"), block(F.col("n")).alias("block"))
-        pairs = probes.join(index, ["token", "block"]).filter((F.col("label_a") != F.col("label_b")) & self.fits())
+        pairs = self.met(self.by_list(rows, major))
         swapped = F.col("a") > F.col("b")
         pairs = pairs.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(
             F.max(F.when(swapped, F.col("at_b")).otherwise(F.col("at_a"))).alias("at_a"), F.max(F.when(swapped, F.col("at_a")).otherwise(F.col("at_b"))).alias("at_b")
