@@ -75,12 +75,16 @@ def _groups(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     np.cumsum((points.astype(np.uint64) + np.uint64(0x9E3779B9)) * pow_[: len(points)], out=acc[1:])
     size = ends - starts
     h = mix((acc[ends] - acc[starts]) * inv[starts] + size.astype(np.uint64))
-    _, firsts, group = np.unique(h, return_index=True, return_inverse=True)
+    group = pa.array(h).dictionary_encode().indices.to_numpy()  # numbered as they come; hashed, not sorted
+    firsts = np.zeros(int(group.max()) + 1, dtype=np.int64)
+    firsts[group[::-1]] = np.arange(len(group))[::-1]
     like = firsts[group]
     if (size[like] != size).any():
         return None
-    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    if (points[np.repeat(starts, size) + within] != points[np.repeat(starts[like], size) + within]).any():
+    again = np.flatnonzero(like != np.arange(len(like)))  # a first word is itself
+    n = size[again]
+    place = np.arange(int(n.sum())) + np.repeat(starts[again] - (np.cumsum(n) - n), n)
+    if (points[place] != points[place - np.repeat(starts[again] - starts[like[again]], n)]).any():
         return None
     return firsts, group
 

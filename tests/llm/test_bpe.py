@@ -68,3 +68,13 @@ def test_query(spark, lib):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries()["op5_bpe"](spark, DIR).collect()}
     assert got == {i: expected(lib, t) for i, t in texts.items()}
+
+
+def test_equal_words_are_grouped_as_they_come():
+    import numpy as np
+
+    from loomlog.llm.bpe_batch import _groups, _words
+
+    points = np.frombuffer("b a b c a b ".encode("utf-32-le"), dtype="<u4")
+    firsts, group = _groups(points, *_words(points))
+    assert firsts.tolist() == [0, 1, 3] and group.tolist() == [0, 1, 0, 2, 1, 0]
