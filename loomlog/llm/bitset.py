@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.llm.cluster import checkpointed
+from loomlog.session import tasks_for
 
 MOST_BITS = 1 << 25
 
@@ -23,7 +24,7 @@ class BitSet:
             self.bits *= 2
         place = F.pmod(F.col(column), F.lit(self.bits))
         words = keys.groupBy(F.shiftright(place, 6).cast("int").alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("_set"))
-        self.words = checkpointed(words)  # at most bits / 64 rows
+        self.words = checkpointed(words, tasks_for(self.bits // 64))  # at most bits / 64 rows
 
     def part(self, rows: DataFrame, key: Column, maybe: bool) -> DataFrame:
         """The rows whose key may be in the set, or those whose key surely is not."""

@@ -43,6 +43,7 @@ from loomlog.llm.bitset import BitSet
 from loomlog.llm.cluster import checkpointed, small_batches, stored
 from loomlog.llm.components import components
 from loomlog.llm.textops import hash_words, mix, prefix_sums, run_hash, slices, sort_within
+from loomlog.session import tasks_for
 
 _MOST_COLLIDED = 100_000  # hashes; 10**12 rows have about 27,000 pairs of one hash
 _NO_ID = (1 << 63) - 1
@@ -223,7 +224,8 @@ class _Join:
         self.spark, self.k, self.num, self.den, self.long = docs.sparkSession, k, num, den, long
         small_batches(self.spark)
         doc_id = F.col("doc_id").cast("long")
-        ends = docs.agg(F.min(doc_id), F.max(doc_id), F.count_if(doc_id.isNull())).first()
+        ends = docs.agg(F.min(doc_id), F.max(doc_id), F.count_if(doc_id.isNull()), F.count("*")).first()
+        self.tasks = tasks_for(ends[3])  # for tables of one short row per document at most
         # The stand-in for null is the greatest number; if that is an id, all ids move down by one.
         self.nulls = ends[2] > 0
         self.shift = int(self.nulls and ends[1] == _NO_ID and ends[0] > -_NO_ID - 1)
@@ -243,8 +245,8 @@ class _Join:
         seen = checkpointed(self.docs.mapInArrow(_survey(self.k, MOST_FREQUENT), "kind int, key long, n long, one long, two long"))
         sets = seen.filter("kind = 0").select(F.col("key").alias("id"), "n", "one", "two")
         # Stored before the join, so that Spark can split a class that holds many of the rows.
-        least = checkpointed(sets.filter("n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("class_id"), F.count("*").alias("c")).filter("c > 1").drop("c"))
-        classes = checkpointed(sets.join(least, ["n", "one", "two"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")))
+        least = checkpointed(sets.filter("n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("class_id"), F.count("*").alias("c")).filter("c > 1").drop("c"), self.tasks)
+        classes = checkpointed(sets.join(least, ["n", "one", "two"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")), self.tasks)
         often = seen.filter("kind = 1").groupBy(F.col("key").alias("token")).agg(F.sum("n").alias("n"))
         return classes, often.filter(F.col("n") >= 2 * self.long).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT)
 
@@ -381,7 +383,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: i
         raise ValueError("the threshold num/den must lie above 0 and at most at 1")
     join = _Join(docs, k, num, den, long)
     rows, often = join.survey()
-    of_id = checkpointed(rows.filter("n > 0").groupBy("id").agg(F.max(F.col("id") == F.col("class_id")).alias("first"), (F.min("class_id") != F.max("class_id")).alias("several")))
+    of_id = checkpointed(rows.filter("n > 0").groupBy("id").agg(F.max(F.col("id") == F.col("class_id")).alias("first"), (F.min("class_id") != F.max("class_id")).alias("several")), join.tasks)
     several = of_id.filter("several").select("id")
     several = None if several.isEmpty() else several
     short, long_ = join.lists(of_id.filter("NOT first").select("id"), often)
@@ -412,7 +414,8 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN
     (null last), of several texts that have it one, and of equal rows one.
     """
     node, check = (F.least(x, F.lit(_NO_ID - 1)) for x in hashes(F.col("doc_id"), F.col("text")))
-    ids = checkpointed(docs.groupBy(node.alias("node")).agg(F.min("doc_id").alias("id"), F.min(check).alias("low"), F.max(check).alias("high")))
+    tasks = tasks_for(docs.count())
+    ids = checkpointed(docs.groupBy(node.alias("node")).agg(F.min("doc_id").alias("id"), F.min(check).alias("low"), F.max(check).alias("high")), tasks)
     collided = ids.filter("low <> high").select(F.col("node").alias("of"))
     if not collided.isEmpty():  # about 3 of 10**10 documents
         twice = checkpointed(collided)
@@ -421,10 +424,10 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN
     ids = ids.select("node", "id")
     found = jaccard_components(docs.select(node.alias("doc_id"), "text"), k, num, den).filter("n_shingles > 0")
     nodes = found.groupBy(F.col("doc_id").alias("node")).agg(F.min("component_id").alias("component"), F.count("*").alias("copies"))
-    nodes = checkpointed(nodes.join(ids, "node"))
+    nodes = checkpointed(nodes.join(ids, "node"), tasks)
     # Joined by node and not by component: the members of a large component are dealt over many tasks.
     first = nodes.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("f")).select(F.col("f.node").alias("node"))
-    gone = checkpointed(nodes.join(first, "node", "left_anti").select("node"))
+    gone = checkpointed(nodes.join(first, "node", "left_anti").select("node"), tasks)
     repeated = nodes.filter("copies > 1").select("node")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node.alias("node"))
     # Rows whose node surely neither goes nor repeats pass without a shuffle.

@@ -1,30 +1,38 @@
-"""Connected components by alternating large-star and small-star steps over tables of edges."""
+"""Connected components by alternating large-star and small-star steps over tables of edges.
+
+No step makes more edges than it gets, so their number at the beginning tells how many tasks each step needs.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlog.session import checkpointed
+from loomlog.session import checkpointed, tasks_for
+
 
+def _with_least(edges: DataFrame, tasks: int) -> DataFrame:
+    """Edges with m, the least v of their u.
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """Edges with m, the least v of their u; stored sums on one side, so that Spark can split a hub's rows in the join."""
-    least = checkpointed(edges.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")))
+    In one task without a shuffle; over several, stored sums are on one side, so that Spark can split a hub's rows in the join.
+    """
+    if tasks == 1:
+        return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    least = checkpointed(edges.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")), tasks)
     return edges.join(least, F.col("u") == F.col("c"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Every larger neighbour of a node moves to the least of the node and its neighbours."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return checkpointed(_with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
+    both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+    return checkpointed(_with_least(both, tasks).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), tasks)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """The smaller neighbours of a node, and the node itself, move to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    moved = _with_least(down).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-    return checkpointed(moved.select("e.*").filter("u <> v").distinct())
+    moved = _with_least(down, tasks).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+    return checkpointed(moved.select("e.*").filter("u <> v").distinct(), tasks)
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -39,7 +47,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges: u, v (long); loops and repeats may occur.  Each step is cut off by a checkpoint; the
     number of rounds grows with the logarithm of the largest component.
     """
-    now = _small_star(checkpointed(edges.filter("u <> v")))
+    edges = checkpointed(edges.filter("u <> v"))
+    tasks = tasks_for(edges.count())
+    now = _small_star(edges.coalesce(tasks), tasks)
     while not _are_stars(now):
-        now = _small_star(_large_star(now))
+        now = _small_star(_large_star(now, tasks), tasks)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -26,10 +26,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, with its lineage cut."""
+#: Rows of a few numbers that one task takes: some MB, as much as Spark's adaptive execution gives one by default.
+ROWS_A_TASK = 1 << 17
+
+
+def tasks_for(rows: int) -> int:
+    """Over how many tasks so many rows of a few numbers are dealt."""
+    return max(1, -(-rows // ROWS_A_TASK))
+
+
+def checkpointed(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``df`` computed once into the shared folder, with its lineage cut; in at most ``tasks`` partitions, if given.
+
+    Else a short table keeps the partitions of its last shuffle, however many, and each step after it has a task for every one of
+    them, of which the driver keeps a record.  A table in one partition is grouped without a shuffle.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if tasks is None:
+        return df.checkpoint(eager=True)
+    # Said once more afterwards, as a checkpoint forgets how its rows are dealt.
+    return df.coalesce(tasks).checkpoint(eager=True).coalesce(tasks)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
